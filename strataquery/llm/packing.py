@@ -172,7 +172,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     max_repeats times. Without `total_tokens` the collection is the largest in which every source that has
     text can reach its share. Every text gets floor(x) copies, x = share x total / available, and one more with
     probability x - floor(x), drawn by pivotal rounding that keeps the sum of tokens: first the texts that
-    hold more than `large` of their source (fewer than 1 / large), whose luck the others then make up for, then
+    hold at least `large` of their source (at most 1 / large of them; one longer than the source's whole target is not
+    used), largest first, so that the others make up for their luck, then
     hashed groups of the others, then the groups' residuals in a tree of `fan_in`. Targets without text reach
     0. Null or empty texts and other sources are left out.
     """
@@ -190,16 +191,23 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     x = {s: share * total / have[s][1] for s, (share, _) in live.items()}
     groups = {s: max(1, ceil(have[s][0] / group_items)) for s in live}
     limits = spark.createDataFrame([(s, large * have[s][1]) for s in live] or [("", 0.0)], "source string, large double")
-    big = texts.join(F.broadcast(limits), "source").where("n_tokens > large").select("doc_id", "source", "n_tokens").orderBy("source", F.desc("n_tokens"), "doc_id").toPandas()  # fewer than 1 / large rows a target
-    first = []
-    for s, own in big.groupby("source", sort=True):
-        own = own.assign(p=x[s] - floor(x[s]))
-        own["copies"] = floor(x[s]) + _draw(own, seed, True).astype(int)
-        first.append(own[["doc_id", "source", "n_tokens", "copies"]])
-        rest = have[s][1] - int(own["n_tokens"].sum())
-        x[s] = min(max(0.0, (rule[s][0] * total - int((own["n_tokens"] * own["copies"]).sum())) / rest), float(rule[s][1])) if rest else 0.0
+    big = texts.join(F.broadcast(limits), "source").where("n_tokens >= large").select("doc_id", "source", "n_tokens").orderBy("source", F.desc("n_tokens"), "doc_id").toPandas()  # at most 1 / large rows a target
+    first, drawn, rest = [], dict.fromkeys(live, 0), {s: have[s][1] for s in live}
+    low, half = np.inf, total / 2
+    for tier in (0.2, 0.1, 0.05, 0.02, 0.01, 0.005, large):  # the largest first: what follows makes up for their luck
+        part = big[(big["n_tokens"] < low * big["source"].map(lambda s: have[s][1])) & (big["n_tokens"] >= tier * big["source"].map(lambda s: have[s][1]))] if len(big) else big
+        low = tier
+        for s, own in part.groupby("source", sort=True):
+            own = own.assign(p=x[s] - floor(x[s]))
+            fits = own["n_tokens"].to_numpy() <= rule[s][0] * total  # else even one copy is more than the source's whole target
+            own["copies"] = np.where(fits, floor(x[s]) + _draw(own, seed, True).astype(int), 0)
+            first.append(own[["doc_id", "source", "n_tokens", "copies"]])
+            drawn[s] += int((own["n_tokens"] * own["copies"]).sum())
+            rest[s] -= int(own["n_tokens"].sum())
+        total = max(half, min([total, *((drawn[s] + m * rest[s]) / share for s, (share, m) in live.items())]))  # what can still be reached, but never under half of the plan
+        x = {s: min(max(0.0, (share * total - drawn[s]) / rest[s]), float(m)) if rest[s] else 0.0 for s, (share, m) in live.items()}
     plan = spark.createDataFrame([(s, float(x[s]), groups[s], large * have[s][1]) for s in live] or [("", 0.0, 1, 0.0)], "source string, x double, groups int, large double")
-    start = texts.join(F.broadcast(plan), "source").where("n_tokens <= large").select("doc_id", "source", "n_tokens", F.floor("x").cast("int").alias("base"), (F.col("x") - F.floor("x")).alias("p"), F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int").alias("g"))
+    start = texts.join(F.broadcast(plan), "source").where("n_tokens < large").select("doc_id", "source", "n_tokens", F.floor("x").cast("int").alias("base"), (F.col("x") - F.floor("x")).alias("p"), F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int").alias("g"))
 
     def rounds(last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -73,7 +73,8 @@ def distinctiveness(hits: DataFrame, chunks: DataFrame, totals: DataFrame, df_mi
 
     score = p_d ln(p_d / p_c), the term's part of the relative entropy between the record's
     Dirichlet-smoothed distribution p_d = (tf + mu p_c) / (dl + mu) and the collection's
-    p_c = cf / (sum of lengths of `totals`). mu defaults to the mean record length. Terms in fewer than
+    p_c = cf / (sum of lengths of `totals`). mu defaults to six mean record lengths: with much less
+    smoothing a common word that is frequent in a short record outweighs a rare repeated one. Terms in fewer than
     `df_min` records (misreadings, typing errors) and terms that occur nowhere get a null score. Hits whose
     chunk is missing, and null tokens, are left out. A repeated hit counts once.
     """
@@ -87,7 +88,7 @@ def distinctiveness(hits: DataFrame, chunks: DataFrame, totals: DataFrame, df_mi
     asked = found.select("hit_id", "chunk_id", "dl", F.explode(F.transform(F.array_distinct(F.array_compact("tokens")), lambda t: F.struct(t.alias("token"), F.coalesce(F.col("tf")[t], F.lit(0)).alias("tf")))).alias("x")).select("hit_id", "chunk_id", "dl", "x.token", "x.tf")
     scored = skew_join(asked, stats, "token", "hit_id", "left").join(F.broadcast(sums))  # one row of sums
     pc = F.col("cf") / F.col("len")
-    m = F.lit(float(mu)) if mu is not None else F.col("len") / F.greatest(F.col("docs"), F.lit(1.0))
+    m = F.lit(float(mu)) if mu is not None else F.col("len") / F.greatest(F.col("docs"), F.lit(1.0)) * 6
     pd = (F.col("tf") + m * pc) / (F.col("dl") + m)
     return scored.select("hit_id", "chunk_id", "token", "tf", "df", F.when(F.col("df") >= df_min, pd * F.ln(pd / pc)).alias("score"))
 
