@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import packing, ranking, terms
+from . import packing, ranking, scan, terms
 
 
 def _total_chunks(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "corpus_totals").distinct().agg(F.sum("total_chunks").alias("n"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan.found_noise(load(spark, d, "chunks"))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan.repaired(load(spark, d, "chunks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     net = terms.net_frequencies(load(spark, d, "token_df_deltas"))
     return terms.marks(net, load(spark, d, "compiler_recipes"), _total_chunks(spark, d))
@@ -69,5 +77,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return packing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_frequencies, p3_text_frequencies, p4_found, p4_ranking, p7_found, p7_scores, p8_found, p8_pack, p8_fill, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_frequencies, p3_text_frequencies, p4_found, p4_ranking, p7_found, p7_scores, p8_found, p8_pack, p8_fill, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
