@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import packing, ranking, scan, terms
+from . import markup, packing, ranking, scan, terms
 
 
 def _total_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -21,6 +21,18 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scan.repaired(load(spark, d, "chunks"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.found_markup(load(spark, d, "chunks"))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean(load(spark, d, "chunks"))
+
+
+def p2_path_ratios(spark: SparkSession, d: str) -> DataFrame:
+    return markup.path_ratios(markup.nodes(load(spark, d, "chunks")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     net = terms.net_frequencies(load(spark, d, "token_df_deltas"))
     return terms.marks(net, load(spark, d, "compiler_recipes"), _total_chunks(spark, d))
@@ -77,5 +89,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return packing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_frequencies, p3_text_frequencies, p4_found, p4_ranking, p7_found, p7_scores, p8_found, p8_pack, p8_fill, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_clean, p2_path_ratios, p3_found, p3_frequencies, p3_text_frequencies, p4_found, p4_ranking, p7_found, p7_scores, p8_found, p8_pack, p8_fill, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}
