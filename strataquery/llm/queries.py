@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import markup, packing, ranking, scan, terms
+from . import encoding, markup, packing, ranking, scan, terms
 
 
 def _total_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -89,5 +89,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return packing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_clean, p2_path_ratios, p3_found, p3_frequencies, p3_text_frequencies, p4_found, p4_ranking, p7_found, p7_scores, p8_found, p8_pack, p8_fill, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.damaged(load(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restored(load(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_clean, p2_path_ratios, p3_found, p3_frequencies, p3_text_frequencies, p4_found, p4_ranking, p7_found, p7_scores, p8_found, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)}
 SQL: dict[str, str] = {}
