@@ -7,18 +7,19 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Ligature signs and their letters.
 LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")]
 DIAERESIS = r"([A-Za-z])\s*¨\s*([A-Za-z])"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _lookup(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).strip().casefold().split()))
 

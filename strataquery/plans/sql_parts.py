@@ -71,3 +71,12 @@ def sql(select: str, *names: str) -> str:
     for n in names:
         need(n)
     return "with " + ",\n".join(f"{n} as materialized ({CTES[n][1]})" for n in order) + "\n" + select if order else select
+
+CTES |= {
+    "nd": (["c"], r"select doc_key, node_key, h.title as title, h.breadcrumb as breadcrumb, h.body as body, h.source_md as source_md, h.node_id as node_id, list_distinct_ordered as terms, coalesce(substr(h.body, 1, 200), '') as summary from (select doc_key, node_key, h, " + first_seen(r"list_filter(regexp_split_to_array(coalesce(h.title, ''), '[\s·\-—.,;:!?()\[\]{}]+'), lambda p: length(p) >= 2)") + " as list_distinct_ordered from (select doc_key, node_key, arg_min({'title': title, 'breadcrumb': breadcrumb, 'body': body, 'source_md': source_md, 'node_id': node_id}, {'o': node_local_ordinal, 'c': chunk_id}) as h from c group by doc_key, node_key))"),
+    "np": (["nd"], f"select doc_key, node_key, field, token, count(*) as tf, any_value(length) as length from (select doc_key, node_key, x.field as field, len(x.ts) as length, unnest(x.ts) as token from (select doc_key, node_key, unnest([{{'field': 'title', 'ts': {tok('title')}}}, {{'field': 'breadcrumb', 'ts': {tok(bc('breadcrumb'))}}}, {{'field': 'terms', 'ts': {tok(bc('terms'))}}}, {{'field': 'summary', 'ts': {tok('summary')}}}]) as x from nd)) group by all"),
+    "ndf": (["np"], "select token, count(*) as df from np group by token"),
+    "nl": (["nd"], f"select count(*) as n, sum(len({tok('title')})) / count(*) as avg_title, sum(len({tok(bc('breadcrumb'))})) / count(*) as avg_breadcrumb, sum(len({tok(bc('terms'))})) / count(*) as avg_terms, sum(len({tok('summary')})) / count(*) as avg_summary, sum(len({tok('coalesce(title, chr(39)||chr(39)) || ' + bc('breadcrumb') + ' || ' + bc('terms') + ' || summary')})) / count(*) as avg_len from nd".replace("chr(39)||chr(39)", "''")),
+    "eq": (["syn"], f"select distinct query_id, token from (select query_id, unnest({tok('query')}) as token from judged_queries union all select query_id, unnest(v) from (select distinct query_id, query, {tok('query')} as ts from judged_queries), syn where len(ts) > 0 and (instr(lower(query), k) > 0 or list_contains(ts, k)))"),
+    "nscore": (["eq", "np", "ndf", "nl"], f"select query_id, doc_key, node_key, {half_up('sum(part)', 2)} as score from (select query_id, doc_key, node_key, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / case field when 'title' then avg_title when 'breadcrumb' then avg_breadcrumb when 'terms' then avg_terms else avg_summary end)) * case field when 'title' then 6 when 'breadcrumb' then 3 else 2 end as part from eq join ndf using (token) join np using (token), nl) group by all having sum(part) > 0"),
+}
