@@ -73,7 +73,9 @@ def bm25f(met: DataFrame, index: Index) -> DataFrame:
     return total.where("raw > 0").withColumn("score", round_half_up(F.col("raw"), 2))
 
 
-ORDER = [F.desc("score"), F.asc("ord"), F.asc("doc_key"), F.asc("local_id"), F.asc("chunk_id")]
+def score_order() -> list[Column]:
+    """Best score first; ties by the first query token that met the chunk, then by the chunk's place."""
+    return [F.desc("score"), F.asc("ord"), F.asc("doc_key"), F.asc("local_id"), F.asc("chunk_id")]
 
 
 def capped(scored: DataFrame, k: int, order: list | None = None, per_doc: int = PER_DOC) -> DataFrame:
@@ -82,7 +84,7 @@ def capped(scored: DataFrame, k: int, order: list | None = None, per_doc: int =
     Both limits are row_number filters, which Spark applies before each shuffle too: a query with any number of
     candidates sends at most per_doc rows a document, then k rows a task.
     """
-    by = order or ORDER
+    by = order or score_order()
     few = scored.withColumn("__n", F.row_number().over(W.partitionBy("query_id", "doc_key").orderBy(*by))).where(F.col("__n") <= per_doc).drop("__n")
     return few.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= k)
 

@@ -89,6 +89,7 @@ from pyspark.sql import Window as W  # noqa: E402
 from ..functions import normalize as nz  # noqa: E402
 from ..operators import nodes as nds  # noqa: E402
 from ..operators.quantiles import exact_rank  # noqa: E402
+from ..operators.skew import skew_join  # noqa: E402
 from .sql_parts import bc, first_seen, half_up, norm, tok  # noqa: E402
 
 
@@ -272,10 +273,12 @@ def _(spark, d):
     return t.groupBy("j.status", "j.current_stage").agg(F.count("*").alias("n"))
 
 
-@query("agg_27_sorted_group_by", sql("select token, list_sort(list(chunk_id || ':' || title_tf || ':' || breadcrumb_tf || ':' || body_tf)) as rows from p where token like 'a%' or token like '相%' group by token", "p").replace("as rows", "as entries"))
+@query("agg_27_two_pass_group_by", sql("select token, chunk_id, title_tf, breadcrumb_tf, case when df_body >= 64 and df_body * 4 >= n then 0 else body_tf end as body_tf from p join st using (token), tot", "p", "st", "tot"))
 def _(spark, d):
-    p = ix.index_of(spark, d).postings.where(F.col("token").startswith("a") | F.col("token").startswith("相"))
-    return p.groupBy("token").agg(F.sort_array(F.collect_list(F.concat_ws(":", "chunk_id", "title_tf", "breadcrumb_tf", "body_tf"))).alias("entries"))
+    """Postings replayed with a decision that needs their whole group (pruning under the second recipe)."""
+    i = ix.index_of(spark, d)
+    hide = i.stats.select("token", ((F.col("df_body") >= 64) & (F.col("df_body") * 4 >= i.n)).alias("h"))
+    return skew_join(i.postings, hide, "token", "chunk_id").select("token", "chunk_id", "title_tf", "breadcrumb_tf", F.when(F.col("h"), 0).otherwise(F.col("body_tf")).alias("body_tf"))
 
 
 # Retrieval ----------------------------------------------------------------------------------------------------------
