@@ -98,4 +98,40 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_clean, p2_path_ratios, p3_found, p3_frequencies, p3_text_frequencies, p4_found, p4_ranking, p7_found, p7_scores, p8_found, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)}
-SQL: dict[str, str] = {}
+# SQL counterparts; where none is given, SQL can't express the operator and tests hold it against brute force.
+_NET = "select token, sum(coalesce(df_any, 0))::bigint as df_any, sum(coalesce(df_nonbody, 0))::bigint as df_nonbody, sum(coalesce(df_body, 0))::bigint as df_body from (select distinct layer_id, token, df_any, df_nonbody, df_body from token_df_deltas where token is not null) group by token"
+_SCORES = ranking.SCORES
+
+
+def _tokens(x: str) -> str:
+    return rf"list_concat(list_concat(list_transform(regexp_extract_all({x}, '[a-zA-Z][a-zA-Z0-9]+'), lambda w: lower(w)), regexp_extract_all({x}, '\p{{Nd}}{{2,}}')), flatten(list_transform(regexp_extract_all({x}, '[一-鿿]+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))))"
+
+
+def _fused(rows: str) -> str:
+    """Median and MAD (lower medians), logistic squash, geometric mean; missing scores lie below all others."""
+    mids = ", ".join(f"quantile_disc({s}, 0.5) filter (isfinite({s})) as mid_{s}" for s in _SCORES)
+    devs = ", ".join(f"case when quantile_disc(abs({s} - mid_{s}), 0.5) filter (isfinite({s})) > 0 then quantile_disc(abs({s} - mid_{s}), 0.5) filter (isfinite({s})) * 1.4826 else avg(abs({s} - mid_{s})) filter (isfinite({s})) * 1.2533 end as dev_{s}" for s in _SCORES)
+    parts = " + ".join(f"case when {s} is null then ln({ranking.MISSING}) else -ln(1 + exp(-greatest(-{ranking.LIMIT}, least({ranking.LIMIT}, case when dev_{s} > 0 then ({s} - mid_{s}) / dev_{s} else 0 end)))) end" for s in _SCORES)
+    clean = ", ".join(f"case when not isnan({s}) then {s} end as {s}" for s in _SCORES)
+    return f"""with r as materialized (select distinct query_id, hit_id, chunk_id, {clean} from {rows} where query_id is not null), m as (select query_id, {mids} from r group by query_id), v as (select query_id, {devs} from r join m using (query_id) group by query_id)
+select query_id, hit_id, chunk_id, exp(({parts}) / 3) as fused from r join m using (query_id) join v using (query_id)"""
+
+
+def _distinctive(hits: str) -> str:
+    return rf"""with c as materialized (select chunk_id, {_tokens("concat_ws(chr(10), title, array_to_string(breadcrumb, ' '), body)")} as ts from (select distinct on (chunk_id) * from chunks where chunk_id is not null order by chunk_id)),
+t as materialized (select chunk_id, token, count(*) as tf from (select chunk_id, unnest(ts) as token from c) group by all), s as materialized (select token, sum(tf) as cf, count(*) as df from t group by token),
+tot as (select sum(title_length_sum + breadcrumb_length_sum + body_length_sum)::double as len, sum(total_chunks)::double as docs from (select distinct * from corpus_totals)),
+h as (select hit_id, chunk_id, unnest(list_distinct(tokens)) as token from (select distinct hit_id, chunk_id, tokens from {hits})),
+x as (select hit_id, chunk_id, token, coalesce(tf, 0) as tf, df, cf / tot.len as pc, 6 * tot.len / greatest(docs, 1) as mu, len(ts) as dl from h join c using (chunk_id) left join t using (chunk_id, token) left join s using (token), tot where len(ts) > 0)
+select hit_id, chunk_id, token, tf, df, case when df >= 2 then (tf + mu * pc) / (dl + mu) * ln((tf + mu * pc) / (dl + mu) / pc) end as score from x"""
+
+
+SQL: dict[str, str] = {
+    "p3_found": f"with f as ({_NET}), n as (select sum(total_chunks) as n from (select distinct * from corpus_totals)), r as (select distinct recipe_id, body_df_min, body_df_ratio, df_any_min from compiler_recipes) select recipe_id, token, 'rare' as mark from f, r where df_any > 0 and df_any < df_any_min union all select recipe_id, token, 'common' from f, r, n where df_body >= body_df_min and df_body >= body_df_ratio * n",
+    "p3_frequencies": _NET,
+    "p3_text_frequencies": f"select token, sum(tf)::bigint as occurrences, count(*) as records from (select doc_id, token, count(*) as tf from (select doc_id, unnest({_tokens('text')}) as token from (select doc_id, min(text) as text from documents where doc_id is not null group by doc_id)) group by all) group by token",
+    "p4_ranking": f"select query_id, hit_id, chunk_id, round(fused, 6) as fused from ({_fused('hits')})",
+    "p4_found": f"select query_id, arg_max(chunk_id, {{'f': fused, 'h': -hit_id}}) as chunk_id from ({_fused('(select * from hits where query_id in (select query_id from judged_queries))')}) group by query_id",
+    "p7_scores": f"select hit_id, chunk_id, token, tf, df, round(score, 9) as score from ({_distinctive('hits')})",
+    "p7_found": f"select hit_id, arg_max(token, {{'s': score, 't': tf, 'd': -df}}) as token from ({_distinctive('(select * from hits where hit_id in (select hit_id from term_probes))')}) where score is not null group by hit_id",
+}
