@@ -430,7 +430,7 @@ def synthetic(spark: SparkSession, documents: int, sections: int, words: int, vo
 # Sources and sinks ----------------------------------------------------------------------------------------------------
 
 
-@query("src_01_discovery", "select doc_type || ':' || slug as doc_key, doc_type, slug, n as file_count from (select case when regexp_matches(f, '^books/[^/_][^/]*/[^/]+[.]md$') then 'book' when regexp_matches(f, '^papers/[^/_][^/]*/_index[.]md$') then 'paper' when regexp_matches(f, '^notes/[^/_][^/]*[.]md$') then 'note' end as doc_type, regexp_replace(regexp_replace(f, '^[a-z]+/', ''), '(/.*|[.]md)$', '') as slug, count(distinct f) as n, bool_or(f like '%/_index.md') as i from (select unnest(files) as f from source_docs) group by all having doc_type is not null) where doc_type <> 'book' or (i and n >= 2)")
+@query("src_01_discovery", "select doc_type || ':' || slug as doc_key, doc_type, slug, count(distinct f) as file_count from (select case when regexp_matches(f, '^books/[^/_][^/]*/[^/]+[.]md$') then 'book' when regexp_matches(f, '^papers/[^/_][^/]*/_index[.]md$') then 'paper' when regexp_matches(f, '^notes/[^/_][^/]*[.]md$') then 'note' end as doc_type, regexp_replace(regexp_replace(f, '^[a-z]+/', ''), '(/.*|[.]md)$', '') as slug, f from (select distinct unnest(files) as f from source_docs)) where doc_type is not null group by doc_type, slug having doc_type <> 'book' or (bool_or(f like '%/_index.md') and count(distinct f) >= 2)")
 def _(spark, d):
     paths = load(spark, d, "source_docs").select(F.explode("files").alias("f")).distinct().select(F.concat(F.lit("/"), F.col("f")).alias("path"))
     return fs.discover(paths).select("doc_key", "doc_type", "slug", F.size("files").alias("file_count"))
