@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..sources.files import list_tree, read_tree
+
 
 @F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
@@ -96,22 +98,22 @@ class FileManifest:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(at)
 
-    def list_input(self, source: str, glob: str = "*", checksum: bool = True) -> DataFrame:
+    def list_input(self, source: str, suffix: str = "", checksum: bool = True) -> DataFrame:
         """(path, size, checksum) of the files under source; the bytes are read only if `checksum`."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(source)
+        files = read_tree(self.spark, source, suffix) if checksum else list_tree(self.spark, source, suffix)
         mark = F.sha2("content", 256) if checksum else F.col("modificationTime").cast("string")
         return files.select("path", F.col("length").alias("size"), mark.alias("checksum"))
 
-    def pending(self, source: str, glob: str = "*", checksum: bool = True) -> DataFrame:
+    def pending(self, source: str, suffix: str = "", checksum: bool = True) -> DataFrame:
         """Files that are new, or whose size or checksum is not what was committed last."""
-        return self.list_input(source, glob, checksum).join(self.committed().select("path", "size", "checksum"), ["path", "size", "checksum"], "left_anti")
+        return self.list_input(source, suffix, checksum).join(self.committed().select("path", "size", "checksum"), ["path", "size", "checksum"], "left_anti")
 
-    def run(self, source: str, work: Callable[[DataFrame], DataFrame], glob: str = "*", checksum: bool = True) -> str | None:
+    def run(self, source: str, work: Callable[[DataFrame], DataFrame], suffix: str = "", checksum: bool = True) -> str | None:
         """Process what is pending; returns the batch id, or None if nothing is.
 
         `work` gets the DataFrame of pending (path, size, checksum) and returns the rows to write.
         """
-        todo = self.pending(source, glob, checksum)
+        todo = self.pending(source, suffix, checksum)
         # The id comes from sums over all rows, not from their list: nothing is gathered on the driver.
         h = F.xxhash64("path", "size", "checksum")
         row = todo.agg(F.count("*").alias("n"), F.sum(F.shiftright(h, 20)).alias("a"), F.bit_xor(h).alias("x")).first()

@@ -12,9 +12,56 @@ from pyspark.sql import functions as F
 BOOK, PAPER, NOTE = r"/books/([^/_][^/]*)/([^/]+\.md)$", r"/papers/([^/_][^/]*)/(_index\.md)$", r"/notes/([^/_][^/]*)\.md$"
 
 
-def read_tree(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
-    """(path, length, modificationTime, content) of all files below root."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+def list_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """(path, length, modificationTime) of all files below root that end in suffix.
+
+    Spark's own file sources pass over names that start with `_`, among them every `_index.md`, so tasks list the tree:
+    one starts at each entry of the root, and works directory by directory.
+    """
+    from pyarrow import fs as afs
+
+    system, base = afs.FileSystem.from_uri(root)
+    prefix = root.rstrip("/").removesuffix(base.rstrip("/")) or "file://"
+    tops = [(x.path, x.type == afs.FileType.Directory) for x in system.get_file_info(afs.FileSelector(base))]  # entries of one directory
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as a
+
+        for pdf in batches:
+            for top, is_dir in zip(pdf["path"], pdf["is_dir"]):
+                inside, _ = a.FileSystem.from_uri(root)
+                todo = [top]
+                while todo:
+                    at = todo.pop()
+                    found = inside.get_file_info(a.FileSelector(at)) if is_dir or at != top else [inside.get_file_info(at)]
+                    todo += [x.path for x in found if x.type == a.FileType.Directory]
+                    files = [x for x in found if x.type == a.FileType.File and x.path.endswith(suffix)]
+                    if files:
+                        yield pd.DataFrame({"path": [x.path for x in files], "length": [x.size for x in files], "modificationTime": [x.mtime for x in files]})
+
+    rows = spark.createDataFrame(tops, "path string, is_dir boolean").repartition(max(1, len(tops)))
+    listed = rows.mapInPandas(walk, "path string, length bigint, modificationTime timestamp")
+    return listed.withColumn("path", F.concat(F.lit(prefix), F.col("path")))
+
+
+def read_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """(path, length, modificationTime, content) of all files below root that end in suffix; tasks read a few files at a time."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as a
+
+        for pdf in batches:
+            for i in range(0, len(pdf), 64):
+                part = pdf.iloc[i : i + 64]
+                yield part.assign(content=[_bytes(a, p) for p in part["path"]])
+
+    return list_tree(spark, root, suffix).repartition("path").mapInPandas(read, "path string, length bigint, modificationTime timestamp, content binary")
+
+
+def _bytes(a, path: str) -> bytes:
+    system, inner = a.FileSystem.from_uri(path)
+    with system.open_input_stream(inner) as f:
+        return f.read()
 
 
 def file_records(files: DataFrame) -> DataFrame:
