@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import normalize_for_search
 from ..functions.synonyms import SYNONYM_WEIGHT, table
 from ..functions.text import joined, round_half_up, tokenize, tokenize_unique
+from ..session import cut
 from .index import Index, effective_df, is_pruned
 
 # Scoring constants.
@@ -105,8 +106,11 @@ def title_text(title: Column, breadcrumb: Column) -> Column:
 
 
 def phrase_path(scored: DataFrame, queries: DataFrame, index: Index, k: int = 20) -> DataFrame:
-    """Path A: of the first 60 candidates those whose titles hold over 0.3 of the query's grams; (query_id, chunk_id, ..., score, rank)."""
-    first = capped(scored, 3 * k)
+    """Path A: of the first 60 candidates those whose titles hold over 0.3 of the query's grams; (query_id, chunk_id, ..., score, rank).
+
+    `scored` are candidates, or already ranked ones.
+    """
+    first = scored.where(F.col("rank") <= 3 * k) if "rank" in scored.columns else capped(scored, 3 * k)
     texts = first.join(index.chunks.select("chunk_id", title_text(F.col("title"), F.col("breadcrumb")).alias("tt")), "chunk_id")
     share = texts.join(analyzed(queries).select("query_id", "norm"), "query_id").withColumn("share", phrase_share(F.col("norm"), F.col("tt"))).where(F.col("share") > PHRASE_LEAST)
     out = share.select("query_id", "chunk_id", "doc_key", "node_key", "local_id", F.col("rank").alias("b_rank"), round_half_up(F.col("share"), 2).alias("score"))
@@ -151,8 +155,9 @@ def multi_path(queries: DataFrame, index: Index, top_k: int = 50, prune: bool =
     if top_k <= 0:
         return queries.sparkSession.createDataFrame([], "query_id string, rank int, doc_key string, node_key string, chunk_id string, local_id int, score double, rrf_score double")
     met = matches(query_tokens(queries), index, prune)
-    scored = bm25f(met, index)
-    fused = rrf([phrase_path(scored, queries, index), capped(scored, max(top_k, 50)), route_path(met, index)])
+    # Two paths read the ranked candidates, at most max(top_k, 60) a query: they are scored once.
+    few = cut(capped(bm25f(met, index), max(top_k, 60)))
+    fused = rrf([phrase_path(few, queries, index), few.where(F.col("rank") <= max(top_k, 50)), route_path(met, index)])
     out = capped(fused, top_k, [F.desc("rrf_score"), F.asc("seen")])
     return out.select("query_id", "rank", "doc_key", "node_key", "chunk_id", "local_id", round_half_up(F.col("rrf_score"), 3).alias("score"), "rrf_score")
 
@@ -303,6 +308,22 @@ def packed(ctx: DataFrame, cost: Column, budget: int) -> DataFrame:
     return final.select("query_id", "c.ord", "c.chunk_id")
 
 
+def truncated(text: Column, most: int) -> Column:
+    """At most `most` characters: whole paragraphs; if the first is longer, whole sentences; if that is longer too, characters. Shorter texts stay."""
+    t = F.coalesce(text, F.lit(""))
+
+    def fold(parts: Column, gap: str) -> Column:
+        start = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
+        join = lambda a, p: F.when(a["out"] == "", p).otherwise(F.concat(a["out"], F.lit(gap), p))
+        room = lambda a, p: F.length(a["out"]) + len(gap) + F.length(p) <= most
+        step = lambda a, p: F.when(a["full"] | ~room(a, p), F.struct(a["out"].alias("out"), F.lit(True).alias("full"))).otherwise(F.struct(join(a, p).alias("out"), F.lit(False).alias("full")))
+        return F.aggregate(parts, start, step, lambda a: a["out"])
+
+    some = lambda xs: F.filter(xs, lambda p: F.trim(p) != "")
+    paragraphs, sentences = fold(some(F.split(t, "\n+")), "\n"), fold(some(F.split(t, "(?<=[。！？；!?])")), "")
+    return F.when(F.length(t) <= most, t).when(paragraphs != "", paragraphs).when(sentences != "", sentences).otherwise(F.substring(t, 1, most))
+
+
 def evaluated(golden: DataFrame, hits: DataFrame, classes: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, category, kind, recall, mrr, correct) of golden questions (query_id, category, expect_doc_ids)."""
     top = hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_key"))).alias("top"))  # k rows a query

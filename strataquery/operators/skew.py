@@ -19,17 +19,24 @@ def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> list:
     return [x["item"] for x in row["top"] or [] if x["count"] >= max(2, share * row["n"])]
 
 
+def hot_counts(counts: DataFrame, key: str, n: str, share: float = 0.02) -> list:
+    """hot_keys of rows that are already counted by key: the MOST_HOT largest counts and their total."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.orderBy(F.desc(n)).select(key, n).limit(MOST_HOT).collect() if r[0] is not None and r[1] >= max(2, share * total)]
+
+
 def _salt(hot: Column, spread: Column, fan: int) -> Column:
     return F.when(hot, F.pmod(F.xxhash64(spread), F.lit(fan)).cast("int")).otherwise(F.lit(0))
 
 
-def skew_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner", share: float = 0.02, fan: int = 48) -> DataFrame:
+def skew_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner", share: float = 0.02, fan: int = 48, hot: list | None = None) -> DataFrame:
     """Join `many` to `one` (few rows a key) on `key`; rows of hot keys are spread over `fan` tasks by `spread`.
 
     `how`: inner, left, left_semi or left_anti. Rows of `one` are repeated only for hot keys. The result
-    is that of the plain join: null keys match nothing.
+    is that of the plain join: null keys match nothing. `hot` are the hot keys if the caller knows them; else `many` is scanned
+    for them first, which is cheap where it is a table and not where it is a long plan.
     """
-    hot = hot_keys(many, key, share)
+    hot = hot_keys(many, key, share) if hot is None else hot
     if not hot:
         return many.join(one, key, how)
     is_hot = F.col(key).isin(hot)
