@@ -7,10 +7,11 @@ difference of their anagram hashes. Everything but the choice of corrections is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import skew_join
+from ..operators.skew import hot_counts, skew_join
+from ..session import cut
 
 # What scanners read (left) for what was printed (right). Ligature signs are among them.
 CONFUSIONS = [
@@ -50,14 +51,18 @@ def marked_lines(chunks: DataFrame) -> DataFrame:
     titles = F.array_compact(F.concat(F.coalesce("breadcrumb", F.array().cast("array<string>")), F.array("title")))
     named = once.withColumn("names", F.filter(F.transform(titles, _title_form), lambda t: F.length(t) > 0))
 
+    # Cheap guards come first: only a line that holds a title, or is as short as a page number, meets the patterns.
+    known = lambda form: F.array_contains(F.col("names"), form)
+
     def kind(line: Column) -> Column:
         bare = F.regexp_replace(line, NUMBERED, "")
         core = F.regexp_replace(bare, CHAPTER, "")
-        parts = F.contains(line, F.lit("|")) & F.forall(F.split(core, r"\s*\|\s*"), lambda x: F.exists("names", lambda n: (n == _title_form(x)) | ((F.length(x) >= 12) & F.startswith(n, _title_form(x)))))  # the second of two titles may be cut short
-        header = (F.length(line) < 200) & F.length(F.trim(line)).between(2, 200) & (F.array_contains(F.col("names"), _title_form(core)) | F.array_contains(F.col("names"), _title_form(bare)) | F.array_contains(F.col("names"), _title_form(line)) | parts)
-        markup = line.rlike(r"^\s*(?:#{1,6}\s|=|\*\*|`|\[\[)|=\s*$")
-        page = line.rlike(PAGE) & line.rlike(r"\d|\p{L}")
-        return F.when(page, "number").when(header & ~markup, F.when(bare != line, "both").otherwise("header")).otherwise("")
+        # of two titles the second may be cut short
+        parts = F.contains(line, F.lit("|")) & F.forall(F.split(core, r"\s*\|\s*"), lambda x: F.exists("names", lambda n: (n == _title_form(x)) | ((F.length(x) >= 12) & F.startswith(n, _title_form(x)))))
+        holds = (F.length(line) <= 200) & F.exists("names", lambda n: F.contains(F.upper(line), n)) & ~line.rlike(r"^\s*(?:#{1,6}\s|=|\*\*|`|\[\[)|=\s*$")
+        header = holds & (known(_title_form(core)) | known(_title_form(bare)) | known(_title_form(line)) | parts)
+        page = (F.length(F.trim(line)) <= 30) & line.rlike(PAGE) & line.rlike(r"\d|\p{L}")
+        return F.when(page, "number").when(header, F.when(bare != line, "both").otherwise("header")).otherwise("")
 
     lines = named.withColumn("lines", F.split("body", "\n"))
     told = lines.withColumn("kinds", F.when(F.size("lines") > 1, F.transform("lines", kind)).otherwise(F.array()))
@@ -92,15 +97,6 @@ def _anagram(word: Column) -> Column:
     return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda a, c: a + F.when(c == "", F.lit(0)).otherwise(F.shiftright(F.xxhash64(c), 8)))
 
 
-def confusion_table(spark: SparkSession) -> DataFrame:
-    """(wrong1, right1, wrong2, right2, delta): one or two confusions and the difference they make to the hash. Fixed size."""
-    one = spark.createDataFrame(CONFUSIONS, "wrong string, right string")
-    single = one.select("wrong", "right", (_anagram(F.col("right")) - _anagram(F.col("wrong"))).alias("delta"))
-    b = single.select(F.col("wrong").alias("wrong2"), F.col("right").alias("right2"), F.col("delta").alias("delta2"))
-    pairs = single.join(b, (F.col("wrong") <= F.col("wrong2")) & ~((F.col("wrong") == F.col("right2")) & (F.col("right") == F.col("wrong2"))))  # at most len(CONFUSIONS) squared
-    return single.select(F.col("wrong").alias("wrong1"), F.lit("").alias("wrong2"), F.lit("").alias("right2"), F.col("right").alias("right1"), "delta").unionByName(pairs.select(F.col("wrong").alias("wrong1"), "wrong2", F.col("right").alias("right1"), "right2", (F.col("delta") + F.col("delta2")).alias("delta")))
-
-
 def vocabulary(marked: DataFrame) -> DataFrame:
     """(word, n): how often every word occurs in texts and titles of all chunks."""
     each = marked.select(F.explode(words_of(F.concat_ws("\n", without_edges(F.col("text")), "titles"))).alias("word"))
@@ -116,14 +112,17 @@ def corrections(words: DataFrame, ratio: float = 8.0, least: int = 4) -> DataFra
     the corpus is read by the likeliest sign confusions. Words seen once can be right words of one text,
     so a variant without signs must also occur `least` times.
     """
-    spark = words.sparkSession
-    table = confusion_table(spark)
+    signs_in = lambda c: F.regexp_count(c, F.lit(f"[{SIGNS}]"))
     odd = F.col("word").rlike(f"[{SIGNS}]")
-    rare = words.where((F.length("word") >= 3) & F.col("word").rlike(r"^[\p{L}\p{M}]*[\p{L}0-9!|][\p{L}\p{M}0-9!|]*$")).select("word", F.col("n").alias("own"), odd.alias("odd"), _anagram(F.col("word")).alias("h"))
-    has = lambda c: F.instr(F.col("word"), F.col(c)) > 0
-    # The table has a fixed number of rows; a second confusion is tried where signs or length leave room for it.
-    tried = rare.join(F.broadcast(table), has("wrong1") & ((F.col("wrong2") == "") | (has("wrong2") & (F.length("word") >= 5) & (F.col("odd") | (F.length("word") >= 7)))))
-    keyed = tried.where(~F.col("odd") | (F.regexp_count("word", F.lit(f"[{SIGNS}]")) <= F.when(F.col("wrong1").rlike(f"[{SIGNS}]"), 1).otherwise(0) + F.when(F.col("wrong2").rlike(f"[{SIGNS}]"), 1).otherwise(0) + 1)).select("word", "own", "odd", (F.col("h") + F.col("delta")).alias("h"), F.when(F.col("wrong2") == "", 1).otherwise(2).alias("steps"), (F.greatest(F.length("wrong1"), F.length("right1")) + F.greatest(F.length("wrong2"), F.length("right2"))).alias("reach"))
+    # The table is a constant: each word meets only the confusions it can hold, by number in the order of the table.
+    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), (_anagram(F.lit(r)) - _anagram(F.lit(w))).alias("d"), F.lit(max(len(w), len(r))).alias("reach"), F.lit(sum(c in SIGNS for c in w)).alias("signs")) for i, (w, r) in enumerate(CONFUSIONS)))
+    rare = words.where((F.length("word") >= 3) & F.col("word").rlike(r"^[\p{L}\p{M}]*[\p{L}0-9!|][\p{L}\p{M}0-9!|]*$")).select("word", F.col("n").alias("own"), odd.alias("odd"), signs_in("word").alias("signs"), _anagram(F.col("word")).alias("h"))
+    held = rare.withColumn("t", F.filter(table, lambda c: F.instr(F.col("word"), c["w"]) > 0)).select("word", "own", "odd", "signs", "h", "t", F.explode("t").alias("a"))
+    # a second confusion is tried where signs or length leave room for it
+    room = (F.length("word") >= 5) & (F.col("odd") | (F.length("word") >= 7))
+    none = F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("w"), F.lit(0).cast("bigint").alias("d"), F.lit(0).alias("reach"), F.lit(0).alias("signs")))
+    tried = held.select("word", "own", "odd", "signs", "h", "a", F.explode(F.when(room, F.concat(none, F.filter("t", lambda c: c["i"] >= F.col("a.i")))).otherwise(none)).alias("b"))
+    keyed = tried.where(F.col("signs") <= F.col("a.signs") + F.col("b.signs") + 1).select("word", "own", "odd", (F.col("h") + F.col("a.d") + F.col("b.d")).alias("h"), F.when(F.col("b.i") < 0, 1).otherwise(2).alias("steps"), (F.col("a.reach") + F.col("b.reach")).alias("reach"))
     frequent = words.where(F.col("word").rlike(r"^[\p{L}\p{M}]{3,}$") & ~F.col("word").rlike(f"[{SIGNS[5:]}]") & (F.col("n") >= 2)).select(F.col("word").alias("fixed"), F.col("n"), _anagram(F.col("word")).alias("h"))
     met = keyed.join(frequent, "h").where(F.when(F.col("odd"), F.col("n") >= F.col("own")).otherwise((F.col("n") >= least) & (F.col("n") >= ratio * F.col("own") * F.col("steps"))) & (F.levenshtein("word", "fixed") <= F.col("reach")))
     best = met.groupBy("word").agg(F.min_by(F.struct("fixed", "n"), F.struct("steps", F.expr("-n"), "fixed")).alias("b")).select("word", "b.fixed", "b.n")
@@ -137,11 +136,11 @@ def corrections(words: DataFrame, ratio: float = 8.0, least: int = 4) -> DataFra
     return best.unionByName(lone).unionByName(ligatures)
 
 
-def misread(marked: DataFrame, fixes: DataFrame) -> DataFrame:
-    """(chunk_id, word, fixed, times) of every misread word of every chunk."""
+def misread(marked: DataFrame, words: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(chunk_id, word, fixed, times) of every misread word of every chunk; words the vocabulary shows to be hot are spread."""
     each = marked.select("chunk_id", F.explode(words_of(without_edges(F.col("text")))).alias("word")).where(F.length("word").between(2, 64))
     counted = each.groupBy("chunk_id", "word").agg(F.count("*").alias("times"))
-    return skew_join(counted, fixes.select("word", "fixed"), "word", "chunk_id")
+    return skew_join(counted, fixes.select("word", "fixed"), "word", "chunk_id", hot=hot_counts(words, "word", "n"))
 
 
 def breaks(marked: DataFrame, words: DataFrame) -> DataFrame:
@@ -164,11 +163,11 @@ def breaks(marked: DataFrame, words: DataFrame) -> DataFrame:
 
 def found_noise(chunks: DataFrame) -> DataFrame:
     """(chunk_id, kind): hyphenation, misread (two misread words or more), running_header, page_number."""
-    marked = marked_lines(chunks)
-    words = vocabulary(marked)
+    marked = cut(marked_lines(chunks))  # read by every part below
+    words = cut(vocabulary(marked))
     edges = marked.select("chunk_id", F.explode(F.array_compact(F.array(F.when(F.col("header"), F.lit("running_header")), F.when(F.col("number"), F.lit("page_number"))))).alias("kind"))
     broken = breaks(marked, words).select("chunk_id", F.lit("hyphenation").alias("kind")).distinct()
-    wrong = misread(marked, corrections(words)).groupBy("chunk_id").agg(F.sum("times").alias("n")).where("n >= 2").select("chunk_id", F.lit("misread").alias("kind"))
+    wrong = misread(marked, words, corrections(words)).groupBy("chunk_id").agg(F.sum("times").alias("n")).where("n >= 2").select("chunk_id", F.lit("misread").alias("kind"))
     return edges.unionByName(broken).unionByName(wrong)
 
 
@@ -178,9 +177,9 @@ def repaired(chunks: DataFrame) -> DataFrame:
     Lines of a paragraph are joined by a space (by nothing between CJK characters) where the chunk shows noise or hard wraps;
     blocks of markup (tables, lists, code, formulas) keep their lines.
     """
-    marked = marked_lines(chunks)
-    words = vocabulary(marked)
-    fixes = misread(marked, corrections(words)).groupBy("chunk_id").agg(F.collect_list(F.struct("word", "fixed")).alias("fixes"))
+    marked = cut(marked_lines(chunks))  # read by every part below
+    words = cut(vocabulary(marked))
+    fixes = misread(marked, words, corrections(words)).groupBy("chunk_id").agg(F.collect_list(F.struct("word", "fixed")).alias("fixes"))
     joins = breaks(marked, words).groupBy("chunk_id").agg(F.collect_list(F.struct("left", "sign", "right")).alias("joins"))
     both = marked.join(joins, "chunk_id", "left").join(fixes, "chunk_id", "left")
     text = without_edges(F.col("text"))
