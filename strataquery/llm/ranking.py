@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import skew_join
+from ..operators.skew import hot_keys, skew_join
 
 SCORES = ("score", "rrf_score", "rerank_score")
 #: Bounds of standardised values, and what a missing score gets; it lies below any real one.
@@ -32,12 +32,13 @@ def fused_scores(hits: DataFrame, scores: tuple[str, ...] = SCORES, weights: tup
     w = weights or (1.0,) * len(scores)
     clean = [F.when(~F.isnan(s), F.col(s)).alias(s) for s in scores]
     rows = hits.where(F.col("query_id").isNotNull()).select("query_id", "hit_id", "chunk_id", *clean).distinct()
+    hot = hot_keys(hits, "query_id")
     finite = lambda s: F.when(F.abs(F.col(s)) < F.lit(float("inf")), F.col(s))
     centre = rows.groupBy("query_id").agg(F.struct(*(_median(finite(s)).alias(s) for s in scores)).alias("__mid"))
-    centred = skew_join(rows, centre, "query_id", "hit_id")
+    centred = skew_join(rows, centre, "query_id", "hit_id", hot=hot)
     away = lambda s: F.abs(finite(s) - F.col("__mid")[s])
     spread = centred.groupBy("query_id").agg(F.first("__mid").alias("__mid"), F.struct(*(F.when(_median(away(s)) > 0, _median(away(s)) * 1.4826).otherwise(F.avg(away(s)) * 1.2533).alias(s) for s in scores)).alias("__dev"))
-    both = skew_join(rows, spread, "query_id", "hit_id")
+    both = skew_join(rows, spread, "query_id", "hit_id", hot=hot)
 
     def log_bounded(s: str) -> Column:
         z = F.when(F.col("__dev")[s] > 0, (F.col(s) - F.col("__mid")[s]) / F.col("__dev")[s]).otherwise(F.lit(0.0))
