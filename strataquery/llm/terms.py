@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import joined, tokenize
-from ..operators.skew import skew_join
+from ..operators.skew import hot_keys, skew_join
+from ..session import cut
 
 
 def net_frequencies(deltas: DataFrame) -> DataFrame:
@@ -78,15 +79,16 @@ def distinctiveness(hits: DataFrame, chunks: DataFrame, totals: DataFrame, df_mi
     `df_min` records (misreadings, typing errors) and terms that occur nowhere get a null score. Hits whose
     chunk is missing, and null tokens, are left out. A repeated hit counts once.
     """
-    terms = chunk_terms(chunks)
+    terms = cut(chunk_terms(chunks))
     each = terms.select(F.explode("tf").alias("token", "n"))
     stats = each.groupBy("token").agg(F.sum("n").alias("cf"), F.count("*").alias("df"))
     length = F.col("title_length_sum") + F.col("breadcrumb_length_sum") + F.col("body_length_sum")
     sums = totals.distinct().agg(F.sum(length).cast("double").alias("len"), F.sum("total_chunks").cast("double").alias("docs"))
     once = hits.where(F.col("hit_id").isNotNull()).groupBy("hit_id", "chunk_id").agg(F.max("tokens").alias("tokens"))
-    found = skew_join(once, terms, "chunk_id", "hit_id")
+    hot = hot_keys(hits.select(F.explode("tokens").alias("token")), "token")
+    found = skew_join(once, terms, "chunk_id", "hit_id", hot=hot_keys(hits, "chunk_id"))
     asked = found.select("hit_id", "chunk_id", "dl", F.explode(F.transform(F.array_distinct(F.array_compact("tokens")), lambda t: F.struct(t.alias("token"), F.coalesce(F.col("tf")[t], F.lit(0)).alias("tf")))).alias("x")).select("hit_id", "chunk_id", "dl", "x.token", "x.tf")
-    scored = skew_join(asked, stats, "token", "hit_id", "left").join(F.broadcast(sums))  # one row of sums
+    scored = skew_join(asked, stats, "token", "hit_id", "left", hot=hot).join(F.broadcast(sums))  # one row of sums
     pc = F.col("cf") / F.col("len")
     m = F.lit(float(mu)) if mu is not None else F.col("len") / F.greatest(F.col("docs"), F.lit(1.0)) * 6
     pd = (F.col("tf") + m * pc) / (F.col("dl") + m)
