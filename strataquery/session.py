@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -36,3 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it from there: computed once, kept when executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever they run: the driver serves it as one archive, once an application."""
+    context = spark.sparkContext
+    if getattr(context, "_strataquery_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    where = Path(tempfile.mkdtemp(prefix="strataquery-code-"))
+    staged = where / "tree" / package.name
+    shutil.copytree(package, staged, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(where / package.name), "zip", staged.parent))
+    context._strataquery_shipped = True
