@@ -15,11 +15,14 @@ from ..session import cut
 
 # What scanners read (left) for what was printed (right). Ligature signs are among them.
 CONFUSIONS = [
-    ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("c", "e"), ("e", "c"), ("b", "h"), ("h", "b"),
-    ("u", "n"), ("n", "u"), ("f", "t"), ("t", "f"), ("q", "g"), ("g", "q"), ("rn", "m"), ("m", "rn"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("li", "h"),
-    ("i", "l"), ("l", "i"), ("6", "b"), ("8", "b"), ("9", "g"), ("a", "o"), ("o", "a"), ("y", "v"), ("v", "y"),
+    ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("c", "e"), ("b", "h"), ("u", "n"), ("f", "t"), ("q", "g"),
+    ("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("6", "b"), ("8", "b"), ("9", "g"),
+    ("e", "c"), ("h", "b"), ("n", "u"), ("t", "f"), ("g", "q"), ("m", "rn"), ("i", "l"), ("l", "i"), ("a", "o"), ("o", "a"), ("y", "v"), ("v", "y"),
     ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"),
 ]
+#: Confusions between letters that real words differ by too; they need WEAK times the evidence.
+RARER = {("e", "c"), ("h", "b"), ("n", "u"), ("t", "f"), ("g", "q"), ("m", "rn"), ("i", "l"), ("l", "i"), ("a", "o"), ("o", "a"), ("y", "v"), ("v", "y")}
+WEAK = 8
 #: Misreadings that don't look like letters; a word with one of them needs less evidence.
 SIGNS = "015!|ﬀﬁﬂﬃﬄﬅﬆ"
 
@@ -98,9 +101,10 @@ def _anagram(word: Column) -> Column:
 
 
 def vocabulary(marked: DataFrame) -> DataFrame:
-    """(word, n): how often every word occurs in texts and titles of all chunks."""
-    each = marked.select(F.explode(words_of(F.concat_ws("\n", without_edges(F.col("text")), "titles"))).alias("word"))
-    return each.where(F.length("word").between(2, 64)).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n, titled): how often every word occurs in texts and titles of all chunks, and whether a title has it."""
+    both = F.concat(F.transform(words_of(without_edges(F.col("text"))), lambda w: F.struct(w.alias("word"), F.lit(False).alias("t"))), F.transform(words_of(F.col("titles")), lambda w: F.struct(w.alias("word"), F.lit(True).alias("t"))))
+    each = marked.select(F.explode(both).alias("x")).select("x.word", "x.t")
+    return each.where(F.length("word").between(2, 64)).groupBy("word").agg(F.count("*").alias("n"), F.max("t").alias("titled"))
 
 
 def corrections(words: DataFrame, ratio: float = 8.0, least: int = 4) -> DataFrame:
@@ -109,22 +113,22 @@ def corrections(words: DataFrame, ratio: float = 8.0, least: int = 4) -> DataFra
     A rare word (at least `ratio` times rarer than its variant, or holding a sign of SIGNS) meets frequent
     words whose anagram hash differs by a known confusion or two; what only shares letters is cut by an edit
     check. Fewer confusions win, then frequency, then the lesser word. A word with a sign inside that has no variant in
-    the corpus is read by the likeliest sign confusions. Words seen once can be right words of one text,
+    the corpus is read by the likeliest sign confusions. Titles aren't scanned: a word of a title without signs is right. Words seen once can be right words of one text,
     so a variant without signs must also occur `least` times.
     """
     signs_in = lambda c: F.regexp_count(c, F.lit(f"[{SIGNS}]"))
     odd = F.col("word").rlike(f"[{SIGNS}]")
     # The table is a constant: each word meets only the confusions it can hold, by number in the order of the table.
-    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), (_anagram(F.lit(r)) - _anagram(F.lit(w))).alias("d"), F.lit(max(len(w), len(r))).alias("reach"), F.lit(sum(c in SIGNS for c in w)).alias("signs")) for i, (w, r) in enumerate(CONFUSIONS)))
-    rare = words.where((F.length("word") >= 3) & F.col("word").rlike(r"^[\p{L}\p{M}]*[\p{L}0-9!|][\p{L}\p{M}0-9!|]*$")).select("word", F.col("n").alias("own"), odd.alias("odd"), signs_in("word").alias("signs"), _anagram(F.col("word")).alias("h"))
+    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), (_anagram(F.lit(r)) - _anagram(F.lit(w))).alias("d"), F.lit(max(len(w), len(r))).alias("reach"), F.lit(sum(c in SIGNS for c in w)).alias("signs"), F.lit(WEAK if (w, r) in RARER else 1).alias("weak")) for i, (w, r) in enumerate(CONFUSIONS)))
+    rare = words.where((odd | ~F.col("titled")) & (F.length("word") >= 3) & F.col("word").rlike(r"^[\p{L}\p{M}]*[\p{L}0-9!|][\p{L}\p{M}0-9!|]*$")).select("word", F.col("n").alias("own"), odd.alias("odd"), signs_in("word").alias("signs"), _anagram(F.col("word")).alias("h"))
     held = rare.withColumn("t", F.filter(table, lambda c: F.instr(F.col("word"), c["w"]) > 0)).select("word", "own", "odd", "signs", "h", "t", F.explode("t").alias("a"))
     # a second confusion is tried where signs or length leave room for it
     room = (F.length("word") >= 5) & (F.col("odd") | (F.length("word") >= 7))
-    none = F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("w"), F.lit(0).cast("bigint").alias("d"), F.lit(0).alias("reach"), F.lit(0).alias("signs")))
+    none = F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("w"), F.lit(0).cast("bigint").alias("d"), F.lit(0).alias("reach"), F.lit(0).alias("signs"), F.lit(1).alias("weak")))
     tried = held.select("word", "own", "odd", "signs", "h", "a", F.explode(F.when(room, F.concat(none, F.filter("t", lambda c: c["i"] >= F.col("a.i")))).otherwise(none)).alias("b"))
-    keyed = tried.where(F.col("signs") <= F.col("a.signs") + F.col("b.signs") + 1).select("word", "own", "odd", (F.col("h") + F.col("a.d") + F.col("b.d")).alias("h"), F.when(F.col("b.i") < 0, 1).otherwise(2).alias("steps"), (F.col("a.reach") + F.col("b.reach")).alias("reach"))
+    keyed = tried.where(F.col("signs") <= F.col("a.signs") + F.col("b.signs") + 1).select("word", "own", "odd", (F.col("h") + F.col("a.d") + F.col("b.d")).alias("h"), F.when(F.col("b.i") < 0, 1).otherwise(2).alias("steps"), (F.col("a.reach") + F.col("b.reach")).alias("reach"), (F.col("a.weak") * F.col("b.weak")).alias("weak"))
     frequent = words.where(F.col("word").rlike(r"^[\p{L}\p{M}]{3,}$") & ~F.col("word").rlike(f"[{SIGNS[5:]}]") & (F.col("n") >= 2)).select(F.col("word").alias("fixed"), F.col("n"), _anagram(F.col("word")).alias("h"))
-    met = keyed.join(frequent, "h").where(F.when(F.col("odd"), F.col("n") >= F.col("own")).otherwise((F.col("n") >= least) & (F.col("n") >= ratio * F.col("own") * F.col("steps"))) & (F.levenshtein("word", "fixed") <= F.col("reach")))
+    met = keyed.join(frequent, "h").where(F.when(F.col("odd"), F.col("n") >= F.col("own")).otherwise((F.col("n") >= least) & (F.col("n") >= ratio * F.col("own") * F.col("steps") * F.col("weak"))) & (F.levenshtein("word", "fixed") <= F.col("reach")))
     best = met.groupBy("word").agg(F.min_by(F.struct("fixed", "n"), F.struct("steps", F.expr("-n"), "fixed")).alias("b")).select("word", "b.fixed", "b.n")
     inner = r"^\p{L}{1,}(?:[015!|]\p{L}+){1,3}$|^[!|]\p{L}{3,}$|^\p{L}{3,}[|]$"
     guess = F.translate(F.translate("word", "0!5", "ois"), "1|", "ll")
