@@ -325,3 +325,27 @@ def _(spark, d):
 def _(spark, d):
     i = ix.index_of(spark, d)
     return spark.createDataFrame([(int(i.totals["documents"]), i.n)], "documents bigint, chunks bigint")
+
+
+# SQL of queries defined before the parts it needs -----------------------------------------------------------------------
+
+from .core_queries import SQL as _CORE  # noqa: E402
+from .reference_queries import SQL  # noqa: E402
+
+STATUS = "select doc_type || ':' || slug as doc_id, arg_max(status, {'u': updated_at, 's': status}) as s from ingest_jobs where slug is not null group by doc_type, slug"
+NEAR = f"select doc_id, neighbor, case when bool_or(o) and bool_or(i) then 0 when bool_or(o) then 1 else 2 end as priority from (select source_id as doc_id, doc_id as neighbor, true as o, false as i from ({BACK}) union all select doc_id, source_id, false, true from ({BACK})) group by all"
+SHOWN = f"select doc_id, neighbor, priority, row_number() over (partition by doc_id order by priority, neighbor) as n from (select x.* from ({NEAR}) x left join ({STATUS}) s on x.neighbor = s.doc_id where coalesce(s.s, 'draft') <> 'failed') qualify n <= 40"
+LAST = f"select source_id, target_id, arg_max({{'line': line, 'raw': raw}}, {{'m': source_md, 'l': line, 'r': raw}}) as x from ({RESOLVED}) where status = 'resolved' group by all"
+KEY = r"replace(lower(trim(regexp_replace(title, '\s+', ' ', 'g'))), 'ß', 'ss')"
+
+SQL |= {
+    "idx_09_change_set": _CORE["p5_found"][: _CORE["p5_found"].index("select n.doc_key, case when")] + "select coalesce(n.doc_key, b.doc_key) as doc_key, case when b.doc_key is null then 'added' when n.doc_key is null then 'deleted' when n.c is not distinct from b.c and n.r is not distinct from b.r then 'unchanged' else 'changed' end as change from (select * from now where rn = 1 and not del) n full join (select * from built where rn = 1) b on n.doc_key = b.doc_key",
+    "lnk_04_resolve": RESOLVED,
+    "lnk_05_catalog": f"select p.doc_id, split_part(p.doc_id, ':', 1) as doc_type, substr(p.doc_id, instr(p.doc_id, ':') + 1) as slug, title, [regexp_replace(substr(p.doc_id, instr(p.doc_id, ':') + 1), '-\\d+$', ''), split_part(p.doc_id, ':', 1) || ':' || regexp_replace(substr(p.doc_id, instr(p.doc_id, ':') + 1), '-\\d+$', '')] as aliases, case when s = 'failed' then 'archived' when s = 'done' then 'reviewed' else 'draft' end as status, preview from ({SQL['lnk_13_preview']}) p left join ({STATUS}) t on p.doc_id = t.doc_id",
+    "lnk_09_link_index": f"select source_id, count(*) as links, count(*) filter (status = 'resolved') as outgoing from ({RESOLVED}) group by source_id",
+    "lnk_11_backlinks": f"select b.doc_id, source_id, occurrences, coalesce(s = 'failed', false) as archived from ({BACK}) b left join ({STATUS}) t on b.source_id = t.doc_id",
+    "lnk_12_neighborhood": SHOWN,
+    "lnk_12_shown_edges": f"select distinct n.doc_id, source_id, target_id, 'explicit' as relation, x.line as line, x.raw as raw from ({LAST}) e join ({SHOWN}) n on (e.source_id = n.doc_id and e.target_id = n.neighbor) or (e.target_id = n.doc_id and e.source_id = n.neighbor)",
+    "lnk_16_heading_map": sql(f"select doc_key as doc_id, {KEY} as key, arg_min(node_id, {{'l': local_id, 'c': chunk_id}}) as node_id from c where coalesce(trim(title), '') <> '' group by all", "c"),
+    "src_08_page_ranges": "select distinct job_id, updated_at, len(l) as n_pages, l[1] as first_page from (select job_id, updated_at, case when coalesce(pages, '') = '' then range(400) else list_sort(list_distinct(flatten(list_transform(string_split(pages, ','), lambda p: range(greatest(1, cast(split_part(p, '-', 1) as int)) - 1, least(400, cast(case when contains(p, '-') then split_part(p, '-', 2) else p end as int))))))) end as l from ingest_jobs)",
+}
