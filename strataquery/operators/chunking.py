@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 # Chunk size and overlap in characters; a numbered line that may be a heading.
 TARGET, OVERLAP = 500, 100
 FRONTMATTER = r"(?s)\A---\n.*?\n---\n"
@@ -79,5 +81,6 @@ def node_keys(nodes: DataFrame) -> DataFrame:
 
 def local_ids(chunks: DataFrame) -> DataFrame:
     """Adds local_id: dense from 0 in a document, by node_key, ordinal and hash of the body."""
-    w = W.partitionBy("doc_key").orderBy("node_key", "node_local_ordinal", F.sha2(F.coalesce("body", F.lit("")), 256), "chunk_id")
-    return chunks.withColumn("local_id", F.row_number().over(w) - 1)
+    rows = chunks.withColumn("__h", F.sha2(F.coalesce("body", F.lit("")), 256))
+    ids = numbered(rows, ["doc_key"], ["node_key", "node_local_ordinal", "__h", "chunk_id"], "local_id")
+    return chunks.join(ids.select("chunk_id", "local_id"), "chunk_id")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .index import postings, token_stats
+from .numbering import multiset_hash
 from .skew import skew_join
 
 # When layers are to be compacted.
@@ -15,10 +16,9 @@ MOST_LAYERS, DELTA_SHARE = 32, 5
 
 
 def content_hashes(chunks: DataFrame) -> DataFrame:
-    """(doc_key, content_hash, chunks): a fingerprint of a document's chunks, independent of row order: hashes of chunks first, then of their sorted list."""
+    """(doc_key, content_hash, chunks): a fingerprint of a document's chunks, independent of row order; a document of any size is one merged row."""
     fields = ["node_key", "node_local_ordinal", "title", "breadcrumb", "body"]
-    each = chunks.select("doc_key", F.sha2(F.to_json(F.struct(*fields)), 256).alias("h"))
-    return each.groupBy("doc_key").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("content_hash"), F.count("*").alias("chunks"))
+    return chunks.groupBy("doc_key").agg(multiset_hash(F.to_json(F.struct(*fields))).alias("content_hash"), F.count("*").alias("chunks"))
 
 
 def change_set(base: DataFrame, now: DataFrame) -> DataFrame:
@@ -30,10 +30,8 @@ def change_set(base: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def generation_id(documents: DataFrame) -> DataFrame:
-    """One row: an id of a map doc_key -> segment_hash that doesn't depend on row order and is never gathered: sums of row hashes in three parts, hashed."""
-    h = F.sha2(F.concat_ws("\n", "doc_key", "segment_hash"), 256)
-    part = lambda i: F.sum(F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{i}")
-    return documents.agg(F.count("*").alias("documents"), *(part(i) for i in range(5))).select("documents", F.sha2(F.concat_ws(",", "documents", *(F.col(f"s{i}") for i in range(5))), 256).alias("generation"))
+    """One row: an id of a map doc_key -> segment_hash that doesn't depend on row order and is never gathered."""
+    return documents.agg(F.count("*").alias("documents"), multiset_hash(F.concat_ws("\n", "doc_key", "segment_hash")).alias("generation"))
 
 
 def owners(layers: DataFrame) -> DataFrame:

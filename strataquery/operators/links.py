@@ -159,12 +159,12 @@ def diagnostics(edges: DataFrame) -> DataFrame:
     return edges.where("relation = 'explicit'").groupBy("status", "syntax").agg(F.count("*").alias("n"))
 
 
-def export_text(texts: DataFrame, edges: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(source_id, source_md, text): resolved wikilinks as `[label](lqd://id#anchor "id")`, others as they were."""
+def export_text(texts: DataFrame, edges: DataFrame, catalog: DataFrame, scheme: str = "doc") -> DataFrame:
+    """(source_id, source_md, text): resolved wikilinks as `[label](scheme://id#anchor "id")`, others as they were."""
     title = catalog.select(F.col("doc_id").alias("target_id"), "title")
     done = skew_join(edges.where("status = 'resolved' and syntax = 'wikilink'"), title, "target_id", "source_md")
     label = F.coalesce("alias", "title")
-    new = F.concat(F.lit("["), label, F.lit("](lqd://"), F.col("target_id"), F.when(F.col("anchor").isNotNull(), F.concat(F.lit("#"), F.col("anchor"))).otherwise(F.lit("")), F.lit(' "'), F.col("target_id"), F.lit('")'))
+    new = F.concat(F.lit("["), label, F.lit(f"]({scheme}://"), F.col("target_id"), F.when(F.col("anchor").isNotNull(), F.concat(F.lit("#"), F.col("anchor"))).otherwise(F.lit("")), F.lit(' "'), F.col("target_id"), F.lit('")'))
     swaps = done.groupBy("source_id", "source_md").agg(F.collect_set(F.struct("raw", new.alias("new"))).alias("swaps"))
     j = texts.join(swaps, ["source_id", "source_md"], "left")
     return j.select("source_id", "source_md", F.aggregate(F.sort_array(F.coalesce("swaps", F.array().cast("array<struct<raw:string,new:string>>"))), F.coalesce("text", F.lit("")), lambda t, x: F.replace(t, x["raw"], x["new"])).alias("text"))

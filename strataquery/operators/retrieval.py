@@ -79,14 +79,14 @@ def score_order() -> list[Column]:
     return [F.desc("score"), F.asc("ord"), F.asc("doc_key"), F.asc("local_id"), F.asc("chunk_id")]
 
 
-def capped(scored: DataFrame, k: int, order: list | None = None, per_doc: int = PER_DOC) -> DataFrame:
-    """The first k of every query with at most `per_doc` of a document; adds rank (1-based).
+def capped(scored: DataFrame, k: int, order: list | None = None, per_doc: int | None = PER_DOC) -> DataFrame:
+    """The first k of every query with at most `per_doc` of a document (None: any number); adds rank (1-based).
 
     Both limits are row_number filters, which Spark applies before each shuffle too: a query with any number of
     candidates sends at most per_doc rows a document, then k rows a task.
     """
     by = order or score_order()
-    few = scored.withColumn("__n", F.row_number().over(W.partitionBy("query_id", "doc_key").orderBy(*by))).where(F.col("__n") <= per_doc).drop("__n")
+    few = scored if per_doc is None else scored.withColumn("__n", F.row_number().over(W.partitionBy("query_id", "doc_key").orderBy(*by))).where(F.col("__n") <= per_doc).drop("__n")
     return few.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= k)
 
 

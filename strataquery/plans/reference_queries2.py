@@ -15,6 +15,7 @@ from ..operators import layers as ly
 from ..operators import links as lk
 from ..operators import nodes as nds
 from ..operators import retrieval as rt
+from ..operators.numbering import numbered
 from ..operators.skew import skew_join
 from ..session import load
 from ..sources import files as fs
@@ -140,8 +141,7 @@ def _(spark, d):
 
 @query("win_05_duplicate_ordinal", sql("select chunk_id, row_number() over (partition by doc_key, title order by local_id, chunk_id) - 1 as duplicate_ordinal from c", "c"))
 def _(spark, d):
-    w = W.partitionBy("doc_key", "title").orderBy("local_id", "chunk_id")
-    return once(spark, d).select("chunk_id", (F.row_number().over(w) - 1).alias("duplicate_ordinal"))
+    return numbered(once(spark, d), ["doc_key", "title"], ["local_id", "chunk_id"], "duplicate_ordinal").select("chunk_id", "duplicate_ordinal")
 
 
 @query("win_06_newest_state", "select job_id, max(updated_at) as updated_at, arg_max(status, {'u': updated_at, 's': status}) as status from ingest_jobs group by job_id")
@@ -177,17 +177,13 @@ def _(spark, d):
 
 @query("srt_03_utf8_order", sql("select token, row_number() over (order by token) as position from st", "st"))
 def _(spark, d):
-    """Positions in byte order: range partitions count their rows, offsets are summed over partitions, so no task holds all tokens."""
-    s = ix.index_of(spark, d).stats.select("token").repartitionByRange("token").sortWithinPartitions("token").withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id())
-    s = ix.cut(s)
-    sizes = s.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    off = sizes.select("part", "first", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row a partition
-    return s.join(F.broadcast(off), "part").select("token", (F.col("before") + F.col("id") - F.col("first") + 1).alias("position"))
+    """Positions in byte order; no task holds all tokens."""
+    return numbered(ix.index_of(spark, d).stats, [], ["token"], "i").select("token", (F.col("i") + 1).alias("position"))
 
 
 @query("srt_05_compiler_order", sql("select chunk_id, row_number() over (partition by doc_key order by local_id, chunk_id) as position from c", "c"))
 def _(spark, d):
-    return once(spark, d).select("chunk_id", F.row_number().over(W.partitionBy("doc_key").orderBy("local_id", "chunk_id")).alias("position"))
+    return numbered(once(spark, d), ["doc_key"], ["local_id", "chunk_id"], "i").select("chunk_id", (F.col("i") + 1).alias("position"))
 
 
 @query("lim_01_top_k", sql("select query_id, rank, chunk_id from hitlist where rank <= 20", "hitlist"))
@@ -317,16 +313,8 @@ def _(spark, d):
 
 @query("idx_06_compiled_ids", sql("select chunk_id, 'c' || lpad(cast(row_number() over (order by doc_key, local_id, chunk_id) - 1 as varchar), 6, '0') as global_id from c", "c"))
 def _(spark, d):
-    """Global numbers by (doc_key, local_id): documents are counted, offsets summed over range partitions of documents, numbers given inside documents."""
-    c = once(spark, d)
-    per = c.groupBy("doc_key").agg(F.count("*").alias("n")).repartitionByRange("doc_key").sortWithinPartitions("doc_key").withColumn("part", F.spark_partition_id())
-    per = ix.cut(per)
-    sums = per.groupBy("part").agg(F.sum("n").alias("s"))
-    off = sums.select("part", (F.sum("s").over(W.orderBy("part")) - F.col("s")).alias("before"))  # one row a partition
-    inside = W.partitionBy("part").orderBy("doc_key").rowsBetween(W.unboundedPreceding, -1)
-    start = per.join(F.broadcast(off), "part").select("doc_key", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("start"))
-    number = F.row_number().over(W.partitionBy("doc_key").orderBy("local_id", "chunk_id")) - 1
-    return c.select("chunk_id", "doc_key", number.alias("i")).join(start, "doc_key").select("chunk_id", F.concat(F.lit("c"), F.lpad((F.col("start") + F.col("i")).cast("string"), 6, "0")).alias("global_id"))
+    n = numbered(once(spark, d), [], ["doc_key", "local_id", "chunk_id"], "i")
+    return n.select("chunk_id", F.concat(F.lit("c"), F.lpad(F.col("i").cast("string"), 6, "0")).alias("global_id"))
 
 
 @query("idx_07_document_token_stats", sql("select doc_key, token, count(*) as df_any, count(*) filter (title_tf > 0 or breadcrumb_tf > 0) as df_nonbody, count(*) filter (body_tf > 0) as df_body from p group by doc_key, token", "p"))

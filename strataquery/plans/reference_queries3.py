@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,6 +14,7 @@ from ..operators import index as ix
 from ..operators import layers as ly
 from ..operators import links as lk
 from ..operators import retrieval as rt
+from ..operators.numbering import numbered
 from ..operators.table_diff import checksum_matrix
 from ..session import load, shared_dir
 from ..sources import files as fs
@@ -171,8 +171,8 @@ def _(spark, d):
 
 @query("srt_04_edge_order", f"select source_id, source_md, line, raw, row_number() over (partition by source_id order by coalesce(target_id, ''), source_md, line, raw) as position from ({RESOLVED})")
 def _(spark, d):
-    w = W.partitionBy("source_id").orderBy(F.coalesce("target_id", F.lit("")), "relation", "source_md", "line", "raw")
-    return edges(spark, d).select("source_id", "source_md", "line", "raw", F.row_number().over(w).alias("position"))
+    rows = edges(spark, d).withColumn("t", F.coalesce("target_id", F.lit("")))
+    return numbered(rows, ["source_id"], ["t", "relation", "source_md", "line", "raw"], "i").select("source_id", "source_md", "line", "raw", (F.col("i") + 1).alias("position"))
 
 
 @query("join_10_full_diff", "select coalesce(a.doc_key, b.doc_key) as doc_key, coalesce(a.k, b.k) as k, case when b.k is null then 'missing' when a.k is null then 'added' when a.h is distinct from b.h or a.t is distinct from b.t then 'changed' when a.i is distinct from b.i then 'id-only' else 'same' end as verdict from (select doc_key, node_key || ':' || node_local_ordinal as k, max(legacy_body_sha256) as h, max(title) as t, min(chunk_id) as i from legacy_chunks group by all) a full join (select doc_key, node_key || ':' || node_local_ordinal as k, max(generation_body_sha256) as h, max(title) as t, min(chunk_id) as i from generation_chunks group by all) b on a.doc_key = b.doc_key and a.k = b.k")
@@ -207,7 +207,7 @@ def _(spark, d):
 @query("srt_01_stable_score_sort", sql("select query_id, chunk_id, row_number() over (partition by query_id order by score desc, ord, doc_key, local_id, chunk_id) as position from scored qualify position <= 100", "scored"))
 def _(spark, d):
     s = rt.bm25f(met(spark, d), ix.index_of(spark, d))
-    return rt.capped(s, 100, per_doc=1 << 30).select("query_id", "chunk_id", F.col("rank").alias("position"))
+    return rt.capped(s, 100, per_doc=None).select("query_id", "chunk_id", F.col("rank").alias("position"))
 
 
 # Retrieval --------------------------------------------------------------------------------------------------------------

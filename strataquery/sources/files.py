@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import multiset_hash
+
 # Places of documents in a content tree.
 BOOK, PAPER, NOTE = r"/books/([^/_][^/]*)/([^/]+\.md)$", r"/papers/([^/_][^/]*)/(_index\.md)$", r"/notes/([^/_][^/]*)\.md$"
 
@@ -85,9 +87,9 @@ def discover(paths: DataFrame) -> DataFrame:
 
 
 def document_fingerprints(documents: DataFrame, records: DataFrame) -> DataFrame:
-    """(doc_key, content_hash): a hash over the sorted (path, sha256) of a document's files."""
+    """(doc_key, content_hash): a hash over the (path, sha256) of a document's files, whatever their order."""
     each = documents.select("doc_key", F.explode("files").alias("path")).join(records.select("path", "sha256"), "path")
-    return each.groupBy("doc_key").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("path", "sha256")))), 256).alias("content_hash"))
+    return each.groupBy("doc_key").agg(multiset_hash(F.to_json(F.struct("path", "sha256"))).alias("content_hash"))
 
 
 def cached_records(files: DataFrame, cache: DataFrame) -> DataFrame:

@@ -205,7 +205,7 @@ def test_links(spark):
     assert {(r["doc_id"], r["neighbor"], r["priority"]) for r in near.collect()} == {("note:src", "note:ok", 1), ("note:ok", "note:src", 2), ("book:only", "note:src", 2)}
     assert lk.shown_edges(e, near).count() >= 2
     out = {r["source_md"]: r["text"] for r in lk.export_text(texts, e, cat).collect()}
-    assert '[alias](lqd://note:ok "note:ok")' in out["s.md"] and "[[missing]]" in out["s.md"] and out["t.md"] == ""
+    assert '[alias](doc://note:ok "note:ok")' in out["s.md"] and "[[missing]]" in out["s.md"] and out["t.md"] == ""
     prov = lk.provenance(spark.createDataFrame([("note:a", ["note:b", "http://x"]), ("note:b", None)], "doc_id string, sources array<string>"))
     assert [tuple(r)[:2] for r in prov.collect()] == [("note:a", "note:b")]
     with pytest.raises(ValueError):
@@ -280,3 +280,18 @@ def test_stream_maintains_statistics(spark, tmp_path):
     want = ix.token_stats(ix.postings(ix.distinct_chunks(first.unionByName(second))))
     assert rows_of(si.view_statistics(spark, out).select("token", "df_any", "df_body")) == rows_of(want.select("token", "df_any", "df_body"))
     assert si.signed_statistics(first, first).count() == 0
+
+
+def test_numbered_is_row_number(spark):
+    from pyspark.sql import Window as W
+
+    from strataquery.operators.numbering import multiset_hash, numbered
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 3]), f"id{i}") for i in range(500)], "k string, o int, id string").repartition(7)
+    want = df.withColumn("i", F.row_number().over(W.partitionBy("k").orderBy("o", "id")) - 1)
+    assert rows_of(numbered(df, ["k"], ["o", "id"], "i").select("id", "i")) == rows_of(want.select("id", "i"))
+    assert [r["id"] for r in numbered(df, [], ["id"], "i").orderBy("i").collect()] == sorted(f"id{i}" for i in range(500))
+    assert numbered(df.limit(0), ["k"], ["id"], "i").count() == 0
+    h = lambda d: d.agg(multiset_hash(F.col("id")).alias("h")).first()["h"]
+    assert h(df) == h(df.orderBy("id")) != h(df.union(df.limit(1)))
