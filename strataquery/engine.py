@@ -11,6 +11,7 @@ from .operators import links as lk
 from .operators import nodes as nds
 from .operators import retrieval as rt
 from .operators.chunking import section
+from .operators.skew import hot_counts
 from .sources.snapshots import SnapshotStore
 
 
@@ -66,7 +67,8 @@ class Library:
         v = self.view()
         own = ly.owners(v.documents).withColumnRenamed("layer", "__own")
         chunks = v.chunks.join(own, "doc_key").where("layer = __own").drop("__own", "layer")
-        return ix.Index(chunks, v.active().drop("layer"), v.token_stats(), ix.corpus_totals(chunks).first())
+        stats = v.token_stats()
+        return ix.Index(chunks, v.active().drop("layer"), stats, ix.corpus_totals(chunks).first(), tuple(hot_counts(stats, "token", "df_any")))
 
     def compact(self) -> str:
         """Rewrite the view as one base layer; an error if it is one already."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import joined, tokenize
 from ..session import cut, load
+from .skew import hot_counts
 
 # The pruning rule of body postings.
 PRUNE_DF, PRUNE_NUMERATOR, PRUNE_DENOMINATOR = 256, 9, 10
@@ -34,8 +35,9 @@ def postings(chunks: DataFrame) -> DataFrame:
     mark = lambda a, i: F.transform(a, lambda t: F.struct(t.alias("token"), F.lit(i).alias("f")))
     rows = with_tokens(chunks).select("chunk_id", "doc_key", "node_key", "local_id", F.size("tt").alias("lt"), F.size("bt").alias("lb"), F.size("dt").alias("ld"), F.explode(F.concat(mark("tt", 0), mark("bt", 1), mark("dt", 2))).alias("x"))
     tf = lambda i, name: F.count_if(F.col("x.f") == i).cast("int").alias(name)
-    first = lambda c, name: F.first(c).alias(name)
-    return rows.groupBy("chunk_id", F.col("x.token").alias("token")).agg(first("doc_key", "doc_key"), first("node_key", "node_key"), first("local_id", "local_id"), tf(0, "title_tf"), tf(1, "breadcrumb_tf"), tf(2, "body_tf"), first("lt", "len_title"), first("lb", "len_breadcrumb"), first("ld", "len_body"))
+    # what a chunk determines is part of the key: only numbers are aggregated, which stays a hash aggregation
+    grouped = rows.groupBy("chunk_id", F.col("x.token").alias("token"), "doc_key", "node_key", "local_id", F.col("lt").alias("len_title"), F.col("lb").alias("len_breadcrumb"), F.col("ld").alias("len_body")).agg(tf(0, "title_tf"), tf(1, "breadcrumb_tf"), tf(2, "body_tf"))
+    return grouped.select("token", "chunk_id", "doc_key", "node_key", "local_id", "title_tf", "breadcrumb_tf", "body_tf", "len_title", "len_breadcrumb", "len_body")
 
 
 def token_stats(posts: DataFrame, *keys: str) -> DataFrame:
@@ -65,6 +67,7 @@ class Index:
     postings: DataFrame
     stats: DataFrame
     totals: Row
+    hot: tuple[str, ...] = ()  # tokens that hold a large part of all postings
 
     @property
     def n(self) -> int:
@@ -81,7 +84,8 @@ def build(chunks: DataFrame) -> Index:
     """Chunks once, postings range-partitioned and sorted by token (scans of a token touch few row groups), statistics, totals."""
     once = cut(distinct_chunks(chunks))
     posts = cut(postings(once).repartitionByRange("token", "doc_key").sortWithinPartitions("token", "doc_key", "local_id"))
-    return Index(once, posts, cut(token_stats(posts)), corpus_totals(once).first())
+    stats = cut(token_stats(posts))
+    return Index(once, posts, stats, corpus_totals(once).first(), tuple(hot_counts(stats, "token", "df_any")))
 
 
 _BUILT: dict[tuple[str, str], Index] = {}

@@ -12,6 +12,7 @@ from ..functions.synonyms import SYNONYM_WEIGHT, table
 from ..functions.text import joined, round_half_up, tokenize, tokenize_unique
 from ..session import cut
 from .index import Index, effective_df, is_pruned
+from .skew import skew_join
 
 # Scoring constants.
 K1, B = 1.5, 0.75
@@ -57,12 +58,12 @@ def _part(tf: Column, length: Column, mean: float, boost: float) -> Column:
 def matches(qt: DataFrame, index: Index, prune: bool = True) -> DataFrame:
     """One row a (query, token, chunk) that meets: postings of the query's tokens with effective frequencies.
 
-    Small sides meet first (tokens with their statistics), then postings, on the one key token; body frequencies of pruned
-    tokens are hidden. A hot token is a skewed join key between two exchanges, which adaptive execution splits.
+    Small sides meet first (tokens with their statistics), then postings, on the one key token; postings of hot tokens are
+    spread over tasks. Body frequencies of pruned tokens are hidden.
     """
     hidden = is_pruned(index.n) if prune else F.lit(False)
     known = qt.join(index.stats, "token").select("query_id", "ord", "token", "weight", "original", hidden.alias("hidden"), (effective_df(index.n) if prune else F.col("df_any")).alias("df"))
-    return known.join(index.postings, "token").withColumn("body_tf", F.when(F.col("hidden"), F.lit(0)).otherwise(F.col("body_tf"))).where("title_tf + breadcrumb_tf + body_tf > 0")
+    return skew_join(index.postings, known, "token", "chunk_id", hot=list(index.hot)).withColumn("body_tf", F.when(F.col("hidden"), F.lit(0)).otherwise(F.col("body_tf"))).where("title_tf + breadcrumb_tf + body_tf > 0")
 
 
 def bm25f(met: DataFrame, index: Index) -> DataFrame:
@@ -70,7 +71,7 @@ def bm25f(met: DataFrame, index: Index) -> DataFrame:
     mean = index.averages()
     fields = sum((_part(F.col(f"{f}_tf"), F.col(f"len_{f}"), mean[f], BOOST[f]) for f in BOOST), F.lit(0.0))
     each = met.withColumn("part", _idf(index.n, F.col("df")) * F.col("weight") * fields)
-    total = each.groupBy("query_id", "chunk_id").agg(F.first("doc_key").alias("doc_key"), F.first("node_key").alias("node_key"), F.first("local_id").alias("local_id"), F.min("ord").alias("ord"), F.sum("part").alias("raw"))
+    total = each.groupBy("query_id", "chunk_id", "doc_key", "node_key", "local_id").agg(F.min("ord").alias("ord"), F.sum("part").alias("raw"))
     return total.where("raw > 0").withColumn("score", round_half_up(F.col("raw"), 2))
 
 
