@@ -139,9 +139,9 @@ class Lattice:
 def readings(span: str, lattice: Lattice) -> list[tuple[str, str, float]]:
     """(channel, text, bonus) of every way to undo a channel on a span, best first by the character model.
 
-    A well-formed UTF-8 sequence hardly comes by chance, which the bonus holds; it needs characters the corpus knows.
+    A well-formed UTF-8 sequence hardly comes by chance, which the bonus holds. A reading needs characters the corpus knows; how
+    frequent they are drops none, since its words are weighed later.
     """
-    own = sum(lattice.w.get(c, lattice.floor) for c in span if c > "\x7f")
     seen: dict[str, tuple[str, float, float]] = {}
 
     def consider(text: str, channel: str, bonus: float, score: float) -> None:
@@ -159,7 +159,7 @@ def readings(span: str, lattice: Lattice) -> list[tuple[str, str, float]]:
         text, score, seqs = got
         known = all(c in lattice.w for c in text if c > "\x7f" and c != LOST)
         bonus = SEQUENCE * min(seqs, 4) if true == "utf-8" and known and not (wrong in WIDE and lost) else 0.0
-        if score + bonus > own - 1 and known:
+        if known:
             consider(text, f"{true}<{wrong}", bonus, score + bonus)
         if true == "utf-8" and wrong in ("cp1252", "latin-1"):
             for again in ("cp1252", "latin-1"):  # the same mistake made twice

@@ -291,3 +291,10 @@ def test_lattice_fills_lost_bytes():
     data = list("相变".encode())
     data[4] = -1
     assert lattice.decode(data, "utf-8")[0] == "相变"
+
+
+def test_letters_rarer_than_those_shown_are_restored(spark):
+    """ó is ten times as frequent as î here; the words decide."""
+    docs = [(i, "il paraît que " + "una canción " * 10) for i in range(40)]
+    got = encoding.restored(spark.createDataFrame([*docs, (99, "il paraÓt que")], "doc_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["text"], r["channels"]) for r in got] == [(99, "il paraît que", ["cp1252<mac_roman"])]
