@@ -29,8 +29,6 @@ LOST = "�"
 ENTER, SEQUENCE, SOUND = 2.3, 3.0, 2.0
 #: Share of the weight of all characters that fit partly lost bytes from which the likeliest is taken.
 SURE = 0.6
-#: Readings kept for a span, the best by the character model.
-READINGS = 5
 #: Words that speak for a reading of one span at most.
 MOST = 4
 UNIT = r"[㐀-鿿]|[\p{L}\p{M}&&[^㐀-鿿]]+|[^\x00-\x7f]"
@@ -137,16 +135,16 @@ class Lattice:
 
 
 def readings(span: str, lattice: Lattice) -> list[tuple[str, str, float]]:
-    """(channel, text, bonus) of every way to undo a channel on a span, best first by the character model.
+    """(channel, text, bonus) of every way to undo a channel on a span, at most one a channel.
 
     A well-formed UTF-8 sequence hardly comes by chance, which the bonus holds. A reading needs characters the corpus knows; how
     frequent they are drops none, since its words are weighed later.
     """
-    seen: dict[str, tuple[str, float, float]] = {}
+    seen: dict[str, tuple[str, float]] = {}
 
-    def consider(text: str, channel: str, bonus: float, score: float) -> None:
+    def consider(text: str, channel: str, bonus: float) -> None:
         if text != span and text not in seen and not any("\x00" < c < " " or "\x80" <= c < "\xa0" for c in text):
-            seen[text] = (channel, bonus, score)
+            seen[text] = (channel, bonus)
 
     lost = LOST in span
     for true, wrong in CHANNELS:
@@ -156,24 +154,23 @@ def readings(span: str, lattice: Lattice) -> list[tuple[str, str, float]]:
         got = data and lattice.decode(data, true)
         if not got:
             continue
-        text, score, seqs = got
+        text, _, seqs = got
         known = all(c in lattice.w for c in text if c > "\x7f" and c != LOST)
         bonus = SEQUENCE * min(seqs, 4) if true == "utf-8" and known and not (wrong in WIDE and lost) else 0.0
         if known:
-            consider(text, f"{true}<{wrong}", bonus, score + bonus)
+            consider(text, f"{true}<{wrong}", bonus)
         if true == "utf-8" and wrong in ("cp1252", "latin-1"):
             for again in ("cp1252", "latin-1"):  # the same mistake made twice
                 second = to_bytes(text, again)
                 got2 = second and lattice.decode(second, true)
                 if got2 and got2[0] != text and all(c in lattice.w for c in got2[0] if c > "\x7f"):
-                    consider(got2[0], f"{true}<{again}<{wrong}", bonus + SEQUENCE * min(got2[2], 4), got2[1] + bonus + SEQUENCE)
+                    consider(got2[0], f"{true}<{again}<{wrong}", bonus + SEQUENCE * min(got2[2], 4))
     if lost:
         data = to_bytes(span, "utf-8")
         got = data and lattice.decode(data, "gb18030")
         if got and sum("一" <= c <= "鿿" for c in got[0]) >= max(2, got[0].count(LOST)):
-            consider(got[0], "gb18030<utf-8", 0.0, got[1])
-    ranked = sorted(((c, t, b, s) for t, (c, b, s) in seen.items()), key=lambda x: (-x[3], x[0]))
-    return [(c, t, b) for c, t, b, _ in ranked[:READINGS]]
+            consider(got[0], "gb18030<utf-8", 0.0)
+    return [(c, t, b) for t, (c, b) in seen.items()]
 
 
 def decide(spans: list[tuple[int, bool, list[tuple[str, str, float]]]]) -> list[tuple[int, str, str]]:

@@ -298,3 +298,10 @@ def test_letters_rarer_than_those_shown_are_restored(spark):
     docs = [(i, "il paraît que " + "una canción " * 10) for i in range(40)]
     got = encoding.restored(spark.createDataFrame([*docs, (99, "il paraÓt que")], "doc_id bigint, text string")).collect()
     assert [(r["doc_id"], r["text"], r["channels"]) for r in got] == [(99, "il paraît que", ["cp1252<mac_roman"])]
+
+
+def test_every_reading_is_offered():
+    """The rarest of more than five readings is kept."""
+    weights = {c: -2.0 for c in map(chr, [*range(0xA1, 0x100), *range(0x410, 0x450)])} | {"ï": -12.0}
+    got = encoding.readings("naÔve", encoding.Lattice(weights))
+    assert len({t for _, t, _ in got}) > 5 and ("cp1252<mac_roman", "naïve", 0.0) in got
