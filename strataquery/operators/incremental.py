@@ -76,10 +76,11 @@ def pending(now: DataFrame, built: DataFrame) -> DataFrame:
 class FileManifest:
     """Exactly-once processing of a growing folder of files.
 
-    The manifest holds (path, size, checksum, batch) of every file whose work is committed. ``run`` lists the input, takes
-    the anti-join against the manifest, writes the result under a folder named by the batch, and commits the
-    manifest rows last. The batch id is a hash of what is pending: a run that died before its commit
-    is repeated under the same name and overwrites its own leftovers, and nothing is skipped or done twice.
+    The manifest holds (path, size, checksum, batch, number) of every file whose work is committed; commits are numbered. ``run``
+    lists the input, takes the anti-join against the newest manifest row of each path, writes the result under a folder
+    named by the batch, and commits the manifest rows last. The batch id is a hash of the commit's number and of what is
+    pending: a run that died before its commit is repeated under the same name and overwrites its own leftovers, a file
+    that returns to an earlier state is a new batch, and nothing is skipped or done twice.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -92,11 +93,17 @@ class FileManifest:
 
     def committed(self) -> DataFrame:
         """Files whose work is committed; each commit is one folder that appears by a rename."""
-        schema = "path string, size bigint, checksum string, batch string"
+        schema = "path string, size bigint, checksum string, batch string, number bigint"
         at = f"{self.root}/manifest"
         if not self._exists(at):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(at)
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(at)
+        return rows.withColumn("number", F.coalesce("number", F.lit(0).cast("bigint")))  # commits from before they were numbered
+
+    def newest(self) -> DataFrame:
+        """(path, size, checksum, batch) of each file's last commit."""
+        value = F.struct("size", "checksum", "batch")
+        return self.committed().groupBy("path").agg(F.max_by(value, F.struct("number", value)).alias("v")).select("path", "v.*")
 
     def list_input(self, source: str, suffix: str = "", checksum: bool = True) -> DataFrame:
         """(path, size, checksum) of the files under source; the bytes are read only if `checksum`."""
@@ -106,12 +113,12 @@ class FileManifest:
 
     def pending(self, source: str, suffix: str = "", checksum: bool = True) -> DataFrame:
         """Files that are new, or whose size or checksum is not what was committed last."""
-        return self.list_input(source, suffix, checksum).join(self.committed().select("path", "size", "checksum"), ["path", "size", "checksum"], "left_anti")
+        return self.list_input(source, suffix, checksum).join(self.newest().select("path", "size", "checksum"), ["path", "size", "checksum"], "left_anti")
 
     def run(self, source: str, work: Callable[[DataFrame], DataFrame], suffix: str = "", checksum: bool = True) -> str | None:
         """Process what is pending; returns the batch id, or None if nothing is.
 
-        `work` gets the DataFrame of pending (path, size, checksum) and returns the rows to write.
+        `work` gets the DataFrame of pending (path, size, checksum) and returns the rows to write, each with the `path` of its file.
         """
         todo = self.pending(source, suffix, checksum)
         # The id comes from sums over all rows, not from their list: nothing is gathered on the driver.
@@ -119,10 +126,14 @@ class FileManifest:
         row = todo.agg(F.count("*").alias("n"), F.sum(F.shiftright(h, 20)).alias("a"), F.bit_xor(h).alias("x")).first()
         if not row["n"]:
             return None
-        batch = hashlib.sha256(json.dumps([row["n"], row["a"], row["x"]]).encode()).hexdigest()[:24]
-        work(todo).write.mode("overwrite").parquet(f"{self.root}/data/batch={batch}")
+        number = (self.committed().agg(F.max("number")).first()[0] or 0) + 1
+        batch = hashlib.sha256(json.dumps([number, row["n"], row["a"], row["x"]]).encode()).hexdigest()[:24]
+        rows = work(todo)
+        if "path" not in rows.columns:
+            raise ValueError("the rows need the path of their file, by which newer ones take their place")
+        rows.write.mode("overwrite").parquet(f"{self.root}/data/batch={batch}")
         staged, final = f"{self.root}/_staged/{uuid.uuid4().hex}", f"{self.root}/manifest/{batch}"
-        todo.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(staged)
+        todo.withColumns({"batch": F.lit(batch), "number": F.lit(number).cast("bigint")}).write.mode("overwrite").parquet(staged)
         self._fs.mkdirs(self._path(f"{self.root}/manifest"))
         if not self._fs.rename(self._path(staged), self._path(final)) and not self._exists(final):
             raise RuntimeError(f"the manifest of batch {batch} could not be committed")
@@ -130,5 +141,4 @@ class FileManifest:
 
     def result(self) -> DataFrame:
         """Rows of committed batches only, newest batch of every file."""
-        batches = self.committed().select("batch").distinct()
-        return self.spark.read.parquet(f"{self.root}/data").join(batches, "batch", "left_semi")
+        return self.spark.read.parquet(f"{self.root}/data").join(self.newest().select("path", "batch"), ["path", "batch"], "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
@@ -137,6 +138,26 @@ def test_file_manifest_survives_failures(spark, tmp_path):
     assert first != second and m.result().where(F.col("batch") == second).count() == 2 and m.pending(src.as_uri()).count() == 0
 
 
+def test_manifest_of_a_file_that_returns(spark, tmp_path):
+    """A, B and A again are three batches, and only a file's newest rows count."""
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "other.txt").write_text("other")
+    m = inc.FileManifest(spark, (tmp_path / "out").as_uri())
+    read = lambda todo: todo.select("path", "checksum")
+    batches = []
+    for text in ("A", "B", "A"):
+        (src / "a.txt").write_text(text)
+        batches.append(m.run(src.as_uri(), read))
+        rows = {r["path"].rpartition("/")[2]: (r["checksum"], r["batch"]) for r in m.result().collect()}
+        assert m.result().count() == 2 and rows["a.txt"] == (hashlib.sha256(text.encode()).hexdigest(), batches[-1]) and rows["other.txt"][1] == batches[0]
+        assert m.run(src.as_uri(), read) is None
+    assert len(set(batches)) == 3
+    with pytest.raises(ValueError):
+        (src / "a.txt").write_text("C")
+        m.run(src.as_uri(), lambda todo: todo.select("checksum"))
+
+
 def chunk(doc, i, title, body):
     return (f"{doc}-{i}", f"note:{doc}", f"n{i}", 0, i, title, ["top"], body, None, None, None, f"{i:04d}", None, None)
 
