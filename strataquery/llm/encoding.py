@@ -97,7 +97,7 @@ class Lattice:
         return self._index[codec].get(seq)
 
     def decode(self, data: list[int], codec: str) -> tuple[str, float, int] | None:
-        """(text, log weight, well-formed sequences) of the best path; exact decoding where nothing is lost."""
+        """(text, log weight, well-formed sequences without a lost byte) of the best path; exact decoding where nothing is lost."""
         if -1 not in data:
             try:
                 text = bytes(data).decode(codec)
@@ -118,7 +118,7 @@ class Lattice:
             for width in (2, 3) if codec == "utf-8" else (2,):
                 part = tuple(data[i : i + width])
                 if len(part) == width and (hit := self._best(codec, part)):
-                    steps.append((width, hit[0] - 1.5 * part.count(-1), hit[1], 1))
+                    steps.append((width, hit[0] - 1.5 * part.count(-1), hit[1], int(-1 not in part)))
             if data[i] == -1:
                 steps.append((1, self.floor - 2, LOST, 0))
             for width, w, ch, s in steps:
@@ -148,13 +148,15 @@ def readings(span: str, lattice: Lattice) -> list[tuple[str, str, float]]:
 
     lost = LOST in span
     for true, wrong in CHANNELS:
-        if lost and not (true == "utf-8" and wrong in WIDE):
+        if lost and true != "utf-8":
             continue
         data = to_bytes(span, wrong)
         got = data and lattice.decode(data, true)
         if not got:
             continue
         text, _, seqs = got
+        if lost and wrong not in WIDE and not seqs:  # lost bytes alone fit anything
+            continue
         known = all(c in lattice.w for c in text if c > "\x7f" and c != LOST)
         bonus = SEQUENCE * min(seqs, 4) if true == "utf-8" and known and not (wrong in WIDE and lost) else 0.0
         if known:

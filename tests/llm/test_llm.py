@@ -305,3 +305,15 @@ def test_every_reading_is_offered():
     weights = {c: -2.0 for c in map(chr, [*range(0xA1, 0x100), *range(0x410, 0x450)])} | {"ï": -12.0}
     got = encoding.readings("naÔve", encoding.Lattice(weights))
     assert len({t for _, t, _ in got}) > 5 and ("cp1252<mac_roman", "naïve", 0.0) in got
+
+
+def test_intact_letters_of_lost_spans_are_restored(spark):
+    """UTF-8 read as cp1252, which has no character for some bytes."""
+    docs = [(i * 10 + j, t) for i in range(20) for j, t in enumerate(SOUND.values())]
+    garbled = SOUND["ru"].encode().decode("cp1252", errors="replace")
+    got = {r["doc_id"]: r for r in encoding.restored(spark.createDataFrame([*docs, (900, garbled)], "doc_id bigint, text string")).collect()}
+    text = got[900]["text"]
+    assert encoding.LOST in garbled and got[900]["lost"] and "utf-8<cp1252" in got[900]["channels"]
+    assert len(text) == len(SOUND["ru"]) and all(a in (b, encoding.LOST) for a, b in zip(text, SOUND["ru"])) and text.count(encoding.LOST) <= garbled.count(encoding.LOST)
+    lattice = encoding.Lattice({c: -3.0 for c in "абвгдежзиклмнопрстуфхäöüß"})
+    assert not [c for x in ("��", "Gr��e", "мала�") for c, _, _ in encoding.readings(x, lattice) if c.rpartition("<")[2] not in encoding.WIDE]
