@@ -102,6 +102,15 @@ def _best_pair(left: np.ndarray, room: int, more_than: int) -> tuple[int, int] |
     return (int(have[at]), int(other[at])) if total[at] > more_than else None
 
 
+#: Containers and targets are configuration: up to so many are broadcast, more take part in a plain join.
+CONTAINERS, TARGETS = 1_000, 10_000
+
+
+def _spread(table: DataFrame, most: int) -> DataFrame:
+    """table, marked for broadcast if it has at most `most` rows; none is left out."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def pack(documents: DataFrame, sizes: DataFrame, group_items: int = 50_000, path: str | None = None) -> DataFrame:
     """(container, bin, doc_id, piece, n_tokens, capacity_tokens) for every document of at least one token.
 
@@ -114,7 +123,7 @@ def pack(documents: DataFrame, sizes: DataFrame, group_items: int = 50_000, path
     measured = with_token_counts(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), path=path).where("n_tokens > 0").select("doc_id", "n_tokens")
     boxes = sizes.where("capacity_tokens > 0").select("container", "capacity_tokens").distinct()
     groups = max(1, ceil(documents.count() / group_items))
-    wide = measured.join(F.broadcast(boxes.limit(1_000)))  # containers are configuration: at most 1,000 kinds are read
+    wide = measured.join(_spread(boxes, CONTAINERS))
     pieces = wide.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / F.col("capacity_tokens")).cast("int")))).select("container", "capacity_tokens", "doc_id", "piece", F.least(F.col("capacity_tokens"), F.col("n_tokens") - F.col("piece") * F.col("capacity_tokens")).cast("int").alias("size"))
     placed = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
 
@@ -180,7 +189,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     spark = documents.sparkSession
     norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")))
     goal = targets.where(F.col("source").isNotNull()).groupBy(norm(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    wanted = documents.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select("doc_id", norm(F.col("source")).alias("source"), "text").join(F.broadcast(goal.select("source").limit(10_000)), "source")  # targets are configuration
+    wanted = documents.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select("doc_id", norm(F.col("source")).alias("source"), "text").join(_spread(goal.select("source"), TARGETS), "source")
     once = wanted.withColumn("h", F.sha2("text", 256)).groupBy("h").agg(F.min(F.struct("doc_id", "source")).alias("d"), F.first("text").alias("text"))
     texts = cut(with_token_counts(once.select("d.doc_id", "d.source", "text"), path=path).where("n_tokens > 0").select("doc_id", "source", "n_tokens"))
     have = {r["source"]: (int(r["n"]), int(r["t"])) for r in texts.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}  # one row a target

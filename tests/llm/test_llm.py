@@ -317,3 +317,12 @@ def test_intact_letters_of_lost_spans_are_restored(spark):
     assert len(text) == len(SOUND["ru"]) and all(a in (b, encoding.LOST) for a, b in zip(text, SOUND["ru"])) and text.count(encoding.LOST) <= garbled.count(encoding.LOST)
     lattice = encoding.Lattice({c: -3.0 for c in "абвгдежзиклмнопрстуфхäöüß"})
     assert not [c for x in ("��", "Gr��e", "мала�") for c, _, _ in encoding.readings(x, lattice) if c.rpartition("<")[2] not in encoding.WIDE]
+
+
+def test_no_container_or_target_is_left_out(spark):
+    docs = [(i, f"text {i} words", f"s{i * 500}", 0, 0) for i in range(40)]
+    boxes = spark.range(1100).select(F.concat(F.lit("c"), "id").alias("container"), F.lit(64).alias("capacity_tokens"))
+    assert packing.pack(spark.createDataFrame(docs[:3], DOC), boxes).select("container").distinct().count() == 1100
+    goal = spark.range(20_000).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(1 / 20_000).alias("target_share"), F.lit(2).alias("max_repeats"))
+    _, shares = packing.mix(spark.createDataFrame(docs, DOC), goal)
+    assert {r["source"] for r in shares.where("available_tokens > 0").collect()} == {s for _, _, s, _, _ in docs} and shares.count() == 20_000
