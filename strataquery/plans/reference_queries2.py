@@ -395,7 +395,7 @@ def _(spark, d):
 
 @query("idx_20_pseudo_headings", sql(rf"select chunk_id, pos, regexp_extract(line, '^(\d+(?:\.\d+)*)\s+(\S.*)$', 1) as number, len(string_split(regexp_extract(line, '^(\d+(?:\.\d+)*)\s+(\S.*)$', 1), '.')) as depth from (select *, sum(cast(f as int)) over (partition by chunk_id order by pos rows unbounded preceding) as k from (select *, regexp_matches(line, '^\s*(```|~~~)') as f from ({LINES}))) where k % 2 = 0 and not f and regexp_matches(line, '^(\d+(?:\.\d+)*)\s+(\S.*)$')", "c"))
 def _(spark, d):
-    return ck.pseudo_headings(ck.lines_of(once(spark, d).where(~F.coalesce(F.col("body"), F.lit("")).startswith("---\n")), "chunk_id", "body")).select("chunk_id", "pos", "number", "depth")
+    return ck.pseudo_headings(ck.lines_of(once(spark, d), "chunk_id", "body")).select("chunk_id", "pos", "number", "depth")
 
 
 @query("idx_23_numeric_chunk_ids", sql("select chunk_id, try_cast(substr(chunk_id, 2) as bigint) as number from c", "c"))

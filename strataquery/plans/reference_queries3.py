@@ -232,7 +232,7 @@ def _(spark, d):
 
 @query("idx_01_headings", sql(rf"select chunk_id, pos, length(regexp_extract(line, '^(#+)', 1)) as level, regexp_replace(regexp_replace(line, '^#{{1,6}}\s+', ''), '\s+#*\s*$', '') as title from (select *, sum(cast(f as int)) over (partition by chunk_id order by pos rows unbounded preceding) as k from (select *, regexp_matches(line, '^\s*(```|~~~)') as f from ({LINES}))) where k % 2 = 0 and not f and regexp_matches(line, '^#{{1,6}}\s+\S')", "c"))
 def _(spark, d):
-    lines = ck.lines_of(once(spark, d).where(~F.coalesce("body", F.lit("")).startswith("---\n")), "chunk_id", "body")
+    lines = ck.lines_of(once(spark, d), "chunk_id", "body")
     return ck.headings(lines, "chunk_id").select("chunk_id", "pos", "level", "title")
 
 

@@ -316,3 +316,12 @@ def test_numbered_is_row_number(spark):
     assert numbered(df.limit(0), ["k"], ["id"], "i").count() == 0
     h = lambda d: d.agg(multiset_hash(F.col("id")).alias("h")).first()["h"]
     assert h(df) == h(df.orderBy("id")) != h(df.union(df.limit(1)))
+
+
+def test_headings_after_frontmatter(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    rows = [chunk("a", 0, "T", "---\ntitle: x\n---\n# Head\n1.2 Part\ntext")]
+    spark.createDataFrame(rows, CHUNK).write.parquet(str(tmp_path / "chunks.parquet"))
+    assert [r["title"] for r in queries()["idx_01_headings"](spark, str(tmp_path)).collect()] == ["Head"]
+    assert [r["number"] for r in queries()["idx_20_pseudo_headings"](spark, str(tmp_path)).collect()] == ["1.2"]
