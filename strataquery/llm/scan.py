@@ -30,6 +30,8 @@ SIGNS = "015!|ﬀﬁﬂﬃﬄﬅﬆ"
 HYPHENS = "-‐‑¬­"
 ROMAN = "(?=[ivxlc])(?:x{0,3}l?x{0,3})(?:ix|iv|v?i{0,3})"
 PAGE = rf"(?i)^\s*[-–—·•*\[(|]*\s*(?:page|p\.|pg\.|seite|s\.|página|pág\.|стр\.)?\s*(?:\d{{1,4}}|{ROMAN})(?:\s*(?:/|of|von|de)\s*\d{{1,4}})?\s*[-–—·•*\])|]*\s*$"
+#: Signs and blanks that PAGE allows in any number around a page number.
+ORNAMENTS = "-–—·•*[](| \t\r\f\v"
 NUMBERED = r"(^\s*[-–—·•\[(]*\s*\d{1,4}\s*[-–—·•\])]*\s+)|(\s+[-–—·•\[(]*\s*\d{1,4}\s*[-–—·•\])]*\s*$)"
 CHAPTER = r"(?i)^\s*(?:chap(?:ter|\.)?|kapitel|kap\.|chapitre|cap[íi]tulo|cap\.|глава|第)\s*(?:\d{1,3}|[ivxl]+)\s*[.:章]?\s*"
 EDGE = "\u0001"
@@ -62,9 +64,9 @@ def marked_lines(chunks: DataFrame) -> DataFrame:
         core = F.regexp_replace(bare, CHAPTER, "")
         # of two titles the second may be cut short
         parts = F.contains(line, F.lit("|")) & F.forall(F.split(core, r"\s*\|\s*"), lambda x: F.exists("names", lambda n: (n == _title_form(x)) | ((F.length(x) >= 12) & F.startswith(n, _title_form(x)))))
-        holds = (F.length(line) <= 200) & F.exists("names", lambda n: F.contains(F.upper(line), n)) & ~line.rlike(r"^\s*(?:#{1,6}\s|=|\*\*|`|\[\[)|=\s*$")
+        holds = (F.length(line) <= 200) & F.exists("names", lambda n: F.contains(_title_form(line), n)) & ~line.rlike(r"^\s*(?:#{1,6}\s|=|\*\*|`|\[\[)|=\s*$")
         header = holds & (known(_title_form(core)) | known(_title_form(bare)) | known(_title_form(line)) | parts)
-        page = (F.length(F.trim(line)) <= 30) & line.rlike(PAGE) & line.rlike(r"\d|\p{L}")
+        page = (F.length(F.translate(line, ORNAMENTS, "")) <= 30) & line.rlike(PAGE) & line.rlike(r"\d|\p{L}")
         return F.when(page, "number").when(header, F.when(bare != line, "both").otherwise("header")).otherwise("")
 
     lines = named.withColumn("lines", F.split("body", "\n"))

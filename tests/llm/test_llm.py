@@ -326,3 +326,12 @@ def test_no_container_or_target_is_left_out(spark):
     goal = spark.range(20_000).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(1 / 20_000).alias("target_share"), F.lit(2).alias("max_repeats"))
     _, shares = packing.mix(spark.createDataFrame(docs, DOC), goal)
     assert {r["source"] for r in shares.where("available_tokens > 0").collect()} == {s for _, _, s, _, _ in docs} and shares.count() == 20_000
+
+
+def test_edge_lines_with_wide_blanks_signs_and_rules(spark, corpus):
+    rows = [
+        ("blanks", "T", ["Plain layers"], "the boundary\nPLAIN  LAYERS   17\nof the surface"),
+        ("signs", "T", ["Plain layers"], "the boundary\nPlain *layers*\nof the surface"),
+        ("rule", "T", [], "the boundary\n" + "—" * 20 + " 58 " + "—" * 20 + "\nof the surface"),
+    ]
+    assert noise(spark, corpus, *rows) == {("blanks", "running_header"), ("blanks", "page_number"), ("signs", "running_header"), ("rule", "page_number")}
