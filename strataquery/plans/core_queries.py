@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import incremental, table_diff
-from ..session import load
+from ..session import load, scratch
 
 KEYS = ["doc_key", "node_key", "node_local_ordinal"]
 FIELDS = ["title", "breadcrumb", "line_num", "body_sha256"]
@@ -15,7 +15,7 @@ FIELDS = ["title", "breadcrumb", "line_num", "body_sha256"]
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     now = incremental.listing(load(spark, d, "source_docs"))
     built = incremental.manifest_of_runs(load(spark, d, "segment_refs"), load(spark, d, "build_runs"))
-    return incremental.pending(now, built)
+    return incremental.pending(now, built, scratch(spark, "p5"))
 
 
 def copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from ..operators import links as lk
 from ..operators import retrieval as rt
 from ..operators.numbering import numbered
 from ..operators.table_diff import checksum_matrix
-from ..session import load, shared_dir
+from ..session import load, scratch
 from ..sources import files as fs
 from ..sources.snapshots import SnapshotStore, export_json
 from .reference_queries import hitlist, judged, met, once, query
@@ -62,7 +60,7 @@ def _(spark, d):
 
 
 def store(spark: SparkSession) -> SnapshotStore:
-    return SnapshotStore(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    return SnapshotStore(spark, scratch(spark, "store"))
 
 
 @query("snk_01_publish", sql("select * from st", "st"))
@@ -87,7 +85,7 @@ def _(spark, d):
 
 @query("snk_03_json_export", sql("select chunk_id, doc_key, title, breadcrumb, body from c", "c"))
 def _(spark, d):
-    at = f"{shared_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    at = scratch(spark, "export")
     export_json(once(spark, d).select("chunk_id", "doc_key", "title", "breadcrumb", "body"), at)
     return spark.read.schema("chunk_id string, doc_key string, title string, breadcrumb array<string>, body string").json(at)
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,26 +19,52 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names it.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only on one machine (a local master) a temporary folder is made where that is unset; on a cluster executors could not read
+    each other's, so an unset folder is an error there.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
     if set_to:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(set_to)
-        return set_to
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    made = Path(tempfile.mkdtemp(prefix="strataquery-")).as_uri()
-    context.setCheckpointDir(made)
-    return made
+        return set_to.rstrip("/")
+    context = spark.sparkContext
+    if not getattr(context, "_strataquery_shared", None):
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context._strataquery_shared = Path(tempfile.mkdtemp(prefix="strataquery-")).as_uri()
+    return context._strataquery_shared
+
+
+def scratch(spark: SparkSession, name: str = "cut") -> str:
+    """A new folder under the shared one; it is deleted when the application ends."""
+    context, jvm = spark.sparkContext, spark._jvm
+    home = f"{shared_dir(spark)}/strataquery-{context.applicationId}"
+    if getattr(context, "_strataquery_scratch", None) != home:
+        path = jvm.org.apache.hadoop.fs.Path(home)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        context._strataquery_scratch = home
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it from there: computed once, kept when executors are lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared folder and read it from there: computed once, and kept when executors are lost.
+
+    The copy is Parquet, so what reads it gets column pruning, pushed filters and sizes for the planner.
+    """
+    spark = df.sparkSession
+    at = scratch(spark)
+    df.write.option("compression", "lz4").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether df has `rows` rows or fewer; reads no more than it must."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has at most `rows` rows; else as it is, for a plain join."""
+    return F.broadcast(df) if at_most(df, rows) else df
 
 
 def ship(spark: SparkSession) -> None:

@@ -19,6 +19,7 @@ from strataquery.operators import links as lk
 from strataquery.operators.quantiles import exact_rank
 from strataquery.operators.skew import hot_keys, skew_join
 from strataquery.operators.table_diff import diff, unequal_buckets
+from strataquery.session import scratch
 from strataquery.sources import files as fs
 from strataquery.sources.snapshots import SnapshotStore, conflicts
 from strataquery.streaming import incremental as si
@@ -109,9 +110,9 @@ def test_pending(spark):
     ]
     segs = [("note:a", "aa", "R", 1, at(1)), ("note:a", "bb", "r", 2, at(9)), ("note:é", "h0", "r", 1, at(1)), ("note:unread", "U1", "r", 1, at(1)), ("note:new", "n", "r", 2, at(1))]
     runs = spark.createDataFrame([(1, "succeeded"), (2, "failed")], "run_id int, status string")
-    got = {(r["doc_key"], r["change"]) for r in inc.pending(inc.listing(spark.createDataFrame(caps, CAP)), inc.manifest_of_runs(spark.createDataFrame(segs, SEG), runs)).collect()}
+    got = {(r["doc_key"], r["change"]) for r in inc.pending(inc.listing(spark.createDataFrame(caps, CAP)), inc.manifest_of_runs(spark.createDataFrame(segs, SEG), runs), scratch(spark)).collect()}
     assert got == {("note:é", "changed"), ("note:new", "added")}
-    none = inc.pending(inc.listing(spark.createDataFrame([], CAP)), inc.manifest_of_runs(spark.createDataFrame([], SEG), runs))
+    none = inc.pending(inc.listing(spark.createDataFrame([], CAP)), inc.manifest_of_runs(spark.createDataFrame([], SEG), runs), scratch(spark))
     assert none.count() == 0
 
 
@@ -128,14 +129,14 @@ def test_file_manifest_survives_failures(spark, tmp_path):
         raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
-        m.run(src.as_uri(), broken)
+        m.run_files(src.as_uri(), broken)
     assert m.committed().count() == 0
-    first = m.run(src.as_uri(), read)
-    assert m.result().count() == 2 and m.run(src.as_uri(), read) is None
+    first = m.run_files(src.as_uri(), read)
+    assert m.result().count() == 2 and m.run_files(src.as_uri(), read) is None
     (src / "b.txt").write_text("changed")
     (src / "c.txt").write_text("three")
-    second = m.run(src.as_uri(), read)
-    assert first != second and m.result().where(F.col("batch") == second).count() == 2 and m.pending(src.as_uri()).count() == 0
+    second = m.run_files(src.as_uri(), read)
+    assert first != second and m.result().where(F.col("batch") == second).count() == 2 and m.pending_files(src.as_uri()).count() == 0
 
 
 def test_manifest_of_a_file_that_returns(spark, tmp_path):
@@ -148,14 +149,48 @@ def test_manifest_of_a_file_that_returns(spark, tmp_path):
     batches = []
     for text in ("A", "B", "A"):
         (src / "a.txt").write_text(text)
-        batches.append(m.run(src.as_uri(), read))
+        batches.append(m.run_files(src.as_uri(), read))
         rows = {r["path"].rpartition("/")[2]: (r["checksum"], r["batch"]) for r in m.result().collect()}
         assert m.result().count() == 2 and rows["a.txt"] == (hashlib.sha256(text.encode()).hexdigest(), batches[-1]) and rows["other.txt"][1] == batches[0]
-        assert m.run(src.as_uri(), read) is None
+        assert m.run_files(src.as_uri(), read) is None
     assert len(set(batches)) == 3
     with pytest.raises(ValueError):
         (src / "a.txt").write_text("C")
-        m.run(src.as_uri(), lambda todo: todo.select("checksum"))
+        m.run_files(src.as_uri(), lambda todo: todo.select("checksum"))
+
+
+def test_manifest_commits_what_was_processed(spark, tmp_path):
+    """Files that come, change or go while the work runs are left for the next run; a kill before any step skips and repeats nothing."""
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("one")
+    (src / "b.txt").write_text("two")
+    m = inc.FileManifest(spark, (tmp_path / "out").as_uri())
+
+    def work(todo):
+        (src / "late.txt").write_text("late")
+        (src / "a.txt").write_text("one, changed")
+        (src / "b.txt").unlink(missing_ok=True)
+        return todo.select("path", "checksum")
+
+    names = lambda df: sorted(r["path"].rpartition("/")[2] for r in df.collect())
+    first = m.run_files(src.as_uri(), work)
+    assert names(m.committed()) == ["a.txt", "b.txt"] and names(m.pending_files(src.as_uri())) == ["a.txt", "late.txt"]
+    assert m.run_files(src.as_uri(), lambda todo: todo.select("path", "checksum")) != first and names(m.result()) == ["a.txt", "b.txt", "late.txt"]
+    for step in ("_stage", "_commit"):
+        (src / "a.txt").write_text(f"before {step}")
+        broken = inc.FileManifest(spark, m.root)
+
+        def stop(*_):
+            raise RuntimeError("killed")
+
+        setattr(broken, step, stop)
+        with pytest.raises(RuntimeError):
+            broken.run_files(src.as_uri(), lambda todo: todo.select("path", "checksum"))
+        assert names(m.pending_files(src.as_uri())) == ["a.txt"]
+        assert m.run_files(src.as_uri(), lambda todo: todo.select("path", "checksum")) and names(m.result()) == ["a.txt", "b.txt", "late.txt"]
+    with pytest.raises(ValueError):
+        m.adopt(m.committed())
 
 
 def chunk(doc, i, title, body):
