@@ -13,6 +13,7 @@ from .skew import hot_counts
 
 # The pruning rule of body postings.
 PRUNE_DF, PRUNE_NUMERATOR, PRUNE_DENOMINATOR = 256, 9, 10
+FIELDS = ("title", "breadcrumb", "body")
 CHUNK = ["doc_key", "node_key", "node_local_ordinal", "local_id", "title", "breadcrumb", "body", "line_num", "line_end", "source_md", "node_id"]
 
 
@@ -30,10 +31,11 @@ def with_tokens(chunks: DataFrame) -> DataFrame:
 def postings(chunks: DataFrame) -> DataFrame:
     """(token, chunk_id, doc_key, node_key, local_id, title_tf, breadcrumb_tf, body_tf, len_title, len_breadcrumb, len_body).
 
-    Lengths ride along, so scoring needs no second lookup. `chunks` has one row a chunk_id; counting reuses its placement.
+    Lengths ride along, so scoring needs no second lookup. `chunks` has one row a chunk_id. The texts cross the network, not
+    their tokens, which are many times as large: rows are placed by chunk_id, and counting reuses that placement.
     """
     mark = lambda a, i: F.transform(a, lambda t: F.struct(t.alias("token"), F.lit(i).alias("f")))
-    rows = with_tokens(chunks).select("chunk_id", "doc_key", "node_key", "local_id", F.size("tt").alias("lt"), F.size("bt").alias("lb"), F.size("dt").alias("ld"), F.explode(F.concat(mark("tt", 0), mark("bt", 1), mark("dt", 2))).alias("x"))
+    rows = with_tokens(chunks.repartition("chunk_id")).select("chunk_id", "doc_key", "node_key", "local_id", F.size("tt").alias("lt"), F.size("bt").alias("lb"), F.size("dt").alias("ld"), F.explode(F.concat(mark("tt", 0), mark("bt", 1), mark("dt", 2))).alias("x"))
     tf = lambda i, name: F.count_if(F.col("x.f") == i).cast("int").alias(name)
     # what a chunk determines is part of the key: only numbers are aggregated, which stays a hash aggregation
     grouped = rows.groupBy("chunk_id", F.col("x.token").alias("token"), "doc_key", "node_key", "local_id", F.col("lt").alias("len_title"), F.col("lb").alias("len_breadcrumb"), F.col("ld").alias("len_body")).agg(tf(0, "title_tf"), tf(1, "breadcrumb_tf"), tf(2, "body_tf"))
@@ -45,10 +47,30 @@ def token_stats(posts: DataFrame, *keys: str) -> DataFrame:
     return posts.groupBy(*keys, "token").agg(F.count("*").alias("df_any"), F.count_if((F.col("title_tf") > 0) | (F.col("breadcrumb_tf") > 0)).alias("df_nonbody"), F.count_if(F.col("body_tf") > 0).alias("df_body"))
 
 
-def corpus_totals(chunks: DataFrame) -> DataFrame:
+#: A token's postings lie in so many places at most, and those of a token that every chunk has in so many tasks.
+SLICES = 16
+
+
+def by_token(posts: DataFrame) -> DataFrame:
+    """Postings placed by token and slice and sorted by token, so that a seek reads few pages of few files and a hot token is read by many tasks."""
+    return posts.repartition(F.col("token"), F.pmod(F.xxhash64("chunk_id"), F.lit(SLICES))).sortWithinPartitions("token", "doc_key", "local_id")
+
+
+def document_totals(chunks: DataFrame, posts: DataFrame) -> DataFrame:
+    """(doc_key, title, chunks, title_length, breadcrumb_length, body_length); the title heads the breadcrumb of the first chunk.
+
+    Field lengths are sums of frequencies, no text is read.
+    """
+    head = F.min_by(F.coalesce(F.get("breadcrumb", F.lit(0)), F.lit("")), F.struct("local_id", "chunk_id"))
+    n = chunks.groupBy("doc_key").agg(head.alias("title"), F.count("*").alias("chunks"))
+    lengths = posts.groupBy("doc_key").agg(*(F.sum(f"{f}_tf").alias(f"{f}_length") for f in FIELDS))
+    return n.join(lengths, "doc_key", "left").select("doc_key", "title", "chunks", *(F.coalesce(f"{f}_length", F.lit(0).cast("bigint")).alias(f"{f}_length") for f in FIELDS))
+
+
+def corpus_totals(chunks: DataFrame, posts: DataFrame) -> DataFrame:
     """One row: documents, total_chunks and the three length sums."""
-    t = with_tokens(chunks)
-    return t.agg(F.count_distinct("doc_key").alias("documents"), F.count("*").alias("total_chunks"), F.coalesce(F.sum(F.size("tt")), F.lit(0)).alias("title_length_sum"), F.coalesce(F.sum(F.size("bt")), F.lit(0)).alias("breadcrumb_length_sum"), F.coalesce(F.sum(F.size("dt")), F.lit(0)).alias("body_length_sum"))
+    n = chunks.agg(F.count_distinct("doc_key").alias("documents"), F.count("*").alias("total_chunks"))
+    return n.join(posts.agg(*(F.coalesce(F.sum(f"{f}_tf"), F.lit(0)).alias(f"{f}_length_sum") for f in FIELDS)))  # one row each
 
 
 def is_pruned(total: Column | int) -> Column:
@@ -76,24 +98,52 @@ class Index:
     def averages(self) -> dict[str, float]:
         """Mean field lengths over max(1, chunks); an empty field falls back to the sum of means, then 1."""
         n = max(1, self.n)
-        means = {f: self.totals[f"{f}_length_sum"] / n for f in ("title", "breadcrumb", "body")}
+        means = {f: self.totals[f"{f}_length_sum"] / n for f in FIELDS}
         return {f: v or sum(means.values()) or 1.0 for f, v in means.items()}
 
 
+#: So many tokens of a batch are looked for by equality, which skips pages of sorted postings; beyond it all are read and joined.
+SOUGHT = 32
+
+
+def seek(df: DataFrame, column: str, values: DataFrame, most: int = SOUGHT) -> DataFrame:
+    """df's rows whose `column` is among `values` (one column) if those are few, else all of df.
+
+    Equalities in a balanced tree reach the Parquet reader as they are; a long list of IN would become its least and greatest value.
+    """
+    few = [r[0] for r in values.where(values[0].isNotNull()).distinct().limit(most + 1).collect()]
+    if len(few) > most:
+        return df
+    tests = [F.col(column) == v for v in few] or [F.lit(False)]
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + ([tests[-1]] if len(tests) % 2 else [])
+    return df.where(tests[0])
+
+
 def build(chunks: DataFrame) -> Index:
-    """Chunks once, postings range-partitioned and sorted by token (scans of a token touch few row groups), statistics, totals."""
+    """Chunks once, postings placed and sorted by token, statistics, totals."""
     once = cut(distinct_chunks(chunks))
-    posts = cut(postings(once).repartitionByRange("token", "doc_key").sortWithinPartitions("token", "doc_key", "local_id"))
+    posts = cut(by_token(postings(once)))
     stats = cut(token_stats(posts))
-    return Index(once, posts, stats, corpus_totals(once).first(), tuple(hot_counts(stats, "token", "df_any")))
+    return Index(once, posts, stats, corpus_totals(once, posts).first(), tuple(hot_counts(stats, "token", "df_any")))
+
+
+_BUILT: dict[tuple, Index] = {}
 
 
-_BUILT: dict[tuple[str, str], Index] = {}
+def stamp(spark: SparkSession, sf_dir: str, *tables: str) -> tuple:
+    """What tells one state of a folder's tables from another: paths, sizes and times of change."""
+    out = []
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((str(path), fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()))
+    return (spark.sparkContext.applicationId, *out)
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of a data folder, built once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The index of a data folder, built once a session and state of its chunks."""
+    key = stamp(spark, sf_dir, "chunks")
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = build(load(spark, sf_dir, "chunks"))

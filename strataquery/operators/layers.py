@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .index import postings, token_stats
+from ..session import at_most, cut
+from .index import by_token, document_totals, postings, seek, token_stats
 from .numbering import multiset_hash
 from .skew import skew_join
 
-# When layers are to be compacted.
+# Layers are to be compacted when there are so many deltas, or when deltas times DELTA_SHARE are as large as the base.
 MOST_LAYERS, DELTA_SHARE = 32, 5
 
 
+def compaction_due(sizes: list[int]) -> bool:
+    """Whether a base and its deltas, by size in bytes, are to be rewritten as one base."""
+    return len(sizes) > MOST_LAYERS or (len(sizes) > 1 and sum(sizes[1:]) * DELTA_SHARE >= sizes[0])
+
+
 def content_hashes(chunks: DataFrame) -> DataFrame:
     """(doc_key, content_hash, chunks): a fingerprint of a document's chunks, independent of row order; a document of any size is one merged row."""
     fields = ["node_key", "node_local_ordinal", "title", "breadcrumb", "body"]
@@ -40,53 +46,113 @@ def owners(layers: DataFrame) -> DataFrame:
     return newest.select("doc_key", "x.layer", "x.deleted").where(~F.coalesce("deleted", F.lit(False))).select("doc_key", "layer")
 
 
+COUNTS = ["df_any", "df_nonbody", "df_body"]
+#: Documents are spread over so many folders of their terms; a build reads those of the documents it touches.
+BUCKETS = 64
+#: Documents that newer layers replaced: up to so many are broadcast.
+REPLACED = 100_000
+
+
+def bucket_of(doc_key: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_key), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass(frozen=True)
 class View:
-    """A base and its deltas: chunks and postings by layer, document ownership by layer, signed statistics by layer."""
+    """A base and its deltas, or one of them; every table has a column `layer`.
+
+    chunks and postings; documents: doc_key, deleted, content_hash, recipe_hash and totals; terms: what each document adds to the
+    statistics, by bucket; stats: signed statistics.
+    """
 
     chunks: DataFrame
     postings: DataFrame
     documents: DataFrame
     stats: DataFrame
+    terms: DataFrame
+    layers: int = 1
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"chunks": self.chunks, "postings": self.postings, "documents": self.documents, "stats": self.stats, "terms": self.terms}
+
+    def plus(self, delta: View) -> View:
+        mine, other = self.tables(), delta.tables()
+        return View(*(mine[n].unionByName(other[n]) for n in mine), layers=self.layers + delta.layers)
+
+    def replaced(self) -> DataFrame:
+        """(doc_key, layer): documents that a newer layer holds or deletes."""
+        newest = self.documents.groupBy("doc_key").agg(F.max("layer").alias("__newest"), F.collect_set("layer").alias("__all"))  # one entry a layer
+        return newest.where(F.size("__all") > 1).select("doc_key", F.explode(F.filter("__all", lambda x: x < F.col("__newest"))).alias("layer"))
+
+    def current(self, rows: DataFrame, spread: str, replaced: DataFrame | None = None) -> DataFrame:
+        """Rows (doc_key, layer, ...) of documents in the layer that owns them; a lone layer is read as it is."""
+        if self.layers == 1:
+            return rows
+        gone = self.replaced() if replaced is None else replaced
+        if at_most(gone, REPLACED):
+            return rows.join(F.broadcast(gone), ["doc_key", "layer"], "left_anti")
+        key = F.concat_ws(":", "layer", "doc_key")
+        return skew_join(rows.withColumn("__k", key), gone.select(key.alias("__k")), "__k", spread, "left_anti").drop("__k")
 
     def active(self) -> DataFrame:
         """Postings of documents in the layer that owns them."""
-        own = owners(self.documents)
-        return skew_join(self.postings, own.withColumnRenamed("layer", "__own"), "doc_key", "chunk_id").where("layer = __own").drop("__own")
+        return self.current(self.postings, "chunk_id")
 
     def token_stats(self) -> DataFrame:
         """Sums over layers; tokens whose counts cancel are gone."""
-        cols = ["df_any", "df_nonbody", "df_body"]
-        return self.stats.groupBy("token").agg(*(F.sum(c).alias(c) for c in cols)).where("df_any > 0")
+        if self.layers == 1:
+            return self.stats.select("token", *COUNTS)
+        return self.stats.groupBy("token").agg(*(F.sum(c).alias(c) for c in COUNTS)).where("df_any > 0")
+
+    def owned(self, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(documents, terms) the view has of the touched documents (doc_key): only their buckets are read."""
+        docs = seek(self.documents, "doc_key", touched).join(touched, "doc_key", "left_semi")
+        mine = docs.join(owners(docs), ["doc_key", "layer"], "left_semi")
+        buckets = [r[0] for r in touched.select(bucket_of(F.col("doc_key"))).distinct().collect()]  # at most BUCKETS
+        terms = seek(self.terms.where(F.col("bucket").isin(buckets)), "doc_key", touched)
+        return mine, terms.join(mine.select("doc_key", "layer"), ["doc_key", "layer"], "left_semi")
+
+
+def layer_of(chunks: DataFrame, number: int, hashes: DataFrame | None = None) -> View:
+    """A layer of the given chunks (all of their documents). hashes: doc_key, content_hash, recipe_hash."""
+    at = F.lit(number).alias("layer")
+    posts = cut(by_token(postings(chunks)))
+    docs = document_totals(chunks, posts)
+    if hashes is None:
+        docs = docs.withColumn("content_hash", F.lit(None).cast("string")).withColumn("recipe_hash", F.lit(None).cast("string"))
+    else:
+        docs = docs.join(hashes.select("doc_key", "content_hash", "recipe_hash"), "doc_key", "left")
+    terms = token_stats(posts, "doc_key").select("doc_key", "token", *COUNTS, bucket_of(F.col("doc_key")).alias("bucket"), at)
+    return View(chunks.select("*", at), posts.select("*", at), docs.select("*", F.lit(False).alias("deleted"), at), token_stats(posts).select("*", at), terms)
 
 
 def base_view(chunks: DataFrame) -> View:
     """A view of one layer (0)."""
-    p = postings(chunks).withColumn("layer", F.lit(0))
-    return View(chunks.withColumn("layer", F.lit(0)), p, chunks.select("doc_key").distinct().select("doc_key", F.lit(0).alias("layer"), F.lit(False).alias("deleted")), token_stats(p).withColumn("layer", F.lit(0)))
+    return layer_of(chunks, 0)
 
 
-def add_delta(view: View, chunks: DataFrame, deleted: DataFrame, layer: int) -> View:
-    """The view with a layer of new or changed documents (all their chunks) and deletions (doc_key).
+def delta_of(view: View, chunks: DataFrame, deleted: DataFrame, number: int, hashes: DataFrame | None = None) -> View:
+    """The layer of new or changed documents (all their chunks) and deletions (doc_key) above a view.
 
-    Only postings of the new chunks are made; what the touched documents had before is taken back by signed statistics,
-    read from the postings they own. Nothing else of the base is read.
+    Only postings of the new chunks are made; what the touched documents had before is taken back by signed statistics, from
+    the terms kept by document. Neither chunks nor postings of the layers below are read.
     """
-    new = postings(chunks).withColumn("layer", F.lit(layer))
-    cols = ["df_any", "df_nonbody", "df_body"]
-    touched = chunks.select("doc_key").distinct().unionByName(deleted.select("doc_key")).distinct()
-    old = view.active().join(touched, "doc_key", "left_semi")
-    minus = token_stats(old).select("token", *((-F.col(c)).alias(c) for c in cols))
-    signed = token_stats(new).select("token", *cols).unionByName(minus).groupBy("token").agg(*(F.sum(c).alias(c) for c in cols)).where("df_any <> 0 or df_nonbody <> 0 or df_body <> 0").withColumn("layer", F.lit(layer))
-    docs = chunks.select("doc_key").distinct().select("doc_key", F.lit(layer).alias("layer"), F.lit(False).alias("deleted")).unionByName(deleted.select("doc_key").distinct().select("doc_key", F.lit(layer).alias("layer"), F.lit(True).alias("deleted")))
-    return View(view.chunks.unionByName(chunks.withColumn("layer", F.lit(layer))), view.postings.unionByName(new), view.documents.unionByName(docs), view.stats.unionByName(signed.select(*view.stats.columns)))
+    new = layer_of(chunks, number, hashes)
+    touched = cut(chunks.select("doc_key").unionByName(deleted.select("doc_key")).distinct())
+    old = view.owned(touched)[1].select("token", *((-F.col(c)).alias(c) for c in COUNTS))
+    signed = new.stats.select("token", *COUNTS).unionByName(old).groupBy("token").agg(*(F.sum(c).alias(c) for c in COUNTS)).where("df_any <> 0 or df_nonbody <> 0 or df_body <> 0").withColumn("layer", F.lit(number))
+    gone = deleted.select("doc_key").distinct().select("doc_key", F.lit(True).alias("deleted"), F.lit(number).alias("layer"))
+    return View(new.chunks, new.postings, new.documents.unionByName(gone, allowMissingColumns=True), signed, new.terms)
+
+
+def add_delta(view: View, chunks: DataFrame, deleted: DataFrame, number: int) -> View:
+    """The view with one more layer."""
+    return view.plus(delta_of(view, chunks, deleted, number))
 
 
 def compact(view: View) -> View:
     """The same content as one base layer."""
-    own = owners(view.documents)
-    kept = view.chunks.join(own.withColumnRenamed("layer", "__own"), "doc_key").where("layer = __own").drop("__own", "layer")
-    return base_view(kept)
+    return base_view(view.current(view.chunks, "chunk_id").drop("layer"))
 
 
 def violations(posts: DataFrame, chunks: DataFrame) -> DataFrame:

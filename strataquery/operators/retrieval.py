@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.normalize import normalize_for_search
 from ..functions.synonyms import SYNONYM_WEIGHT, table
 from ..functions.text import joined, round_half_up, tokenize, tokenize_unique
-from ..session import cut
-from .index import Index, effective_df, is_pruned
+from ..session import at_most, cut, small
+from .index import Index, effective_df, is_pruned, seek
 from .skew import skew_join
 
 # Scoring constants.
@@ -55,15 +55,24 @@ def _part(tf: Column, length: Column, mean: float, boost: float) -> Column:
     return F.when(tf > 0, (tf * (K1 + 1)) / (tf + F.lit(K1) * norm) * boost).otherwise(F.lit(0.0))
 
 
+#: Rows of a batch of queries (their tokens, their ranked hits) that are broadcast at most; larger batches are joined by shuffles.
+BATCH = 200_000
+
+
 def matches(qt: DataFrame, index: Index, prune: bool = True) -> DataFrame:
     """One row a (query, token, chunk) that meets: postings of the query's tokens with effective frequencies.
 
-    Small sides meet first (tokens with their statistics), then postings, on the one key token; postings of hot tokens are
-    spread over tasks. Body frequencies of pruned tokens are hidden.
+    Small sides meet first (tokens with their statistics). Then postings stay where they are: the tokens of few queries are
+    sought in the sorted postings, those of a batch of up to BATCH rows are broadcast; only for larger ones postings are
+    shuffled by token, those of hot tokens spread over tasks. Body frequencies of pruned tokens are hidden.
     """
     hidden = is_pruned(index.n) if prune else F.lit(False)
-    known = qt.join(index.stats, "token").select("query_id", "ord", "token", "weight", "original", hidden.alias("hidden"), (effective_df(index.n) if prune else F.col("df_any")).alias("df"))
-    return skew_join(index.postings, known, "token", "chunk_id", hot=list(index.hot)).withColumn("body_tf", F.when(F.col("hidden"), F.lit(0)).otherwise(F.col("body_tf"))).where("title_tf + breadcrumb_tf + body_tf > 0")
+    qt = cut(qt)
+    asked = qt.select("token")
+    known = cut(qt.join(seek(index.stats, "token", asked), "token").select("query_id", "ord", "token", "weight", "original", hidden.alias("hidden"), (effective_df(index.n) if prune else F.col("df_any")).alias("df")))
+    posts = seek(index.postings, "token", asked)
+    met = posts.join(F.broadcast(known), "token") if at_most(known, BATCH) else skew_join(posts, known, "token", "chunk_id", hot=list(index.hot))
+    return met.withColumn("body_tf", F.when(F.col("hidden"), F.lit(0)).otherwise(F.col("body_tf"))).where("title_tf + breadcrumb_tf + body_tf > 0")
 
 
 def bm25f(met: DataFrame, index: Index) -> DataFrame:
@@ -75,6 +84,16 @@ def bm25f(met: DataFrame, index: Index) -> DataFrame:
     return total.where("raw > 0").withColumn("score", round_half_up(F.col("raw"), 2))
 
 
+def payload(hits: DataFrame, index: Index, *columns: str | Column) -> DataFrame:
+    """hits (chunk_id, ...) with columns of their chunks, read last and for hits only.
+
+    Up to BATCH hits go to where the chunks are, so no text is shuffled, and only the named columns are scanned.
+    """
+    few = at_most(hits, BATCH)
+    rows = (seek(index.chunks, "chunk_id", hits.select("chunk_id")) if few else index.chunks).select("chunk_id", *columns)
+    return rows.join(F.broadcast(hits) if few else hits, "chunk_id")
+
+
 def score_order() -> list[Column]:
     """Best score first; ties by the first query token that met the chunk, then by the chunk's place."""
     return [F.desc("score"), F.asc("ord"), F.asc("doc_key"), F.asc("local_id"), F.asc("chunk_id")]
@@ -111,8 +130,8 @@ def phrase_path(scored: DataFrame, queries: DataFrame, index: Index, k: int = 20
 
     `scored` are candidates, or already ranked ones.
     """
-    first = scored.where(F.col("rank") <= 3 * k) if "rank" in scored.columns else capped(scored, 3 * k)
-    texts = first.join(index.chunks.select("chunk_id", title_text(F.col("title"), F.col("breadcrumb")).alias("tt")), "chunk_id")
+    first = scored.where(F.col("rank") <= 3 * k) if "rank" in scored.columns else cut(capped(scored, 3 * k))
+    texts = payload(first, index, title_text(F.col("title"), F.col("breadcrumb")).alias("tt"))
     share = texts.join(analyzed(queries).select("query_id", "norm"), "query_id").withColumn("share", phrase_share(F.col("norm"), F.col("tt"))).where(F.col("share") > PHRASE_LEAST)
     out = share.select("query_id", "chunk_id", "doc_key", "node_key", "local_id", F.col("rank").alias("b_rank"), round_half_up(F.col("share"), 2).alias("score"))
     return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "b_rank"))).where(F.col("rank") <= k)
@@ -127,8 +146,11 @@ def routed_documents(met: DataFrame, most: int = 5) -> DataFrame:
 
 def route_path(met: DataFrame, index: Index, k: int = 20) -> DataFrame:
     """Path E: the first k chunks, by (doc_key, local_id), of the routed documents; every score is 0.1."""
-    heads = index.chunks.select("doc_key", "chunk_id", "node_key", "local_id").withColumn("n", F.row_number().over(W.partitionBy("doc_key").orderBy("local_id", "chunk_id"))).where(F.col("n") <= k).drop("n")
-    rows = routed_documents(met).join(heads, "doc_key")
+    docs = cut(routed_documents(met))
+    keys = docs.select("doc_key").distinct()
+    near = seek(index.chunks.select("doc_key", "chunk_id", "node_key", "local_id"), "doc_key", keys).join(small(keys, BATCH), "doc_key", "left_semi")
+    heads = near.withColumn("n", F.row_number().over(W.partitionBy("doc_key").orderBy("local_id", "chunk_id"))).where(F.col("n") <= k).drop("n")
+    rows = docs.join(heads, "doc_key")
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_key", "local_id", "chunk_id"))).where(F.col("rank") <= k).select("query_id", "chunk_id", "doc_key", "node_key", "local_id", F.lit(ROUTE_SCORE).alias("score"), "rank")
 
 
@@ -166,7 +188,7 @@ def multi_path(queries: DataFrame, index: Index, top_k: int = 50, prune: bool =
 def positions(hits: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, chunk_id, token, field, pos): first place of each query token in each field of a hit."""
     toks = query_tokens(queries).groupBy("query_id").agg(F.collect_set("token").alias("toks"))
-    rows = hits.select("query_id", "chunk_id").join(index.chunks.select("chunk_id", "title", "breadcrumb", "body"), "chunk_id").join(toks, "query_id")
+    rows = payload(hits.select("query_id", "chunk_id"), index, "title", "breadcrumb", "body").join(toks, "query_id")
     fields = F.array(*(F.struct(F.lit(n).alias("field"), t.alias("ts")) for n, t in (("title", tokenize(F.col("title"))), ("breadcrumb", tokenize(joined(F.col("breadcrumb")))), ("summary", tokenize(F.col("body"))))))
     each = rows.select("query_id", "chunk_id", "toks", F.explode(fields).alias("f")).select("query_id", "chunk_id", F.explode("toks").alias("token"), "f.field", "f.ts")
     return each.select("query_id", "chunk_id", "token", "field", (F.array_position("ts", F.col("token")) - 1).cast("int").alias("pos")).where("pos >= 0")
@@ -177,7 +199,7 @@ def rm3(queries: DataFrame, hits: DataFrame, index: Index, m: int = 10, top: int
 
     Each occurrence in title and summary adds the hit's score; ties keep the order of first occurrence.
     """
-    texts = hits.where(F.col("rank") <= m).join(index.chunks.select("chunk_id", "title", "body"), "chunk_id")
+    texts = payload(hits.where(F.col("rank") <= m), index, "title", "body")
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("  "), F.coalesce(F.substring("body", 1, 200), F.lit("")))
     occ = texts.select("query_id", "rank", "score", F.posexplode(tokenize(text)).alias("p", "token"))
     sums = occ.groupBy("query_id", "token").agg(F.round(F.sum("score"), 6).alias("s"), F.min(F.struct("rank", "p")).alias("first"))
@@ -195,7 +217,7 @@ def reranked(hits: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
     put on 0..1 within the query.
     """
     q = queries.select("query_id", "query").distinct().withColumn("qts", tokenize(F.col("query")))
-    rows = hits.join(index.chunks.select("chunk_id", "title", "breadcrumb", "body"), "chunk_id").join(q, "query_id")
+    rows = payload(hits, index, "title", "breadcrumb", "body").join(q, "query_id")
     field = [tokenize(F.col("title")), tokenize(joined(F.col("breadcrumb"))), tokenize(F.col("body"))]
     expanded = F.transform(expand(F.array_distinct("qts"), F.coalesce("query", F.lit(""))), lambda x: x["token"])
     rows = rows.withColumn("fs", F.array(*field)).withColumn("all", expanded)
@@ -221,8 +243,7 @@ def confidence(queries: DataFrame, hits: DataFrame, index: Index) -> DataFrame:
     hits hold rank, rrf_score, doc_key, chunk_id. Queries without hits have zeros and class low.
     """
     q = queries.select("query_id", "query").distinct().withColumn("qts", tokenize_unique(F.col("query")))
-    top = hits.where(F.col("rank") <= 10).join(index.chunks.select("chunk_id", "title", "breadcrumb", "body"), "chunk_id")
-    text = tokenize(F.concat_ws(" ", "title", joined(F.col("breadcrumb")), F.lit("\n"), "body"))
+    top = payload(hits.where(F.col("rank") <= 10), index, "title", "breadcrumb", "body")
     five = top.withColumn("ts", F.when(F.col("rank") <= 5, F.array_distinct(F.concat(tokenize(F.col("title")), tokenize(joined(F.col("breadcrumb"))), tokenize(F.col("body"))))).otherwise(F.array().cast("array<string>")))
     agg = five.groupBy("query_id").agg(
         F.array_distinct(F.flatten(F.collect_list("ts"))).alias("seen"),  # tokens of five chunks
@@ -231,7 +252,6 @@ def confidence(queries: DataFrame, hits: DataFrame, index: Index) -> DataFrame:
         F.max(F.when(F.col("rank") == 1, title_text(F.col("title"), F.col("breadcrumb")))).alias("tt"),
         F.count_distinct("doc_key").alias("source_count"),
     )
-    del text
     j = q.join(agg, "query_id", "left")
     cov = F.when((F.size("qts") > 0) & F.col("seen").isNotNull(), F.size(F.array_intersect("qts", "seen")) / F.size("qts")).otherwise(F.lit(0.0))
     sig = j.select("query_id", F.round(cov, 9).alias("coverage"), F.coalesce("rrf_score", F.lit(0.0)).alias("rrf_score"), F.coalesce(F.exists("qts", lambda t: F.contains(F.col("tt"), t)), F.lit(False)).alias("title_hit"), F.when(F.col("second").isNotNull(), F.round(F.col("rrf_score") - F.col("second"), 12)).otherwise(F.lit(0.0)).alias("margin"), F.coalesce("source_count", F.lit(0)).alias("source_count"))
@@ -295,7 +315,7 @@ def mmr(contexts: DataFrame, lam: float = 0.6, most: int = 8) -> DataFrame:
 def contexts(hits: DataFrame, index: Index, first: int = 12, most: int = 8) -> DataFrame:
     """(query_id, ord, chunk_id, doc_key, node_key, body): of the first hits one for each node, those with text, at most `most`."""
     few = hits.where(F.col("rank") <= first).withColumn("n", F.row_number().over(W.partitionBy("query_id", "doc_key", "node_key").orderBy("rank"))).where("n = 1")
-    texts = few.join(index.chunks.select("chunk_id", "body"), "chunk_id").where(F.coalesce("body", F.lit("")) != "")
+    texts = payload(cut(few), index, "body").where(F.coalesce("body", F.lit("")) != "")
     return texts.withColumn("ord", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where(F.col("ord") <= most).select("query_id", "ord", "chunk_id", "doc_key", "node_key", "body")
 
 

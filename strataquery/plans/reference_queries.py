@@ -98,8 +98,8 @@ def once(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hitlist(spark: SparkSession, d: str) -> DataFrame:
-    """Fused hits of all judged queries, computed once a session and folder."""
-    key = (spark.sparkContext.applicationId, d)
+    """Fused hits of all judged queries, computed once a session and state of the tables."""
+    key = ix.stamp(spark, d, "chunks", "judged_queries")
     if key not in _HITS:
         _HITS.clear()
         _HITS[key] = ix.cut(rt.multi_path(judged(spark, d), ix.index_of(spark, d)))
@@ -132,7 +132,7 @@ def _(spark, d):
 
 @query("agg_06_field_averages", sql("select lt / greatest(n, 1) as avg_title, lb / greatest(n, 1) as avg_breadcrumb, ld / greatest(n, 1) as avg_body, n from tot", "tot"))
 def _(spark, d):
-    t = ix.corpus_totals(once(spark, d))
+    t = ix.corpus_totals(once(spark, d), ix.index_of(spark, d).postings)
     avg = lambda f: (F.col(f"{f}_length_sum") / F.greatest("total_chunks", F.lit(1))).alias(f"avg_{f}")
     return t.select(avg("title"), avg("breadcrumb"), avg("body"), F.col("total_chunks").alias("n"))
 
@@ -144,7 +144,7 @@ def _(spark, d):
 
 @query("agg_08_corpus_totals", sql("select documents, n as total_chunks, lt as title_length_sum, lb as breadcrumb_length_sum, ld as body_length_sum from tot", "tot"))
 def _(spark, d):
-    return ix.corpus_totals(once(spark, d))
+    return ix.corpus_totals(once(spark, d), ix.index_of(spark, d).postings)
 
 
 @query("agg_09_incremental_totals", "select sum(documents) as documents, sum(total_chunks) as total_chunks, sum(title_length_sum) as title_length_sum, sum(breadcrumb_length_sum) as breadcrumb_length_sum, sum(body_length_sum) as body_length_sum, sum(posting_count) as posting_count, count(*) filter (total_chunks < 0) as removals from (select distinct * from corpus_totals)")

@@ -503,7 +503,7 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, d)
+    key = ix.stamp(spark, d, "chunks", "ingest_jobs")
     if key not in _EDGES:
         _EDGES.clear()
         _EDGES[key] = ix.cut(lk.resolve(lk.parse_links(texts(spark, d)), catalog(spark, d), lk.heading_map(once(spark, d))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,14 +30,54 @@ class SnapshotStore:
             writer.parquet(f"{self.root}/snapshots/{snapshot}/{name}")
         return snapshot
 
+    def put_segment(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, options: dict[str, dict[str, str]] | None = None) -> str:
+        """Write tables as a new segment, which any number of snapshots can be made of; returns its id."""
+        segment = uuid.uuid4().hex
+
+        def write(name: str) -> None:
+            df = tables[name]
+            df.write.mode("errorifexists").options(**(options or {}).get(name, {})).partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{self.root}/segments/{name}/segment={segment}")
+
+        with ThreadPoolExecutor(len(tables)) as pool:  # a few tables; small ones don't wait for each other
+            list(pool.map(write, tables))
+        return segment
+
+    def segment_bytes(self, segment: str, *names: str) -> int:
+        """Bytes of a segment's tables."""
+        return sum(self._fs.getContentSummary(self._path(f"segments/{n}/segment={segment}")).getLength() for n in names)
+
+    def segments(self, name: str, ids: list[str]) -> DataFrame:
+        """The rows of a table in some segments."""
+        at = f"{self.root}/segments/{name}"
+        return self.spark.read.option("basePath", at).parquet(*(f"{at}/segment={i}" for i in ids)).drop("segment")
+
+    def describe(self, about: dict) -> str:
+        """A new snapshot that is told by a small document (of which segments it consists, and what is known of them); returns its id."""
+        snapshot = uuid.uuid4().hex
+        self._write(self._path(f"snapshots/{snapshot}/about.json"), json.dumps(about))
+        return snapshot
+
+    def about(self, snapshot: str) -> dict:
+        return json.loads(self._read(self._path(f"snapshots/{snapshot}/about.json")))
+
+    def _write(self, path, text: str) -> None:
+        out = self._fs.create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _read(self, path) -> str:
+        stream = self._fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def publish(self, snapshot: str) -> None:
         """Point readers at a snapshot: the pointer is written aside and renamed over the old one."""
         if not self._fs.exists(self._path(f"snapshots/{snapshot}")):
             raise ValueError(f"no snapshot {snapshot}")
         aside = self._path(f"_pointer-{uuid.uuid4().hex}")
-        out = self._fs.create(aside, True)
-        out.write(bytearray(json.dumps({"snapshot": snapshot}).encode()))
-        out.close()
+        self._write(aside, json.dumps({"snapshot": snapshot}))
         context = self._hadoop.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
@@ -46,7 +87,7 @@ class SnapshotStore:
         """The published snapshot, or None before the first publication."""
         if not self._fs.exists(self._path("current.json")):
             return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/current.json").collect()))["snapshot"]  # one line
+        return json.loads(self._read(self._path("current.json")))["snapshot"]
 
     def table(self, name: str, snapshot: str | None = None) -> DataFrame:
         """A table of a pinned snapshot (default: the published one)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from strataquery.engine import Library
@@ -21,7 +23,7 @@ def test_library(spark, tmp_path):
     assert lib.build(frame(spark, docs)) == "base" and lib.build(frame(spark, docs)) == "no_op"
     pinned = lib.snapshot
     docs = {"a": ["alpha alpha"], "b": docs["b"], "d": ["epsilon"]}
-    assert lib.build(frame(spark, docs)) == "delta" and lib.snapshot != pinned
+    assert lib.build(frame(spark, docs), compact=False) == "delta" and lib.snapshot != pinned
     q = spark.createDataFrame([("q1", "alpha title"), ("q2", "delta"), ("q3", "epsilon")], "query_id string, query string")
     got = [tuple(r) for r in lib.search(q).collect()]
     clean = rt.multi_path(q, ix.build(frame(spark, docs)), 20).orderBy("query_id", "rank").collect()
@@ -47,6 +49,31 @@ def test_library(spark, tmp_path):
         lib.build(frame(spark, docs), "other")
 
 
+def test_a_delta_costs_what_changed(spark, tmp_path):
+    """Of 400 documents one changes: what is written and read is in proportion to it; a build without changes writes nothing."""
+    rng = random.Random(6)
+    docs = {f"d{i}": ["alpha " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))] for i in range(400)}
+    root = tmp_path / "lib"
+    on_disk = lambda: sum(f.stat().st_size for f in root.rglob("*") if f.is_file() and not f.name.startswith("."))
+    lib = Library(spark, root.as_uri())
+    assert lib.build(frame(spark, docs)) == "base"
+    base, files = on_disk(), len(list(root.rglob("*")))
+    assert lib.build(frame(spark, docs)) == "no_op" and on_disk() == base and len(list(root.rglob("*"))) == files
+    docs["d7"] = ["alpha changed"]
+    assert lib.build(frame(spark, docs)) == "delta" and not lib.compaction_due()
+    assert on_disk() - base < base / 5
+    view = lib.view()
+    touched = spark.createDataFrame([("note:d7",)], "doc_key string")
+    plan = view.owned(touched)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    clean = ix.build(frame(spark, docs))
+    assert lib.snapshot_info().asDict() == clean.totals.asDict()
+    assert {tuple(r) for r in lib.index().stats.collect()} == {tuple(r) for r in clean.stats.collect()}
+    del docs["d8"]
+    assert lib.build(frame(spark, docs)) == "delta" and lib.snapshot_info().documents == 399 and lib.read_document("note:d8").count() == 0
+    assert lib.build(frame(spark, {k: ["new text"] for k in docs})) == "compacted" and lib.view().layers == 1
+
+
 def test_truncation(spark):
     from pyspark.sql import functions as F
 
