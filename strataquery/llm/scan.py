@@ -2,16 +2,17 @@
 
 Edge lines (running headers, page numbers) are told by their form and the titles of the record; word breaks
 by hyphen evidence from the corpus; misread words by joining rare words to frequent ones on the
-difference of their anagram hashes. Everything but the choice of corrections is one pass over the text in the JVM.
+difference of their anagram hashes. Texts are read once, in the JVM; words are judged by counted tokens.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import hot_counts, skew_join
-from ..session import cut
+from ..session import at_most, cut
 
 # What scanners read (left) for what was printed (right). Ligature signs are among them.
 CONFUSIONS = [
@@ -36,18 +37,15 @@ NUMBERED = r"(^\s*[-–—·•\[(]*\s*\d{1,4}\s*[-–—·•\])]*\s+)|(\s+[-
 CHAPTER = r"(?i)^\s*(?:chap(?:ter|\.)?|kapitel|kap\.|chapitre|cap[íi]tulo|cap\.|глава|第)\s*(?:\d{1,3}|[ivxl]+)\s*[.:章]?\s*"
 EDGE = "\u0001"
 
-WORD = rf"[\p{{L}}\p{{M}}0-9!|]*\p{{L}}[\p{{L}}\p{{M}}0-9!|]*"
-
-
 def _title_form(t: Column) -> Column:
     """Titles and lines as they are compared: without markup signs, spaces folded, upper case."""
     return F.upper(F.trim(F.regexp_replace(F.regexp_replace(t, r"[*`#=\[\]]+", " "), r"\s+", " ")))
 
 
 def marked_lines(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, text, header, number): one row a chunk; in `text` every edge line is the sign EDGE.
+    """(chunk_id, text, header, number, titles, tokens, named): one row a chunk; `text` is without its edge lines.
 
-    An edge line is a page number alone, or a title of the record (its breadcrumb or title; a page number or chapter
+    `tokens` are those of the text, `named` those of the titles (see tokens_of). An edge line is a page number alone, or a title of the record (its breadcrumb or title; a page number or chapter
     word before or after it is ignored). A first line that is the chunk's own title is a heading unless it carries a
     number. Repeats of a chunk_id count once; null and empty bodies give no row.
     """
@@ -55,8 +53,8 @@ def marked_lines(chunks: DataFrame) -> DataFrame:
     once = chunks.where(F.col("chunk_id").isNotNull() & (F.col("body") != "")).groupBy("chunk_id").agg(F.min(fields).alias("c")).select("chunk_id", "c.*")
     titles = F.array_compact(F.concat(F.coalesce("breadcrumb", F.array().cast("array<string>")), F.array("title")))
     named = once.withColumn("names", F.filter(F.transform(titles, _title_form), lambda t: F.length(t) > 0))
-
-    # Cheap guards come first: only a line that holds a title, or is as short as a page number, meets the patterns.
+    # Cheap guards come first: only a line that holds a title, in a text that does, or is as short as a page number, meets the patterns.
+    named = named.withColumn("whole", _title_form(F.col("body"))).withColumn("near", F.filter("names", lambda n: F.contains(F.col("whole"), n))).drop("whole")
     known = lambda form: F.array_contains(F.col("names"), form)
 
     def kind(line: Column) -> Column:
@@ -64,21 +62,22 @@ def marked_lines(chunks: DataFrame) -> DataFrame:
         core = F.regexp_replace(bare, CHAPTER, "")
         # of two titles the second may be cut short
         parts = F.contains(line, F.lit("|")) & F.forall(F.split(core, r"\s*\|\s*"), lambda x: F.exists("names", lambda n: (n == _title_form(x)) | ((F.length(x) >= 12) & F.startswith(n, _title_form(x)))))
-        holds = (F.length(line) <= 200) & F.exists("names", lambda n: F.contains(_title_form(line), n)) & ~line.rlike(r"^\s*(?:#{1,6}\s|=|\*\*|`|\[\[)|=\s*$")
+        holds = (F.size("near") > 0) & F.exists("near", lambda n: F.contains(_title_form(line), n)) & ~line.rlike(r"^\s*(?:#{1,6}\s|=|\*\*|`|\[\[)|=\s*$")
         header = holds & (known(_title_form(core)) | known(_title_form(bare)) | known(_title_form(line)) | parts)
         page = (F.length(F.translate(line, ORNAMENTS, "")) <= 30) & line.rlike(PAGE) & line.rlike(r"\d|\p{L}")
         return F.when(page, "number").when(header, F.when(bare != line, "both").otherwise("header")).otherwise("")
 
     lines = named.withColumn("lines", F.split("body", "\n"))
     told = lines.withColumn("kinds", F.when(F.size("lines") > 1, F.transform("lines", kind)).otherwise(F.array()))
-    text = F.array_join(F.transform("lines", lambda x, i: F.when(F.coalesce(F.get("kinds", i), F.lit("")) != "", F.lit(EDGE)).otherwise(x)), "\n")
-    return told.select(
+    marked = F.array_join(F.transform("lines", lambda x, i: F.when(F.coalesce(F.get("kinds", i), F.lit("")) != "", F.lit(EDGE)).otherwise(x)), "\n")
+    flat = told.select(
         "chunk_id",
-        F.when(F.exists("kinds", lambda k: k != ""), text).otherwise(F.col("body")).alias("text"),
+        F.when(F.exists("kinds", lambda k: k != ""), without_edges(marked)).otherwise(F.col("body")).alias("text"),
         F.exists("kinds", lambda k: k.isin("header", "both")).alias("header"),
         F.exists("kinds", lambda k: k.isin("number", "both")).alias("number"),
         F.array_join(titles, "\n").alias("titles"),
     )
+    return flat.select("*", tokens_of(F.col("text")).alias("tokens"), tokens_of(F.col("titles")).alias("named"))
 
 
 def without_edges(text: Column) -> Column:
@@ -90,11 +89,27 @@ def without_edges(text: Column) -> Column:
 BREAK = rf"([\p{{L}}\p{{M}}0-9!|]*\p{{L}}[0-9!|]*)([{HYPHENS}])[ \t]?\n[ \t]*(\p{{L}}[\p{{L}}\p{{M}}0-9!|]*|[0-9!|]\p{{L}}[\p{{L}}\p{{M}}0-9!|]*)"
 
 
-def words_of(text: Column) -> Column:
-    """Words as the scanner left them, lower case: code, links and templates aside, broken words in one piece."""
-    plain = F.regexp_replace(text, r"(?s)```.*?```|\{\{.*?\}\}|\[\[.*?\]\]|<[^>]*>|`[^`\n]*`|\$[^$\n]*\$|\]\([^)\n]*\)", " ")
-    whole = F.regexp_replace(plain, BREAK, "$1$3")
-    return F.transform(F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), lambda w: F.lower(F.regexp_replace(w, r"^[0-9!|]+(?=[!|])|(?<=\p{L}\p{L})!+$", "")))
+#: What a word can be made of, what never is part of one (code, links, templates, formulas), and how lines end inside words.
+IN_WORD = r"\p{L}\p{M}0-9!|"
+ASIDE = r"(?s)```.*?```|\{\{.*?\}\}|\[\[.*?\]\]|<[^>]*>|`[^`\n]*`|\$[^$\n]*\$|\]\([^)\n]*\)"
+BROKEN = rf"[{HYPHENS}][ \t]?\n"
+
+
+def tokens_of(text: Column) -> Column:
+    """Words as the scanner left them, lower case, compounds with their hyphens: code, links and templates aside, broken words in one piece.
+
+    Signs that end a sentence, or stand before a sign, are no part of a word. One split of the text; what only some texts need
+    is guarded by the characters it starts with.
+    """
+    plain = F.when(text.rlike(r"[`{\[<$\]]"), F.regexp_replace(text, ASIDE, " ")).otherwise(text)
+    whole = F.lower(F.when(plain.rlike(BROKEN), F.regexp_replace(plain, BREAK, "$1$3")).otherwise(plain))
+    bare = F.when(whole.rlike("[!|]"), F.regexp_replace(whole, rf"(?<![{IN_WORD}])[0-9!|]+(?=[!|])|(?<=\p{{L}}\p{{L}})!+(?![{IN_WORD}])", "")).otherwise(whole)
+    return F.split(bare, rf"[^{IN_WORD}‑-]+")
+
+
+def words_of(tokens: DataFrame, *keep: str) -> DataFrame:
+    """(word, *keep) of distinct tokens (token, ...): the parts of compounds that hold a letter."""
+    return tokens.select(F.explode(F.split("token", "[-‑]")).alias("word"), *keep).where((F.length("word") >= 2) & F.col("word").rlike(r"\p{L}"))
 
 
 def _anagram(word: Column) -> Column:
@@ -102,11 +117,15 @@ def _anagram(word: Column) -> Column:
     return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda a, c: a + F.when(c == "", F.lit(0)).otherwise(F.shiftright(F.xxhash64(c), 8)))
 
 
-def vocabulary(marked: DataFrame) -> DataFrame:
-    """(word, n, titled): how often every word occurs in texts and titles of all chunks, and whether a title has it."""
-    both = F.concat(F.transform(words_of(without_edges(F.col("text"))), lambda w: F.struct(w.alias("word"), F.lit(False).alias("t"))), F.transform(words_of(F.col("titles")), lambda w: F.struct(w.alias("word"), F.lit(True).alias("t"))))
-    each = marked.select(F.explode(both).alias("x")).select("x.word", "x.t")
-    return each.where(F.length("word").between(2, 64)).groupBy("word").agg(F.count("*").alias("n"), F.max("t").alias("titled"))
+def token_counts(marked: DataFrame) -> DataFrame:
+    """(token, n, titled): how often every token occurs in texts and titles of all chunks, and whether a title has it."""
+    each = marked.select(F.explode("tokens").alias("token"), F.lit(False).alias("t")).unionByName(marked.select(F.explode("named").alias("token"), F.lit(True).alias("t")))
+    return each.where(F.length("token") >= 2).groupBy("token").agg(F.count("*").alias("n"), F.max("t").alias("titled"))
+
+
+def vocabulary(counted: DataFrame) -> DataFrame:
+    """(word, n, titled) of counted tokens."""
+    return words_of(counted, "n", "titled").groupBy("word").agg(F.sum("n").alias("n"), F.max("titled").alias("titled"))
 
 
 def corrections(words: DataFrame, ratio: float = 8.0, least: int = 4) -> DataFrame:
@@ -121,16 +140,19 @@ def corrections(words: DataFrame, ratio: float = 8.0, least: int = 4) -> DataFra
     signs_in = lambda c: F.regexp_count(c, F.lit(f"[{SIGNS}]"))
     odd = F.col("word").rlike(f"[{SIGNS}]")
     # The table is a constant: each word meets only the confusions it can hold, by number in the order of the table.
-    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), (_anagram(F.lit(r)) - _anagram(F.lit(w))).alias("d"), F.lit(max(len(w), len(r))).alias("reach"), F.lit(sum(c in SIGNS for c in w)).alias("signs"), F.lit(WEAK if (w, r) in RARER else 1).alias("weak")) for i, (w, r) in enumerate(CONFUSIONS)))
+    differences = words.sparkSession.range(1).select(*((_anagram(F.lit(r)) - _anagram(F.lit(w))).alias(f"d{i}") for i, (w, r) in enumerate(CONFUSIONS))).first()
+    table = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(r).alias("r"), F.lit(differences[i]).alias("d"), F.lit(max(len(w), len(r))).alias("reach"), F.lit(sum(c in SIGNS for c in w)).alias("signs"), F.lit(WEAK if (w, r) in RARER else 1).alias("weak")) for i, (w, r) in enumerate(CONFUSIONS)))
     rare = words.where((odd | ~F.col("titled")) & (F.length("word") >= 3) & F.col("word").rlike(r"^[\p{L}\p{M}]*[\p{L}0-9!|][\p{L}\p{M}0-9!|]*$")).select("word", F.col("n").alias("own"), odd.alias("odd"), signs_in("word").alias("signs"), _anagram(F.col("word")).alias("h"))
-    held = rare.withColumn("t", F.filter(table, lambda c: F.instr(F.col("word"), c["w"]) > 0)).select("word", "own", "odd", "signs", "h", "t", F.explode("t").alias("a"))
-    # a second confusion is tried where signs or length leave room for it
-    room = (F.length("word") >= 5) & (F.col("odd") | (F.length("word") >= 7))
-    none = F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("w"), F.lit(0).cast("bigint").alias("d"), F.lit(0).alias("reach"), F.lit(0).alias("signs"), F.lit(1).alias("weak")))
-    tried = held.select("word", "own", "odd", "signs", "h", "a", F.explode(F.when(room, F.concat(none, F.filter("t", lambda c: c["i"] >= F.col("a.i")))).otherwise(none)).alias("b"))
-    keyed = tried.where(F.col("signs") <= F.col("a.signs") + F.col("b.signs") + 1).select("word", "own", "odd", (F.col("h") + F.col("a.d") + F.col("b.d")).alias("h"), F.when(F.col("b.i") < 0, 1).otherwise(2).alias("steps"), (F.col("a.reach") + F.col("b.reach")).alias("reach"), (F.col("a.weak") * F.col("b.weak")).alias("weak"))
+    one = rare.select("*", F.explode(F.filter(table, lambda c: F.contains(F.col("word"), c["w"]))).alias("a")).select("word", "own", "odd", "signs", (F.col("h") + F.col("a.d")).alias("h"), "a.i", "a.reach", F.col("a.signs").alias("by"), "a.weak")
     frequent = words.where(F.col("word").rlike(r"^[\p{L}\p{M}]{3,}$") & ~F.col("word").rlike(f"[{SIGNS[5:]}]") & (F.col("n") >= 2)).select(F.col("word").alias("fixed"), F.col("n"), _anagram(F.col("word")).alias("h"))
-    met = keyed.join(frequent, "h").where(F.when(F.col("odd"), F.col("n") >= F.col("own")).otherwise((F.col("n") >= least) & (F.col("n") >= ratio * F.col("own") * F.col("steps") * F.col("weak"))) & (F.levenshtein("word", "fixed") <= F.col("reach")))
+    enough = lambda steps, weak: F.when(F.col("odd"), F.col("n") >= F.col("own")).otherwise((F.col("n") >= least) & (F.col("n") >= ratio * F.col("own") * steps * weak))
+    single = one.where(F.col("signs") <= F.col("by") + 1).join(frequent, "h").where(enough(1, F.col("weak")) & (F.levenshtein("word", "fixed") <= F.col("reach")))
+    # Two confusions meet in the middle: one undone on the rare word, the other made on the frequent one. A second one is tried where
+    # signs or length leave room for it.
+    made = frequent.select("*", F.explode(F.filter(table, lambda c: F.contains(F.col("fixed"), c["r"]))).alias("b")).select("fixed", "n", (F.col("h") - F.col("b.d")).alias("h"), F.col("b.i").alias("bi"), F.col("b.w").alias("bw"), F.col("b.reach").alias("breach"), F.col("b.signs").alias("bby"), F.col("b.weak").alias("bweak"))
+    room = (F.length("word") >= 5) & (F.col("odd") | (F.length("word") >= 7))
+    double = one.where(room).join(made, "h").where((F.col("bi") >= F.col("i")) & F.contains("word", F.col("bw")) & (F.col("signs") <= F.col("by") + F.col("bby") + 1) & enough(2, F.col("weak") * F.col("bweak")) & (F.levenshtein("word", "fixed") <= F.col("reach") + F.col("breach")))
+    met = single.select("word", "fixed", "n", F.lit(1).alias("steps")).unionByName(double.select("word", "fixed", "n", F.lit(2).alias("steps")))
     best = met.groupBy("word").agg(F.min_by(F.struct("fixed", "n"), F.struct("steps", F.expr("-n"), "fixed")).alias("b")).select("word", "b.fixed", "b.n")
     inner = r"^\p{L}{1,}(?:[015!|]\p{L}+){1,3}$|^[!|]\p{L}{3,}$|^\p{L}{3,}[|]$"
     guess = F.translate(F.translate("word", "0!5", "ois"), "1|", "ll")
@@ -142,57 +164,109 @@ def corrections(words: DataFrame, ratio: float = 8.0, least: int = 4) -> DataFra
     return best.unionByName(lone).unionByName(ligatures)
 
 
-def misread(marked: DataFrame, words: DataFrame, fixes: DataFrame) -> DataFrame:
-    """(chunk_id, word, fixed, times) of every misread word of every chunk; words the vocabulary shows to be hot are spread."""
-    each = marked.select("chunk_id", F.explode(words_of(without_edges(F.col("text")))).alias("word")).where(F.length("word").between(2, 64))
-    counted = each.groupBy("chunk_id", "word").agg(F.count("*").alias("times"))
-    return skew_join(counted, fixes.select("word", "fixed"), "word", "chunk_id", hot=hot_counts(words, "word", "n"))
+#: Corrections that are broadcast at most; more of them are joined by a shuffle of counted words.
+CORRECTIONS = 200_000
+
+
+def misread(marked: DataFrame, counted: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(chunk_id, word, fixed, times) of every misread word of every chunk.
+
+    A token meets the corrections of its words. Up to CORRECTIONS of them go to the texts; beyond it tokens are counted by chunk
+    first, and those the corpus shows to be hot are spread.
+    """
+    by_token = cut(words_of(counted.select("token"), "token").join(fixes.select("word", "fixed"), "word").groupBy("token").agg(F.collect_list(F.struct("word", "fixed")).alias("x")))  # a token has few words
+    each = marked.select("chunk_id", F.explode("tokens").alias("token"))
+    if at_most(by_token, CORRECTIONS):
+        met = each.join(F.broadcast(by_token), "token").withColumn("times", F.lit(1).cast("bigint"))
+    else:
+        met = skew_join(each.groupBy("chunk_id", "token").agg(F.count("*").alias("times")), by_token, "token", "chunk_id", hot=hot_counts(counted, "token", "n"))
+    return met.select("chunk_id", "times", F.explode("x").alias("x")).groupBy("chunk_id", F.col("x.word").alias("word"), F.col("x.fixed").alias("fixed")).agg(F.sum("times").alias("times"))
 
 
-def breaks(marked: DataFrame, words: DataFrame) -> DataFrame:
+def breaks(marked: DataFrame, counted: DataFrame, words: DataFrame) -> DataFrame:
     """(chunk_id, left, sign, right, joined): line-end breaks that are no compounds.
 
     Only a hyphen-minus or a non-breaking hyphen can belong to the word; it does if the corpus has the
     hyphenated word inside lines more often than the joined one.
     """
-    text = without_edges(F.col("text"))
-    found = marked.where(F.col("text").rlike(BREAK) | F.col("text").rlike(rf"[{HYPHENS}] ?\n\s*{EDGE}")).select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(BREAK), F.lit(0)))).alias("m"))
+    found = marked.where(F.col("text").rlike(BROKEN)).select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(BREAK), F.lit(0)))).alias("m"))
     part = lambda i: F.regexp_extract("m", BREAK, i)
     cand = found.select("chunk_id", part(1).alias("left"), part(2).alias("sign"), part(3).alias("right")).withColumn("joined", F.lower(F.concat("left", "right"))).withColumn("compound", F.lower(F.concat_ws("-", "left", "right")))
-    inside = marked.select(F.explode(F.regexp_extract_all(F.concat_ws("\n", "text", "titles"), F.lit(r"\p{L}+[-‑]\p{L}+(?![-‑]\n)"), F.lit(0))).alias("c"))
-    compounds = inside.groupBy(F.lower(F.regexp_replace("c", "‑", "-")).alias("compound")).agg(F.count("*").alias("whole"))
+    inside = counted.where(F.col("token").rlike("[-‑]")).select("n", F.explode(F.regexp_extract_all("token", F.lit(r"(?<!\p{L})(?=(\p{L}+[-‑]\p{L}+))"), F.lit(1))).alias("c"))
+    compounds = inside.groupBy(F.regexp_replace("c", "‑", "-").alias("compound")).agg(F.sum("n").alias("whole"))
     weighed = cand.join(words.select(F.col("word").alias("joined"), "n"), "joined", "left").join(compounds, "compound", "left")
     # the joined form was counted at this break too
     keep = F.col("sign").isin("-", "‑") & (F.coalesce("whole", F.lit(0)) > F.coalesce("n", F.lit(0)) - 1)
-    return weighed.where(~keep | F.coalesce("whole", F.lit(0)).__eq__(0)).select("chunk_id", "left", "sign", "right", "joined")
+    return weighed.where(~keep | (F.coalesce("whole", F.lit(0)) == 0)).select("chunk_id", "left", "sign", "right", "joined")
 
 
 def found_noise(chunks: DataFrame) -> DataFrame:
     """(chunk_id, kind): hyphenation, misread (two misread words or more), running_header, page_number."""
     marked = cut(marked_lines(chunks))  # read by every part below
-    words = cut(vocabulary(marked))
+    counted = cut(token_counts(marked))
+    words = cut(vocabulary(counted))
     edges = marked.select("chunk_id", F.explode(F.array_compact(F.array(F.when(F.col("header"), F.lit("running_header")), F.when(F.col("number"), F.lit("page_number"))))).alias("kind"))
-    broken = breaks(marked, words).select("chunk_id", F.lit("hyphenation").alias("kind")).distinct()
-    wrong = misread(marked, words, corrections(words)).groupBy("chunk_id").agg(F.sum("times").alias("n")).where("n >= 2").select("chunk_id", F.lit("misread").alias("kind"))
+    broken = breaks(marked, counted, words).select("chunk_id", F.lit("hyphenation").alias("kind")).distinct()
+    wrong = misread(marked, counted, corrections(words)).groupBy("chunk_id").agg(F.sum("times").alias("n")).where("n >= 2").select("chunk_id", F.lit("misread").alias("kind"))
     return edges.unionByName(broken).unionByName(wrong)
 
 
+def _cased(word: str, like: str) -> str:
+    """`word` in the case of what stood there: letter by letter where lengths agree, else by the first letter or all of them."""
+    if like.isupper() and sum(c.isalpha() for c in like) > 1:
+        return word.upper()
+    if len(word) == len(like):
+        return "".join(w.upper() if c.isupper() else w for w, c in zip(word, like))
+    return word[:1].upper() + word[1:] if like[:1].isupper() else word
+
+
+def restore(text: str, joins: set[tuple[str, str, str]], fixes: dict[str, str]) -> str:
+    """The text with broken words joined and misread ones corrected: whole words only, and none in code, links, templates or formulas."""
+    import regex
+
+    mended = regex.sub(BREAK, lambda m: m[1] + m[3] if (m[1], m[2], m[3]) in joins else m[0], text) if joins else text
+    if not fixes:
+        return mended
+
+    def one(m) -> str:
+        token = m["word"]
+        if token is None:
+            return m[0]
+        lead = regex.match(r"[0-9!|]+(?=[!|])", token)
+        start = lead.end() if lead else 0
+        tail = regex.search(r"(?<=\p{L}\p{L})!+$", token)
+        end = tail.start() if tail else len(token)
+        core = token[start:end]
+        fixed = fixes.get(core.lower())
+        return m[0] if fixed is None else token[:start] + _cased(fixed, core) + token[end:]
+
+    return regex.sub(rf"(?:{ASIDE[4:]})|(?P<word>[{IN_WORD}]+)", one, mended, flags=regex.S)
+
+
 def repaired(chunks: DataFrame) -> DataFrame:
     """(chunk_id, body): continuous paragraphs without edge lines, with broken and misread words restored.
 
     Lines of a paragraph are joined by a space (by nothing between CJK characters) where the chunk shows noise or hard wraps;
-    blocks of markup (tables, lists, code, formulas) keep their lines.
+    blocks of markup (tables, lists, code, formulas) keep their lines. Only texts with words to restore leave the JVM.
     """
     marked = cut(marked_lines(chunks))  # read by every part below
-    words = cut(vocabulary(marked))
-    fixes = misread(marked, words, corrections(words)).groupBy("chunk_id").agg(F.collect_list(F.struct("word", "fixed")).alias("fixes"))
-    joins = breaks(marked, words).groupBy("chunk_id").agg(F.collect_list(F.struct("left", "sign", "right")).alias("joins"))
-    both = marked.join(joins, "chunk_id", "left").join(fixes, "chunk_id", "left")
-    text = without_edges(F.col("text"))
-    dehyphened = F.aggregate(F.coalesce("joins", F.array().cast("array<struct<left:string,sign:string,right:string>>")), text, lambda t, j: F.replace(F.replace(t, F.concat(j["left"], j["sign"], F.lit("\n"), j["right"]), F.concat(j["left"], j["right"])), F.concat(j["left"], j["sign"], F.lit(" \n"), j["right"]), F.concat(j["left"], j["right"])))
+    counted = cut(token_counts(marked))
+    words = cut(vocabulary(counted))
+    fixes = misread(marked, counted, corrections(words)).groupBy("chunk_id").agg(F.collect_list(F.struct("word", "fixed")).alias("fixes"))
+    joins = breaks(marked, counted, words).groupBy("chunk_id").agg(F.collect_list(F.struct("left", "sign", "right")).alias("joins"))
+    todo = joins.join(fixes, "chunk_id", "full_outer")
+
+    @F.pandas_udf("string")
+    def mended(texts: pd.Series, breaks: pd.Series, words: pd.Series) -> pd.Series:
+        sets = lambda x: [] if x is None else x
+        return pd.Series([restore(t, {(j["left"], j["sign"], j["right"]) for j in sets(b)}, {f["word"]: f["fixed"] for f in sets(w)}) for t, b, w in zip(texts, breaks, words)], dtype=object)
+
+    texts = marked.select("chunk_id", "text")
+    both = cut(texts.join(todo, "chunk_id", "left"))
+    needy = F.col("joins").isNotNull() | F.col("fixes").isNotNull()
+    whole = both.where(~needy).select("chunk_id", F.col("text").alias("flow"), "text").unionByName(both.where(needy).select("chunk_id", mended("text", "joins", "fixes").alias("flow"), "text"))
+    flow = F.col("flow")
     kept = r"(?m)^\s*(?:[|!{<>#\\*+$`=-]|\d+[.)]\s)|```"
-    joined_cjk = F.regexp_replace(dehyphened, r"(?<=[一-鿿,。，、；：!？])[ \t]*\n(?=[一-鿿,。，、；：])", "")
-    flowing = F.when(text.rlike(kept), dehyphened).otherwise(F.regexp_replace(F.regexp_replace(joined_cjk, r"[-‐‑][ \t]?\n(?=\p{L})", "-"), r"(?<!\n)[ \t]*\n(?!\n)[ \t]*", " "))
-    upper = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 64))
-    fixed = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<word:string,fixed:string>>")), flowing, lambda t, x: F.replace(F.replace(t, x["word"], x["fixed"]), upper(x["word"]), upper(x["fixed"])))
-    return both.select("chunk_id", fixed.alias("body"))
+    joined_cjk = F.regexp_replace(flow, r"(?<=[一-鿿,。，、；：!？])[ \t]*\n(?=[一-鿿,。，、；：])", "")
+    body = F.when(F.col("text").rlike(kept), flow).otherwise(F.regexp_replace(F.regexp_replace(joined_cjk, r"[-‐‑][ \t]?\n(?=\p{L})", "-"), r"(?<!\n)[ \t]*\n(?!\n)[ \t]*", " "))
+    return whole.select("chunk_id", body.alias("body"))

@@ -65,6 +65,20 @@ def test_scan_repair(spark, corpus):
     assert got["zh"] == "我们用矩阵来描述散射。"
 
 
+def test_corrections_are_whole_words():
+    """Neither parts of words nor code, links, templates and formulas are changed; the case of what stood there is kept."""
+    fixes = {"tbe": "the", "spectrurn": "spectrum", "5table": "stable"}
+    assert scan.restore("tbe outbeat, Tbe TBE SPECTRURN! `tbe` [[tbe|x]] {{tbe}} $tbe$ [a](tbe)", set(), fixes) == "the outbeat, The THE SPECTRUM! `tbe` [[tbe|x]] {{tbe}} $tbe$ [a](tbe)"
+    assert scan.restore("a 5table\n```\n5table tbe\n```\ntbe", set(), fixes) == "a stable\n```\n5table tbe\n```\nthe"
+    assert scan.restore("tra-\nnsport extra-\nnsport", {("tra", "-", "nsport")}, {}) == "transport extra-\nnsport"
+
+
+def test_words_of_any_length_are_counted(spark, corpus):
+    word = "abcdefg" * 20
+    rows = [(f"l{i}", "T", [], f"the {word} is {word}") for i in range(10)] + [("bad", "T", [], f"the {word}‐\n{word[:9]} and {word[:70]}‐\n{word[70:]}")]
+    assert ("bad", "hyphenation") in noise(spark, corpus, *rows)
+
+
 def test_scan_empty(spark):
     assert scan.found_noise(chunks(spark, [])).count() == 0 and scan.repaired(chunks(spark, [])).count() == 0
 
