@@ -30,7 +30,7 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_path_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return markup.path_ratios(markup.nodes(load(spark, d, "chunks")))
+    return markup.path_ratios(markup.measured(load(spark, d, "chunks")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

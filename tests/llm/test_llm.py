@@ -117,6 +117,29 @@ def test_markup_clean(spark):
     assert markup.found_markup(chunks(spark, [])).count() == 0 and markup.clean(chunks(spark, [])).count() == 0
 
 
+PAGE = "<div><a href=a>Home</a> <a href=b>About us</a> <a href=c>Contact</a></div><div><p>The first paragraph has commas, several of them, and a <a href=x>linked word</a> in it; it is long enough, surely, to be read as text.</p><p>Another paragraph follows here, with more commas, and ends well.</p></div><div><small>Company {n}</small> <a href=d>Imprint</a> <a href=e>Privacy</a> <a href=f>Terms</a></div>"
+
+
+def test_ratios_decide(spark):
+    """Navigation and footers use the same elements as content; their paths are told by text and punctuation alone."""
+    rows = [(f"p{i}", "A title", [], PAGE.replace("{n}", str(i))) for i in range(30)] + [("only", "[[a|linked title]]", [], "plain")]
+    df = chunks(spark, rows)
+    ratios = markup.path_ratios(markup.measured(df))
+    verdict = {r["path"]: r["content"] for r in markup.content_paths(ratios).collect()}
+    assert verdict["html:div/html:p"] and not verdict["html:div/html:a"] and not verdict["html:div/html:small"]
+    got = {r["chunk_id"]: r for r in markup.clean(df).collect()}
+    assert got["only"]["title"] == "linked title"
+    for i in range(30):
+        text = got[f"p{i}"]["body"]
+        assert "linked word in it" in text and "Another paragraph" in text and not any(x in text for x in ("Home", "Contact", "Imprint", "Terms", "Company"))
+
+
+def test_residue_at_any_depth(spark):
+    deep = "<table><tbody><tr><td>Cell one <!-- secret --></td><td>" + "<div>" * 30 + "<pre>code()\nmore()</pre>" + "</div>" * 30 + "</td></tr></tbody></table>" + ">" * 5000 + " quoted"
+    got = markup.clean(chunks(spark, [("d", "T", [], deep), ("n", "T", [], ("> " * 3000) + "inner")])).orderBy("chunk_id").collect()
+    assert "secret" not in got[0]["body"] and "Cell one" in got[0]["body"] and "```\ncode()\nmore()\n```" in got[0]["body"] and "inner" in got[1]["body"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab<>/p&;*_`[]()|{}\\$='#~\n 1.", max_size=60))
 def test_markup_never_breaks(text):
