@@ -10,10 +10,11 @@ from math import ceil, floor, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small
 
 #: Folder of the public vocabulary files, and the file used to measure texts; both are parameters.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -106,34 +107,33 @@ def _best_pair(left: np.ndarray, room: int, more_than: int) -> tuple[int, int] |
 CONTAINERS, TARGETS = 1_000, 10_000
 
 
-def _spread(table: DataFrame, most: int) -> DataFrame:
-    """table, marked for broadcast if it has at most `most` rows; none is left out."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
-
-
 def pack(documents: DataFrame, sizes: DataFrame, group_items: int = 50_000, path: str | None = None) -> DataFrame:
     """(container, bin, doc_id, piece, n_tokens, capacity_tokens) for every document of at least one token.
 
-    A document longer than the capacity fills whole bins with its first pieces; its rest is packed like
-    any other item. Documents are hashed into groups of about `group_items` items that are packed side by
+    A document longer than the capacity fills whole bins with its first pieces, which need no packing; its rest is packed like
+    any other item. A container's items are hashed into groups of about `group_items` that are packed side by
     side, so no task holds more than one group's ids and sizes; every group leaves at most one loosely
     filled bin. Containers of null or non-positive capacity take nothing. Repeated doc_ids are separate items.
     """
-    spark = documents.sparkSession
     measured = with_token_counts(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), path=path).where("n_tokens > 0").select("doc_id", "n_tokens")
     boxes = sizes.where("capacity_tokens > 0").select("container", "capacity_tokens").distinct()
-    groups = max(1, ceil(documents.count() / group_items))
-    wide = measured.join(_spread(boxes, CONTAINERS))
-    pieces = wide.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / F.col("capacity_tokens")).cast("int")))).select("container", "capacity_tokens", "doc_id", "piece", F.least(F.col("capacity_tokens"), F.col("n_tokens") - F.col("piece") * F.col("capacity_tokens")).cast("int").alias("size"))
-    placed = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    wide = cut(measured).join(small(boxes, CONTAINERS))
+    # what needs no packing: whole bins of long documents
+    whole = F.floor((F.col("n_tokens") - 1) / F.col("capacity_tokens")).cast("int")
+    rests = cut(wide.select("container", "capacity_tokens", "doc_id", whole.alias("piece"), (F.col("n_tokens") - whole * F.col("capacity_tokens")).cast("int").alias("size"), F.monotonically_increasing_id().alias("at")))
+    full = rests.where("piece > 0").select("container", "capacity_tokens", "doc_id", "at", F.explode(F.sequence(F.lit(0), F.col("piece") - 1)).alias("piece"))
+    filled = full.select("container", F.concat_ws("-", F.lit("whole"), "at", "piece").alias("bin"), "doc_id", "piece", F.col("capacity_tokens").alias("n_tokens"), "capacity_tokens")
+    items = rests.groupBy("container").agg(F.count("*").alias("items"))
+    placed = rests.join(small(items, CONTAINERS), "container").withColumn("group", F.pmod(F.xxhash64("doc_id", "at"), F.ceil(F.col("items") / group_items)).cast("bigint")).drop("items")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "piece"], ignore_index=True)
         bins = best_two_fit(pdf["size"].to_numpy(), int(pdf["capacity_tokens"].iloc[0]))
         at = int(pdf["group"].iloc[0])
-        return pd.DataFrame({"container": pdf["container"], "bin": at * (1 << 32) + bins, "doc_id": pdf["doc_id"], "piece": pdf["piece"], "n_tokens": pdf["size"], "capacity_tokens": pdf["capacity_tokens"]})
+        return pd.DataFrame({"container": pdf["container"], "bin": [f"{at}-{b}" for b in bins], "doc_id": pdf["doc_id"], "piece": pdf["piece"], "n_tokens": pdf["size"], "capacity_tokens": pdf["capacity_tokens"]})
 
-    return placed.groupBy("container", "capacity_tokens", "group").applyInPandas(fill, "container string, bin bigint, doc_id bigint, piece int, n_tokens int, capacity_tokens int")
+    packed = placed.drop("at").groupBy("container", "capacity_tokens", "group").applyInPandas(fill, "container string, bin string, doc_id bigint, piece int, n_tokens int, capacity_tokens int")
+    return packed.unionByName(filled)
 
 
 def pivotal(p: np.ndarray, w: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -172,51 +172,81 @@ def _draw(pdf: pd.DataFrame, seed: int, last: bool) -> np.ndarray:
     return np.where((p > 0) & (p < 1), (rng.random(len(p)) < p).astype(float), p) if last else p
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, group_items: int = 50_000, fan_in: int = 64, large: float = 0.002, seed: int = 7, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _outliers(texts: DataFrame) -> DataFrame:
+    """Texts (doc_id, source, n_tokens) whose square outweighs the squares of all shorter ones of their source together.
+
+    Rounding in pairs ends with one open text of about the size up to which squares add up to its own; these would stay open to
+    the end. In a class of sizes that differ by less than a factor of two there is one at most: some 30 a source.
+    """
+    square = F.pow(F.col("n_tokens").cast("double"), 2)
+    size_class = F.floor(F.log2("n_tokens")).cast("int")
+    sums = texts.groupBy("source", size_class.alias("c")).agg(F.sum(square).alias("sq"))
+    upto = sums.select("source", "c", F.sum("sq").over(W.partitionBy("source").orderBy("c").rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
+    return texts.withColumn("c", size_class).join(small(upto, 32 * TARGETS), ["source", "c"]).where(2 * square > F.col("upto")).select("doc_id", "source", "n_tokens")
+
+
+def _by_source(spark: SparkSession, values: dict[str, tuple], names: str) -> DataFrame:
+    """A table of configuration size: source and some numbers."""
+    return small(spark.createDataFrame([(k, *map(float, v)) for k, v in values.items()], f"source string, {names}"), TARGETS)
+
+
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, group_items: int = 50_000, fan_in: int = 64, least: float = 0.5, seed: int = 7, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Copies a text, and the shares reached.
 
-    Returns (doc_id, source, n_tokens, copies), one row per distinct text of a target source, and (source, target_share,
-    available_tokens, tokens, actual_share, max_copies), one row a target. Sources are compared trimmed and
+    Returns (doc_id, source, n_tokens, copies), one row per distinct text of a target source that can be used, and (source,
+    target_share, available_tokens, tokens, actual_share, max_copies), one row a target. Sources are compared trimmed and
     lower-cased; equal texts count as one, under their least doc_id, so no text is used more than
     max_repeats times. Without `total_tokens` the collection is the largest in which every source that has
-    text can reach its share. Every text gets floor(x) copies, x = share x total / available, and one more with
-    probability x - floor(x), drawn by pivotal rounding that keeps the sum of tokens: first the texts that
-    hold at least `large` of their source (at most 1 / large of them; one longer than the source's whole target is not
-    used), largest first, so that the others make up for their luck, then
-    hashed groups of the others, then the groups' residuals in a tree of `fan_in`. Targets without text reach
-    0. Null or empty texts and other sources are left out.
+    text can reach its share; a text longer than its source's whole target would break the share with one copy and gets none,
+    which lowers the total, though never under `least` of what all texts together would give. Every other text gets floor(x)
+    copies, x = share x total / available, and one more with probability x - floor(x), drawn by pivotal rounding that keeps the
+    sum of tokens: the few texts that outweigh all shorter ones of their source (see _outliers) one by one, largest first, so
+    that the others make up for their luck; hashed groups of all others in order of length; then the groups' residuals in a tree
+    of `fan_in`. Targets without text reach 0. Null or empty texts and other sources are left out.
     """
     spark = documents.sparkSession
     norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")))
     goal = targets.where(F.col("source").isNotNull()).groupBy(norm(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    wanted = documents.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select("doc_id", norm(F.col("source")).alias("source"), "text").join(_spread(goal.select("source"), TARGETS), "source")
-    once = wanted.withColumn("h", F.sha2("text", 256)).groupBy("h").agg(F.min(F.struct("doc_id", "source")).alias("d"), F.first("text").alias("text"))
-    texts = cut(with_token_counts(once.select("d.doc_id", "d.source", "text"), path=path).where("n_tokens > 0").select("doc_id", "source", "n_tokens"))
+    wanted = documents.where(F.col("doc_id").isNotNull() & (F.col("text") != "")).select("doc_id", norm(F.col("source")).alias("source"), "text").join(small(goal.select("source"), TARGETS), "source")
+    # texts are measured where they are; only their hashes and lengths cross the network
+    counted = with_token_counts(wanted, path=path).where("n_tokens > 0").select("doc_id", "source", "n_tokens", F.sha2("text", 256).alias("h"))
+    once = counted.groupBy("h").agg(F.min(F.struct("doc_id", "source")).alias("d"), F.max("n_tokens").alias("n_tokens"))
+    texts = cut(once.select("d.doc_id", "d.source", "n_tokens"))
     have = {r["source"]: (int(r["n"]), int(r["t"])) for r in texts.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}  # one row a target
     rule = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in goal.collect()}
     live = {s: v for s, v in rule.items() if s in have and v[0] > 0 and v[1] > 0}
-    most = min((m * have[s][1] / share for s, (share, m) in live.items()), default=0.0)
-    total = min(most, float(total_tokens)) if total_tokens else most
-    x = {s: share * total / have[s][1] for s, (share, _) in live.items()}
+    usable = {s: have[s][1] for s in live}
+    reach = lambda parts: min((parts[s][0] / share for s, (share, _) in live.items()), default=0.0)
+    most = min(reach({s: (m * usable[s],) for s, (_, m) in live.items()}), float(total_tokens or np.inf)) if live else 0.0
+    total = most
+    while live:  # each round leaves out longer texts than the last; most often there is one
+        limits = _by_source(spark, {s: (share * total,) for s, (share, _) in live.items()}, "longest double")
+        usable = dict.fromkeys(live, 0) | {r["source"]: int(r["t"]) for r in texts.join(limits, "source").where("n_tokens <= longest").groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+        now = max(least * most, min(total, reach({s: (m * usable[s],) for s, (_, m) in live.items() if usable[s]} | {s: (np.inf,) for s in live if not usable[s]})))
+        if now >= total:
+            break
+        total = now
+    longest = _by_source(spark, {s: (share * total,) for s, (share, _) in live.items()} or {"": (0,)}, "longest double")
+    fitting = cut(texts.join(longest, "source").where("n_tokens <= longest").select("doc_id", "source", "n_tokens"))
+    rng = np.random.default_rng(seed)
+    single, drawn = [], dict.fromkeys(live, 0)
+    for r in _outliers(fitting).orderBy("source", F.desc("n_tokens"), "doc_id").collect():  # some 30 a target
+        s, n = r["source"], r["n_tokens"]
+        share, m = live[s]
+        gap, rest = share * total - drawn[s], usable[s] - n
+        x = gap / usable[s]
+        low = max(0, ceil((gap - m * rest) / n))  # fewer copies than this, and the rest can't reach the share
+        copies = int(min(m, floor(gap / n), max(low, floor(x) + int(rng.random() < x - floor(x)))))
+        single.append((r["doc_id"], s, n, copies))
+        drawn[s] += n * copies
+        usable[s] = rest
+    total = min([total, *((drawn[s] + m * usable[s]) / share for s, (share, m) in live.items() if drawn[s] + usable[s])])
+    x = {s: min(max(0.0, (share * total - drawn[s]) / usable[s]), float(m)) if usable[s] else 0.0 for s, (share, m) in live.items()}
     groups = {s: max(1, ceil(have[s][0] / group_items)) for s in live}
-    limits = spark.createDataFrame([(s, large * have[s][1]) for s in live] or [("", 0.0)], "source string, large double")
-    big = texts.join(F.broadcast(limits), "source").where("n_tokens >= large").select("doc_id", "source", "n_tokens").orderBy("source", F.desc("n_tokens"), "doc_id").toPandas()  # at most 1 / large rows a target
-    first, drawn, rest = [], dict.fromkeys(live, 0), {s: have[s][1] for s in live}
-    low, half = np.inf, total / 2
-    for tier in (0.2, 0.1, 0.05, 0.02, 0.01, 0.005, large):  # the largest first: what follows makes up for their luck
-        part = big[(big["n_tokens"] < low * big["source"].map(lambda s: have[s][1])) & (big["n_tokens"] >= tier * big["source"].map(lambda s: have[s][1]))] if len(big) else big
-        low = tier
-        for s, own in part.groupby("source", sort=True):
-            own = own.assign(p=x[s] - floor(x[s]))
-            fits = own["n_tokens"].to_numpy() <= rule[s][0] * total  # else even one copy is more than the source's whole target
-            own["copies"] = np.where(fits, floor(x[s]) + _draw(own, seed, True).astype(int), 0)
-            first.append(own[["doc_id", "source", "n_tokens", "copies"]])
-            drawn[s] += int((own["n_tokens"] * own["copies"]).sum())
-            rest[s] -= int(own["n_tokens"].sum())
-        total = max(half, min([total, *((drawn[s] + m * rest[s]) / share for s, (share, m) in live.items())]))  # what can still be reached, but never under half of the plan
-        x = {s: min(max(0.0, (share * total - drawn[s]) / rest[s]), float(m)) if rest[s] else 0.0 for s, (share, m) in live.items()}
-    plan = spark.createDataFrame([(s, float(x[s]), groups[s], large * have[s][1]) for s in live] or [("", 0.0, 1, 0.0)], "source string, x double, groups int, large double")
-    start = texts.join(F.broadcast(plan), "source").where("n_tokens < large").select("doc_id", "source", "n_tokens", F.floor("x").cast("int").alias("base"), (F.col("x") - F.floor("x")).alias("p"), F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int").alias("g"))
+    plan = _by_source(spark, {s: (x[s], groups[s]) for s in live} or {"": (0, 1)}, "x double, groups double")
+    alone = spark.createDataFrame(single, "doc_id bigint, source string, n_tokens int, copies int")
+    others = fitting.join(small(alone.select("doc_id"), 32 * TARGETS), "doc_id", "left_anti")
+    start = others.join(plan, "source").select("doc_id", "source", "n_tokens", F.floor("x").cast("int").alias("base"), (F.col("x") - F.floor("x")).alias("p"), F.pmod(F.xxhash64("doc_id"), F.col("groups").cast("bigint")).cast("int").alias("g"))
 
     def rounds(last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -235,9 +265,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     chosen = parts[0]
     for more in parts[1:]:
         chosen = chosen.unionByName(more)
-    copies = chosen.select("doc_id", "source", "n_tokens", (F.col("base") + F.col("p")).cast("int").alias("copies"))
-    if first:
-        copies = copies.unionByName(spark.createDataFrame(pd.concat(first), "doc_id bigint, source string, n_tokens int, copies int"))
+    copies = chosen.select("doc_id", "source", "n_tokens", (F.col("base") + F.col("p")).cast("int").alias("copies")).unionByName(alone)
     used = copies.groupBy("source").agg(F.sum(F.col("n_tokens").cast("bigint") * F.col("copies")).alias("tokens"), F.max("copies").alias("max_copies"))
     avail = texts.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     one = used.agg(F.sum("tokens").alias("all_tokens"))

@@ -250,6 +250,18 @@ def test_pack(spark):
     assert packing.pack(spark.createDataFrame([], DOC), boxes).count() == 0
 
 
+def test_pack_groups_count_what_is_packed(spark):
+    """Long texts fill whole bins that take no part in packing; all bins are told apart and nearly full."""
+    docs = [(i, "word " * 3000, "s", 0, 0) for i in range(3)] + [(100 + i, "word " * (1 + i % 9), "s", 0, 0) for i in range(3000)]
+    boxes = spark.createDataFrame([("one", 1), ("c", 40)], "container string, capacity_tokens int")
+    rows = packing.pack(spark.createDataFrame(docs, DOC), boxes, group_items=1000)
+    measured = packing.with_token_counts(spark.createDataFrame(docs, DOC).drop("n_tokens")).agg(F.sum("n_tokens")).first()[0]
+    bins = rows.groupBy("container", "capacity_tokens", "bin").agg(F.sum("n_tokens").alias("used"))
+    assert bins.where("used > capacity_tokens").count() == 0
+    got = {r["container"]: (r["t"], r["n"]) for r in bins.groupBy("container").agg(F.sum("used").alias("t"), F.count("*").alias("n")).collect()}
+    assert got["one"] == (measured, measured) and got["c"][0] == measured and measured / (40 * got["c"][1]) > 0.98
+
+
 # 9: mixing --------------------------------------------------------------------------------------------------------------------
 
 
@@ -283,6 +295,12 @@ def test_mix(spark):
             assert abs(s[k]["tokens"] / reach - share / 0.9) < 0.005 and s[k]["max_copies"] <= {"a": 2, "b": 3, "c": 4}[k]
         rows = copies.collect()
         assert len({r["doc_id"] for r in rows}) == len(rows) and not {r["doc_id"] for r in rows} & {3000, 3001, 2000}
+    # a text longer than a target, and one that outweighs all others of its source
+    docs += [(4000, "long " * 60_000, "C", 0, 0), (4001, "big " * 2_000, "B", 0, 0)]
+    copies, shares = packing.mix(spark.createDataFrame(docs, DOC), goal)
+    s = {r["source"]: r for r in shares.collect()}
+    reach = sum(s[k]["tokens"] for k in "abc")
+    assert all(abs(s[k]["tokens"] / reach - share / 0.9) < 0.01 for k, share in (("a", 0.5), ("b", 0.3), ("c", 0.1))) and 4000 not in {r["doc_id"] for r in copies.where("copies > 0").collect()}
     c, s = packing.mix(spark.createDataFrame([], DOC), goal)
     assert c.count() == 0 and s.count() == 4
 
