@@ -172,17 +172,36 @@ def _draw(pdf: pd.DataFrame, seed: int, last: bool) -> np.ndarray:
     return np.where((p > 0) & (p < 1), (rng.random(len(p)) < p).astype(float), p) if last else p
 
 
+#: A text is drawn by itself if its square is more than this part of the squares of all texts of its source up to its class of size.
+PART = 1 / 64
+
+
 def _outliers(texts: DataFrame) -> DataFrame:
-    """Texts (doc_id, source, n_tokens) whose square outweighs the squares of all shorter ones of their source together.
+    """Texts (doc_id, source, n_tokens) whose square is more than PART of the squares of all texts up to their class of size.
 
-    Rounding in pairs ends with one open text of about the size up to which squares add up to its own; these would stay open to
-    the end. In a class of sizes that differ by less than a factor of two there is one at most: some 30 a source.
+    Rounding in pairs ends with one open text of about the size up to which squares add up to its own; these would likely stay open to
+    the end. In a class (sizes that differ by less than a factor of two) there are fewer than 1 / PART: at most some 2,000 a source.
     """
     square = F.pow(F.col("n_tokens").cast("double"), 2)
     size_class = F.floor(F.log2("n_tokens")).cast("int")
     sums = texts.groupBy("source", size_class.alias("c")).agg(F.sum(square).alias("sq"))
     upto = sums.select("source", "c", F.sum("sq").over(W.partitionBy("source").orderBy("c").rowsBetween(W.unboundedPreceding, 0)).alias("upto"))
-    return texts.withColumn("c", size_class).join(small(upto, 32 * TARGETS), ["source", "c"]).where(2 * square > F.col("upto")).select("doc_id", "source", "n_tokens")
+    return texts.withColumn("c", size_class).join(small(upto, 32 * TARGETS), ["source", "c"]).where(square > PART * F.col("upto")).select("doc_id", "source", "n_tokens")
+
+
+def _one_by_one(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """Copies of the outliers of a source, largest first: each as likely as what is left to draw asks for, and never so few or many that the rest couldn't make up for it."""
+    pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], ignore_index=True)
+    gap, usable, most = float(pdf["goal"].iloc[0]), float(pdf["usable"].iloc[0]), int(pdf["most"].iloc[0])
+    u = np.random.default_rng([seed, int(pdf["doc_id"].iloc[0]) & 0x7FFFFFFF, len(pdf)]).random(len(pdf))
+    copies = []
+    for n, r in zip(pdf["n_tokens"].tolist(), u):
+        x = gap / usable
+        low = max(0, ceil((gap - most * (usable - n)) / n))
+        c = max(0, min(most, floor(gap / n), max(low, floor(x) + int(r < x - floor(x)))))
+        copies.append(c)
+        gap, usable = gap - n * c, usable - n
+    return pdf.assign(copies=copies)[["doc_id", "source", "n_tokens", "copies"]]
 
 
 def _by_source(spark: SparkSession, values: dict[str, tuple], names: str) -> DataFrame:
@@ -200,7 +219,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     text can reach its share; a text longer than its source's whole target would break the share with one copy and gets none,
     which lowers the total, though never under `least` of what all texts together would give. Every other text gets floor(x)
     copies, x = share x total / available, and one more with probability x - floor(x), drawn by pivotal rounding that keeps the
-    sum of tokens: the few texts that outweigh all shorter ones of their source (see _outliers) one by one, largest first, so
+    sum of tokens: the texts that weigh much among those of their source (see _outliers) one by one, largest first, so
     that the others make up for their luck; hashed groups of all others in order of length; then the groups' residuals in a tree
     of `fan_in`. Targets without text reach 0. Null or empty texts and other sources are left out.
     """
@@ -228,24 +247,17 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         total = now
     longest = _by_source(spark, {s: (share * total,) for s, (share, _) in live.items()} or {"": (0,)}, "longest double")
     fitting = cut(texts.join(longest, "source").where("n_tokens <= longest").select("doc_id", "source", "n_tokens"))
-    rng = np.random.default_rng(seed)
-    single, drawn = [], dict.fromkeys(live, 0)
-    for r in _outliers(fitting).orderBy("source", F.desc("n_tokens"), "doc_id").collect():  # some 30 a target
-        s, n = r["source"], r["n_tokens"]
-        share, m = live[s]
-        gap, rest = share * total - drawn[s], usable[s] - n
-        x = gap / usable[s]
-        low = max(0, ceil((gap - m * rest) / n))  # fewer copies than this, and the rest can't reach the share
-        copies = int(min(m, floor(gap / n), max(low, floor(x) + int(rng.random() < x - floor(x)))))
-        single.append((r["doc_id"], s, n, copies))
-        drawn[s] += n * copies
-        usable[s] = rest
+    goals = _by_source(spark, {s: (share * total, usable[s], m) for s, (share, m) in live.items()} or {"": (0, 0, 0)}, "goal double, usable double, most double")
+    alone = cut(_outliers(fitting).join(goals, "source").groupBy("source").applyInPandas(lambda pdf: _one_by_one(pdf, seed), "doc_id bigint, source string, n_tokens int, copies int"))
+    drawn = dict.fromkeys(live, 0)
+    for r in alone.groupBy("source").agg(F.sum(F.col("n_tokens").cast("bigint") * F.col("copies")).alias("drawn"), F.sum("n_tokens").alias("n")).collect():  # one row a target
+        drawn[r["source"]] = int(r["drawn"])
+        usable[r["source"]] -= int(r["n"])
     total = min([total, *((drawn[s] + m * usable[s]) / share for s, (share, m) in live.items() if drawn[s] + usable[s])])
     x = {s: min(max(0.0, (share * total - drawn[s]) / usable[s]), float(m)) if usable[s] else 0.0 for s, (share, m) in live.items()}
     groups = {s: max(1, ceil(have[s][0] / group_items)) for s in live}
     plan = _by_source(spark, {s: (x[s], groups[s]) for s in live} or {"": (0, 1)}, "x double, groups double")
-    alone = spark.createDataFrame(single, "doc_id bigint, source string, n_tokens int, copies int")
-    others = fitting.join(small(alone.select("doc_id"), 32 * TARGETS), "doc_id", "left_anti")
+    others = fitting.join(small(alone.select("doc_id"), 200_000), "doc_id", "left_anti")
     start = others.join(plan, "source").select("doc_id", "source", "n_tokens", F.floor("x").cast("int").alias("base"), (F.col("x") - F.floor("x")).alias("p"), F.pmod(F.xxhash64("doc_id"), F.col("groups").cast("bigint")).cast("int").alias("g"))
 
     def rounds(last: bool):
