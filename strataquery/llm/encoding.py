@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import hot_counts, skew_join
-from ..session import cut
+from ..session import at_most, cut
 
 # Fixed values: (encoding the bytes were in, encoding they were read as), single confusions.
 CHANNELS = [("utf-8", w) for w in ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "gb18030", "koi8_r", "cp866", "mac_cyrillic", "big5", "shift_jis")]
@@ -29,6 +29,10 @@ LOST = "�"
 ENTER, SEQUENCE, SOUND = 2.3, 3.0, 2.0
 #: Share of the weight of all characters that fit partly lost bytes from which the likeliest is taken.
 SURE = 0.6
+#: What is seen less often may itself be garbled.
+KNOWN = 3
+#: Distinct spans with a second reading that are broadcast at most; more of them are joined by a shuffle of all spans.
+OFFERS = 200_000
 #: Words that speak for a reading of one span at most.
 MOST = 4
 UNIT = r"[㐀-鿿]|[\p{L}\p{M}&&[^㐀-鿿]]+|[^\x00-\x7f]"
@@ -175,36 +179,46 @@ def readings(span: str, lattice: Lattice) -> list[tuple[str, str, float]]:
     return [(c, t, b) for t, (c, b) in seen.items()]
 
 
-def decide(spans: list[tuple[int, bool, list[tuple[str, str, float]]]]) -> list[tuple[int, str, str]]:
-    """Viterbi over the spans of one text: (position, channel, reading) of the spans that went through a channel.
+def decide(spans: list[tuple[int, list[tuple[str, str, float]]]]) -> list[tuple[int, str, str]]:
+    """Viterbi over the spans of one text: (number, channel, reading) of the spans that went through a channel.
 
-    spans: (position, lost, readings as (channel, text, gain)). States are 'sound' and the channels at hand.
+    spans: (number among the text's spans, readings as (channel, text, gain)), those without readings left out: they are sound, and
+    what they cost a channel that goes on past them follows from the numbers. States are 'sound' and the channels at hand.
     """
-    states = ["", *sorted({c for _, _, r in spans for c, _, _ in r})]
+    states = ["", *sorted({c for _, r in spans for c, _, _ in r})]
     score = {s: 0.0 if not s else -ENTER for s in states}
     back: list[dict[str, str]] = []
-    for _, lost, options in spans:
+    last = spans[0][0] - 1 if spans else 0
+    for at, options in spans:
         gain = {c: g for c, _, g in options}
-        came = {s: max(states, key=lambda p: (score[p] - (0.0 if p == s or not s else ENTER), p == s)) for s in states}
-        score = {s: score[came[s]] - (0.0 if came[s] == s or not s else ENTER) + (0.0 if not s else gain.get(s, -SOUND)) for s in states}
+        passed = (at - last - 1) * SOUND  # to stay in a channel over sound spans; to leave it is free
+        last = at
+        cost = lambda p, s, passed=passed: 0.0 if not s else min(passed, ENTER) if p == s else ENTER
+        came = {s: max(states, key=lambda p: (score[p] - cost(p, s), p == s)) for s in states}
+        score = {s: score[came[s]] - cost(came[s], s) + (gain.get(s, -SOUND) if s else 0.0) for s in states}
         back.append(came)
     state = max(states, key=lambda s: (score[s], s == ""))
     out = []
-    for (at, _, options), came in zip(reversed(spans), reversed(back)):
+    for (at, options), came in zip(reversed(spans), reversed(back)):
         if state:
             out.extend((at, c, t) for c, t, g in options if c == state)
         state = came[state]
     return out[::-1]
 
 
-def unit_counts(documents: DataFrame, text: str) -> DataFrame:
-    """(unit, n): occurrences of every word, ideograph and non-ASCII sign in all texts."""
-    return documents.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(UNIT), F.lit(0))).alias("unit")).where(F.length("unit") <= 64).groupBy("unit").agg(F.count("*").alias("n"))
+def token_counts(documents: DataFrame, text: str) -> DataFrame:
+    """(token, n): how often every stretch between blanks occurs in all texts. The only pass over all texts; what follows works on distinct tokens."""
+    return documents.select(F.explode(F.split(F.col(text), SPACE)).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+
+
+def unit_counts(counted: DataFrame) -> DataFrame:
+    """(unit, n): occurrences of every word, ideograph and non-ASCII sign, of counted tokens; no unit holds a blank."""
+    return counted.select("n", F.explode(F.regexp_extract_all(F.lower("token"), F.lit(UNIT), F.lit(0))).alias("unit")).groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def character_weights(units: DataFrame) -> dict[str, float]:
-    """Log shares of non-ASCII characters, in both cases: at most as many as Unicode has, and those in 3 units at least or seen 3 times."""
-    rows = units.where(F.col("unit").rlike(r"[^\x00-\x7f]")).select("n", F.explode(F.array_distinct(F.split("unit", ""))).alias("c")).where(F.col("c") > "\x7f").groupBy("c").agg(F.sum("n").alias("n")).where("n >= 3").collect()
+    """Log shares of non-ASCII characters, in both cases: at most as many as Unicode has. One counts as known if it is seen KNOWN times."""
+    rows = units.where(F.col("unit").rlike(r"[^\x00-\x7f]")).select("n", F.explode(F.array_distinct(F.split("unit", ""))).alias("c")).where(F.col("c") > "\x7f").groupBy("c").agg(F.sum("n").alias("n")).where(F.col("n") >= KNOWN).collect()
     total = sum(r["n"] for r in rows) or 1
     out: dict[str, float] = {}
     for r in rows:
@@ -214,9 +228,12 @@ def character_weights(units: DataFrame) -> dict[str, float]:
     return out
 
 
+ODD = r"[^\x00-\x7f]"
+
+
 def spans_of(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, span): stretches between blanks that hold a non-ASCII character."""
-    return documents.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(key, F.posexplode(F.split(F.col(text), SPACE)).alias("pos", "span")).where(F.col("span").rlike(r"[^\x00-\x7f]"))
+    """(key, pos, span): stretches between blanks that hold a non-ASCII character, by their number among those of the text."""
+    return documents.where(F.col(text).rlike(ODD)).select(key, F.posexplode(F.filter(F.split(F.col(text), SPACE), lambda x: x.rlike(ODD))).alias("pos", "span"))
 
 
 def weighed_readings(counted: DataFrame, units: DataFrame) -> DataFrame:
@@ -268,7 +285,7 @@ def lost_words(counted: DataFrame) -> DataFrame:
     """
     bare, key = _skeleton("span")
     keyed = counted.withColumn("bare", bare).withColumn("key", key)
-    sound = keyed.where(~F.contains("span", F.lit(LOST)) & (F.length("bare") <= 64)).groupBy("key").agg(F.max_by("bare", F.struct("n", "bare")).alias("fit"), F.max("n").alias("n"), F.sum("n").alias("all")).where((F.col("n") >= 2) & (F.col("n") >= SURE * F.col("all")))
+    sound = keyed.where(~F.contains("span", F.lit(LOST)) ).groupBy("key").agg(F.max_by("bare", F.struct("n", "bare")).alias("fit"), F.max("n").alias("n"), F.sum("n").alias("all")).where((F.col("n") >= 2) & (F.col("n") >= SURE * F.col("all")))
     gone = keyed.where(F.contains("span", F.lit(LOST)) & ~F.col("bare").rlike(rf"[^\x00-\x7f{LOST}]") & (F.length(F.regexp_replace("bare", LOST, "")) + 2 >= F.length(F.regexp_replace("bare", f"[^{LOST}]", ""))))
     return gone.join(sound.select("key", "fit"), "key").select("span", F.replace("span", "bare", "fit").alias("text"))
 
@@ -276,24 +293,29 @@ def lost_words(counted: DataFrame) -> DataFrame:
 def damaged(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, edits array<struct<pos, channel, text>>, lost): texts with garbled or lost characters.
 
-    `edits` are the spans (by their number, split at blanks) with their restored form; `lost` tells that characters are
+    `edits` are the spans (by their number among the text's spans) with their restored form; `lost` tells that characters are
     gone (U+FFFD); for those the edits hold the likeliest reading, if any. Null and empty texts, and rows without a key, give
     no row; rows of one key and text count once.
     """
     docs = documents.where(F.col(key).isNotNull()).select(key, text)
-    units = cut(unit_counts(docs, text))
-    spans = spans_of(docs, key, text)
-    counted = cut(spans.groupBy("span").agg(F.count("*").alias("n")))  # distinct spans, each read once
+    tokens = cut(token_counts(docs, text))
+    units = cut(unit_counts(tokens))
+    counted = cut(tokens.where(F.col("token").rlike(ODD)).select(F.col("token").alias("span"), "n"))  # distinct spans, each read once
     options = weighed_readings(counted, units)
     fits = lost_words(counted)
-    offers = options.join(fits, "span", "full_outer").select("span", F.concat(F.coalesce("options", F.array().cast("array<struct<channel:string,text:string,gain:double>>")), F.when(F.col("text").isNotNull(), F.array(F.struct(F.lit("lost").alias("channel"), "text", F.lit(9.0).alias("gain")))).otherwise(F.array().cast("array<struct<channel:string,text:string,gain:double>>"))).alias("options"))
-    met = skew_join(spans, offers, "span", key, "left", hot=hot_counts(counted, "span", "n"))
-    listed = met.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("pos", F.contains("span", F.lit(LOST)).alias("lost"), "options"))).alias("spans"), F.max(F.coalesce(F.size("options"), F.lit(0))).alias("most"), F.max(F.contains("span", F.lit(LOST))).alias("lost")).where("most > 0 or lost")
+    none = F.array().cast("array<struct<channel:string,text:string,gain:double>>")
+    lost = counted.where(F.contains("span", F.lit(LOST))).select("span", F.lit(True).alias("lost"))
+    met = options.join(fits, "span", "full_outer").join(lost, "span", "full_outer")
+    offers = cut(met.select("span", F.coalesce("lost", F.lit(False)).alias("lost"), F.concat(F.coalesce("options", none), F.when(F.col("text").isNotNull(), F.array(F.struct(F.lit("lost").alias("channel"), "text", F.lit(9.0).alias("gain")))).otherwise(none)).alias("options")))
+    spans = spans_of(docs, key, text)
+    # only spans that have a second reading or a lost character are looked for; the others are sound
+    odd = spans.join(F.broadcast(offers), "span") if at_most(offers, OFFERS) else skew_join(spans, offers, "span", key, hot=hot_counts(counted, "span", "n"))
+    listed = odd.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("pos", "options"))).alias("spans"), F.max("lost").alias("lost"))
 
     @F.pandas_udf("array<struct<pos:int,channel:string,text:string>>")
     def search(column: pd.Series) -> pd.Series:
         def one(spans) -> list[dict]:
-            told = [(s["pos"], s["lost"], [(o["channel"], o["text"], o["gain"]) for o in (s["options"] if s["options"] is not None else [])]) for s in spans]
+            told = [(s["pos"], [(o["channel"], o["text"], o["gain"]) for o in s["options"]]) for s in spans]
             return [{"pos": p, "channel": c, "text": t} for p, c, t in decide(told)]
 
         return column.map(one)
@@ -313,8 +335,9 @@ def restored(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
         def one(t: str, todo) -> str:
             parts = cutter.split(t)
+            spans = [i for i in range(0, len(parts), 2) if not parts[i].isascii()]
             for e in todo:
-                parts[2 * e["pos"]] = e["text"]
+                parts[spans[e["pos"]]] = e["text"]
             return "".join(parts)
 
         return pd.Series([one(t, e) for t, e in zip(texts, edits)])
