@@ -127,7 +127,7 @@ class Library:
         def make() -> ix.Index:
             v, about = self.view(), self.about()
             chunks, posts = (v.current(t, "chunk_id", self._replaced()).drop("layer") for t in (v.chunks, v.postings))
-            return ix.Index(chunks, posts, v.token_stats(), Row(**about["totals"]), tuple(about["hot"]))
+            return ix.Index(chunks, posts, v.token_stats(), Row(**about["totals"]), about["hot"])
 
         return self._once("index", make)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +89,7 @@ class Index:
     postings: DataFrame
     stats: DataFrame
     totals: Row
-    hot: tuple[str, ...] = ()  # tokens that hold a large part of all postings
+    hot: dict[str, float] = field(default_factory=dict)  # tokens that hold a large part of all postings, and that part
 
     @property
     def n(self) -> int:
@@ -125,7 +125,7 @@ def build(chunks: DataFrame) -> Index:
     once = cut(distinct_chunks(chunks))
     posts = cut(by_token(postings(once)))
     stats = cut(token_stats(posts))
-    return Index(once, posts, stats, corpus_totals(once, posts).first(), tuple(hot_counts(stats, "token", "df_any")))
+    return Index(once, posts, stats, corpus_totals(once, posts).first(), hot_counts(stats, "token", "df_any"))
 
 
 _BUILT: dict[tuple, Index] = {}

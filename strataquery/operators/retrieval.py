@@ -71,7 +71,7 @@ def matches(qt: DataFrame, index: Index, prune: bool = True) -> DataFrame:
     asked = qt.select("token")
     known = cut(qt.join(seek(index.stats, "token", asked), "token").select("query_id", "ord", "token", "weight", "original", hidden.alias("hidden"), (effective_df(index.n) if prune else F.col("df_any")).alias("df")))
     posts = seek(index.postings, "token", asked)
-    met = posts.join(F.broadcast(known), "token") if at_most(known, BATCH) else skew_join(posts, known, "token", "chunk_id", hot=list(index.hot))
+    met = posts.join(F.broadcast(known), "token") if at_most(known, BATCH) else skew_join(posts, known, "token", "chunk_id", hot=index.hot)
     return met.withColumn("body_tf", F.when(F.col("hidden"), F.lit(0)).otherwise(F.col("body_tf"))).where("title_tf + breadcrumb_tf + body_tf > 0")
 
 

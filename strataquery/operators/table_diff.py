@@ -6,9 +6,14 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
-ROWS_A_BUCKET = 2_000
-MOST_BUCKETS = 1 << 16
+from ..session import cut, small
+
+#: Rows a bucket is to hold in the end, and into how many parts one level of the matrix splits a bucket at most.
+ROWS_A_BUCKET, SPLIT = 2_000, 1 << 16
+#: Unequal buckets that are broadcast at most.
+SHOWN = 1 << 18
 
 
 def _hash_parts(c: Column, name: str) -> list[Column]:
@@ -23,12 +28,15 @@ def checksum_matrix(df: DataFrame, keys: list[str], fields: list[str], buckets:
     Partial sums are made before the shuffle: it carries at most `buckets` rows a task.
     """
     k = F.xxhash64(*keys)
-    bound = [p for f in fields for p in _hash_parts(F.struct(k.alias("k"), F.col(f).alias("v")), f)]
-    return df.groupBy(F.pmod(k, F.lit(buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("rows"), *_hash_parts(F.struct(*keys), "key"), *bound)
+    # the hash passes over nulls and empty arrays alike: nulls are hashed as such, and nested values as text that tells them apart
+    nested = lambda f: isinstance(df.schema[f].dataType, (ArrayType, MapType, StructType))
+    value = lambda f: F.to_json(F.struct(F.col(f).alias("v")), {"ignoreNullFields": "false"}) if nested(f) else F.col(f)
+    bound = [p for f in fields for p in _hash_parts(F.struct(k.alias("k"), F.isnull(f).alias("n"), value(f).alias("v")), f)]
+    return df.groupBy(F.pmod(k, F.lit(buckets)).cast("long").alias("bucket")).agg(F.count("*").alias("rows"), *_hash_parts(F.struct(*(x for c in keys for x in (F.isnull(c).alias(f"n_{c}"), F.col(c)))), "key"), *bound)
 
 
 def unequal_buckets(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], buckets: int) -> DataFrame:
-    """(bucket, key_differs, fields): where the two matrices differ, and in which fields. At most `buckets` rows."""
+    """(bucket, key_differs, fields): where the two matrices differ, and in which fields."""
     a = checksum_matrix(left, keys, fields, buckets)
     b = checksum_matrix(right, keys, fields, buckets)
     names = [c for c in a.columns if c != "bucket"]
@@ -38,23 +46,40 @@ def unequal_buckets(left: DataFrame, right: DataFrame, keys: list[str], fields:
     return out.where(F.col("key_differs") | (F.size("fields") > 0))
 
 
-def diff(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], buckets: int | None = None, missing_right: str = "missing_in_right", missing_left: str = "missing_in_left") -> DataFrame:
+def _inside(df: DataFrame, keys: list[str], found: DataFrame, buckets: int) -> DataFrame:
+    """df's rows in the given buckets, with their bucket."""
+    placed = df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("long"))
+    return placed.join(small(found.select(F.col("bucket").alias("__bucket")), SHOWN), "__bucket", "left_semi")
+
+
+def locate(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], buckets: int, split: int = SPLIT) -> tuple[DataFrame, int]:
+    """The unequal ones of at least `buckets` buckets, (bucket, key_differs, fields), and how many buckets there are.
+
+    The matrix is refined level by level: each splits every unequal bucket of the level before into up to `split` parts, and reads
+    only what lies in those. A task sends at most `split` rows at the first level, and no level gathers anything on the driver.
+    """
+    n = min(split, buckets)
+    found = cut(unequal_buckets(left, right, keys, fields, n))
+    while n < buckets and not found.isEmpty():
+        finer = n * min(split, ceil(buckets / n))
+        found, n = cut(unequal_buckets(_inside(left, keys, found, n), _inside(right, keys, found, n), keys, fields, finer)), finer
+    return found, n
+
+
+def diff(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], buckets: int | None = None, missing_right: str = "missing_in_right", missing_left: str = "missing_in_left", split: int = SPLIT) -> DataFrame:
     """(*keys, issue, field): rows missing on either side, and one row for each field whose values differ.
 
     Both inputs hold the same key and field names and types. Values are compared null-safe; null keys equal
     each other. Exact repeats of a row count once; if a key has several different rows on a side, the one with the
-    greatest values stands for it. First the checksum matrices are compared (at most MOST_BUCKETS small
-    rows come to the driver); only rows of unequal buckets, and only fields unequal somewhere, are read again and joined.
+    greatest values stands for it. First the checksum matrices are compared (`buckets` buckets, by default as many as ROWS_A_BUCKET
+    asks for); only rows of unequal buckets, and only fields unequal somewhere, are read again and joined.
     """
-    spark = left.sparkSession
-    n = buckets or min(MOST_BUCKETS, max(64, ceil(left.count() / ROWS_A_BUCKET)))
-    found = unequal_buckets(left, right, keys, fields, n).collect()
-    read = [f for f in fields if any(f in r["fields"] for r in found)]
-    wanted = spark.createDataFrame([(r["bucket"], list(r["fields"])) for r in found], "__bucket int, __fields array<string>")
+    found, n = locate(left.select(*keys, *fields), right.select(*keys, *fields), keys, fields, buckets or max(64, ceil(left.count() / ROWS_A_BUCKET)), split)
+    unequal = {r[0] for r in found.select(F.explode("fields")).distinct().collect()}  # names of columns
+    read = [f for f in fields if f in unequal]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        placed = df.select(*keys, *read).withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
-        rows = placed.join(F.broadcast(wanted.select("__bucket")), "__bucket", "left_semi")  # at most MOST_BUCKETS integers
+        rows = _inside(df.select(*keys, *read), keys, found, n)
         return rows.groupBy("__bucket", *keys).agg(F.max(F.struct(*([F.lit(1).alias("__one")] + [F.col(f) for f in read]))).alias(name))
 
     a, b = side(left, "__a"), side(right, "__b").withColumnsRenamed({k: f"__k_{k}" for k in keys} | {"__bucket": "__bb"})

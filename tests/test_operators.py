@@ -40,6 +40,28 @@ def test_skew_join_is_the_plain_join(spark, how):
     assert rows_of(skew_join(many, one, "k", "id", how).select(*cols)) == rows_of(many.join(one, "k", how).select(*cols))
 
 
+def test_hot_and_null_keys_are_spread(spark):
+    """A key of 60 %, one of 1 % and nulls: each gets its share of the partitions, and nothing is lost."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        many = spark.range(20_000).select("id", F.when(F.col("id") % 10 < 6, "big").when(F.col("id") % 100 == 7, "one").when(F.col("id") % 10 == 8, None).otherwise(F.concat(F.lit("k"), "id")).alias("k"))
+        hot = hot_keys(many, "k")
+        assert set(hot) == {"big", "one"} and 0.6 < hot["big"] < 0.8
+        one = spark.createDataFrame([("big", 1), ("one", 2), ("k19", 3)], "k string, v int")
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            got = skew_join(many, one, "k", "id", how)
+            assert got.count() == many.join(one, "k", how).count()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = [r["n"] for r in skew_join(many, one, "k", "id", "left").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < 20_000 / 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_exact_rank(spark):
     rng = random.Random(2)
     vals = [("a" if i % 3 else "b", rng.choice([rng.gauss(0, 1), 0.5])) for i in range(6000)] + [("c", 1.0), ("c", None), ("d", None)]
@@ -72,6 +94,8 @@ def test_diff(spark):
     a, b = spark.createDataFrame(left, SIDE), spark.createDataFrame(right, SIDE)
     got = sorted(map(repr, map(tuple, diff(a, b, ["k1", "k2"], ["a", "b"], buckets=16).collect())))
     assert got == brute_diff(left, right)
+    levels = diff(a, b, ["k1", "k2"], ["a", "b"], buckets=300, split=8)  # three levels
+    assert sorted(map(repr, map(tuple, levels.collect()))) == brute_diff(left, right)
     same = diff(a, a.union(a.limit(0)), ["k1", "k2"], ["a", "b"])
     assert same.count() == 0
     empty = spark.createDataFrame([], SIDE)
