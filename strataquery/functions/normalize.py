@@ -33,14 +33,20 @@ def repair(text: Column) -> Column:
     return F.regexp_replace(t, DIAERESIS, "$1$2̈")
 
 
+def _is_ascii(text: Column) -> Column:
+    return text.rlike(r"^\p{ASCII}*$")
+
+
 def normalize_for_search(text: Column) -> Column:
-    """The normal form of queries and extracted text; null gives ''. Idempotent. NFC needs Python (Arrow batches)."""
-    return _nfc(repair(text))
+    """The normal form of queries and extracted text; null gives ''. Idempotent. Only what is not ASCII goes through Python (Arrow batches) for NFC."""
+    t = repair(text)
+    return F.when(_is_ascii(t), t).otherwise(_nfc(F.when(~_is_ascii(t), t)))
 
 
 def lookup_key(text: Column) -> Column:
-    """NFKC, trimmed, case-folded, spaces folded (Arrow batches)."""
-    return _lookup(text)
+    """NFKC, trimmed, case-folded, spaces folded. Only what is not ASCII goes through Python (Arrow batches)."""
+    plain = F.lower(F.trim(F.regexp_replace(text, r"[\s\x1c-\x1f]+", " ")))
+    return F.when(_is_ascii(text), plain).otherwise(_lookup(F.when(~_is_ascii(text), text)))
 
 
 def normalization_counts(text: Column) -> dict[str, Column]:

@@ -2,68 +2,89 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.normalize import lookup_key
-from .skew import skew_join
+from ..session import cut
+from .skew import hot_keys, skew_join
+
+# Forms of links, fences, code and external targets.
+WIKILINK = r"(?<!!)\[\[([^\[\]\n]+)\]\]"
+MARKDOWN_LINK = r"(?<!!)\[([^\]\n]+)\]\(([^)\s]+)(?:\s+[\"'][^\"']*[\"'])?\)"
+FENCE = r"^\s*(?:`{3,}|~{3,})"
+CODE = r"(`+).*?\1"
+EXTERNAL = r"(?i)^(?:https?://|mailto:|tel:|data:|javascript:)"
+EXCERPT = 240
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _or_null(c: Column) -> Column:
+    return F.nullif(_strip(c), F.lit(""))
 
-# Forms of links, fences and external targets.
-WIKILINK = re.compile(r"(?<!!)\[\[([^\[\]\n]+)\]\]")
-MARKDOWN_LINK = re.compile(r"(?<!!)\[([^\]\n]+)\]\(([^)\s]+)(?:\s+[\"'][^\"']*[\"'])?\)")
-FENCE = re.compile(r"\s*(`{3,}|~{3,})")
-CODE = re.compile(r"(`+)(.*?)\1")
-EXTERNAL = ("http://", "https://", "mailto:", "tel:", "data:", "javascript:")
-LINKS = "source_id string, source_md string, raw string, target string, alias string, anchor string, line int, column int, syntax string, source_heading string, excerpt string"
 
+def _fenced(fences: Column) -> Column:
+    """array<struct<a, b>>: line ranges of fenced blocks, each closed by the sign that opened it; `fences` are (i, sign) of fence lines."""
+    ranges = "array<struct<a:int,b:int>>"
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("a"), F.array().cast(ranges).alias("done"))
+    closed = lambda s, b: F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), b.alias("b"))))
+    step = lambda s, f: F.when(s["open"] == "", F.struct(f["sign"].alias("open"), f["i"].alias("a"), s["done"].alias("done"))).when(s["open"] == f["sign"], F.struct(F.lit("").alias("open"), F.lit(0).alias("a"), closed(s, f["i"]).alias("done"))).otherwise(s)
+    return F.aggregate(fences, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(closed(s, F.lit(2**31 - 1))))
 
-def links_of(text: str) -> Iterator[tuple]:
-    """(raw, target, alias, anchor, line, column, syntax, heading, excerpt) of the internal links of one text, in order.
 
-    Fenced blocks (closed by the sign that opened them) and inline code hold no links; images and external targets are none.
+def lines_with_links(texts: DataFrame) -> DataFrame:
+    """(source_id, source_md, line, text, source_heading, excerpt) of lines outside fences that may hold a link.
+
+    One row expression a text: nothing is shuffled, and of a text only these lines go on. The heading is the last line above (or at)
+    it that starts with `#`; the excerpt is the line and its two neighbors.
     """
-    lines = text.split("\n")
-    fence, heading = "", None
-    for n, line in enumerate(lines, 1):
-        if line.lstrip().startswith("#"):
-            heading = line.lstrip("# ").strip() or None
-        if opened := FENCE.match(line):
-            sign = opened.group(1)[0]
-            fence = "" if fence == sign else fence or sign
-            continue
-        if fence or "[" not in line:
-            continue
-        seen = CODE.sub(lambda m: " " * len(m.group()), line)
-        found = []
-        for m in WIKILINK.finditer(seen):
-            left, _, alias = m.group(1).partition("|")
-            target, _, anchor = left.partition("#")
-            if target.strip():
-                found.append((m, target.strip(), alias.strip() or None, anchor.strip() or None, "wikilink"))
-        for m in MARKDOWN_LINK.finditer(seen):
-            path, _, anchor = m.group(2).partition("#")
-            if path and not m.group(2).casefold().startswith(EXTERNAL):
-                found.append((m, path, m.group(1).strip(), anchor or None, "markdown"))
-        around = " ".join(p.strip() for p in lines[max(0, n - 2) : max(0, n - 2) + 3] if p.strip())[:240]
-        for m, target, alias, anchor, syntax in sorted(found, key=lambda x: x[0].start()):
-            yield line[m.start() : m.end()], target, alias, anchor, n, m.start() + 1, syntax, heading, around
+    rows = texts.where(F.contains("text", F.lit("["))).select("source_id", "source_md", F.split("text", "\n").alias("lines"))
+    told = rows.withColumn("all", F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"))))
+    heads = F.transform(F.filter("all", lambda n: n["x"].rlike(r"^\s*#")), lambda n: F.struct(n["i"].alias("i"), _or_null(F.regexp_replace(n["x"], "^[# ]+", "")).alias("title")))
+    fences = F.transform(F.filter("all", lambda n: n["x"].rlike(FENCE)), lambda n: F.struct(n["i"].alias("i"), F.substring(F.regexp_replace(n["x"], r"^\s+", ""), 1, 1).alias("sign")))
+    marked = told.withColumn("heads", heads).withColumn("fenced", _fenced(fences))
+    around = lambda i: F.substring(F.array_join(F.filter(F.transform(F.slice("lines", F.greatest(i, F.lit(1)), F.lit(3)), _strip), lambda p: p != ""), " "), 1, EXCERPT)
+    near = F.filter("all", lambda n: F.contains(n["x"], F.lit("[")) & ~F.exists("fenced", lambda r: n["i"].between(r["a"], r["b"])))
+    shown = F.transform(near, lambda n: F.struct((n["i"] + 1).alias("line"), n["x"].alias("text"), F.try_element_at(F.filter("heads", lambda h: h["i"] <= n["i"]), F.lit(-1))["title"].alias("source_heading"), around(n["i"]).alias("excerpt")))
+    return marked.select("source_id", "source_md", F.explode(shown).alias("n")).select("source_id", "source_md", "n.*")
 
 
-def parse_links(texts: DataFrame) -> DataFrame:
-    """LINKS of every text (source_id, source_md, text). Texts without a bracket never leave the JVM; nulls have no links."""
+def _found(masked: Column, line: Column, pattern: str) -> Column:
+    """array<struct<column, seen, raw>>: matches of a pattern with their 1-based place, which the gaps between them tell."""
+    hits, gaps = F.regexp_extract_all(masked, F.lit(pattern), F.lit(0)), F.split(masked, pattern)
+    before = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(1), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda n, h: n + F.length(h))
+    return F.transform(hits, lambda h, i: F.struct(before(i).alias("column"), h.alias("seen"), F.substring(line, before(i), F.length(h)).alias("raw")))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(s, m, *x) for s, m, t in zip(pdf["source_id"], pdf["source_md"], pdf["text"]) for x in links_of(t)]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in LINKS.split(", ")])
-            yield out.astype({"line": "int32", "column": "int32"})
 
-    return texts.where(F.contains("text", F.lit("["))).select("source_id", "source_md", "text").mapInPandas(parse, LINKS)
+def parse_links(texts: DataFrame) -> DataFrame:
+    """(source_id, source_md, raw, target, alias, anchor, line, column, syntax, source_heading, excerpt) of the internal links of texts (source_id, source_md, text).
+
+    Fenced blocks and inline code hold no links; images and external targets are none; nulls have none.
+    """
+    code = F.regexp_extract_all("text", F.lit(CODE), F.lit(0))
+    masked = F.when(F.contains("text", F.lit("`")), F.aggregate(code, F.col("text"), lambda t, c: F.replace(t, c, F.repeat(F.lit(" "), F.length(c))))).otherwise(F.col("text"))
+    rows = lines_with_links(texts).withColumn("masked", masked)
+    kind = lambda pattern, name: F.transform(_found(F.col("masked"), F.col("text"), pattern), lambda x: F.struct(F.lit(name).alias("syntax"), x["column"].alias("column"), x["seen"].alias("seen"), x["raw"].alias("raw")))
+    each = rows.select("source_id", "source_md", "line", "source_heading", "excerpt", F.explode(F.concat(kind(WIKILINK, "wikilink"), kind(MARKDOWN_LINK, "markdown"))).alias("x")).select("*", "x.*")
+    wiki = F.col("syntax") == "wikilink"
+    inner = F.regexp_extract("seen", WIKILINK, 1)
+    left = F.split_part(inner, F.lit("|"), F.lit(1))
+    href = F.regexp_extract("seen", MARKDOWN_LINK, 2)
+    whole = F.when(wiki, left).otherwise(href)
+    after = lambda c, sign: F.when(F.instr(c, sign) > 0, F.substring(c, F.instr(c, sign) + 1, F.length(c)))
+    target = F.split_part(whole, F.lit("#"), F.lit(1))
+    out = each.select(
+        "source_id", "source_md", "raw",
+        F.when(wiki, _strip(target)).otherwise(target).alias("target"),
+        F.when(wiki, _or_null(after(inner, "|"))).otherwise(_strip(F.regexp_extract("seen", MARKDOWN_LINK, 1))).alias("alias"),
+        F.when(wiki, _or_null(after(left, "#"))).otherwise(F.nullif(after(href, "#"), F.lit(""))).alias("anchor"),
+        F.col("line").cast("int").alias("line"), F.col("column").cast("int").alias("column"), "syntax", "source_heading", "excerpt",
+    ).where(F.col("target") != "")
+    return out.where((F.col("syntax") == "wikilink") | ~F.col("target").rlike(EXTERNAL))
 
 
 def path_target(target: Column) -> Column:
@@ -93,16 +114,19 @@ def resolve(links: DataFrame, catalog: DataFrame, headings: DataFrame | None = N
     by_name = by_type.groupBy("key").agg(F.sum("tn").alias("an"), F.min("tid").alias("aid"), F.map_from_entries(F.collect_list(F.struct("doc_type", F.struct("tn", "tid")))).alias("per"))  # few types
     ids = catalog.select(F.col("doc_id").alias("path"), F.lit(True).alias("is_id")).distinct()
     types = catalog.select(F.col("doc_id").alias("source_id"), F.col("doc_type").alias("source_type")).distinct()
-    rows = links.withColumn("path", path_target(F.col("target"))).withColumn("key", lookup_key(F.col("path")))
-    rows = skew_join(rows, types, "source_id", "raw", "left")
-    met = skew_join(skew_join(rows, ids, "path", "source_id", "left"), by_name, "key", "source_id", "left")
+    rows = cut(links.withColumn("path", path_target(F.col("target"))).withColumn("key", lookup_key(F.col("path"))))  # texts are parsed once; hot keys come from here
+    hot = {c: hot_keys(rows, c) for c in ("source_id", "path", "key")}
+    rows = skew_join(rows, types, "source_id", "raw", "left", hot=hot["source_id"])
+    met = skew_join(skew_join(rows, ids, "path", "source_id", "left", hot=hot["path"]), by_name, "key", "source_id", "left", hot=hot["key"])
     own = F.col("per")[F.col("source_type")]
     target = F.when(F.col("is_id"), F.col("path")).when(own["tn"] == 1, own["tid"]).when(F.col("an") == 1, F.col("aid"))
     out = met.withColumn("target_id", target).withColumn("candidates", F.when(F.col("target_id").isNotNull(), F.lit(1).cast("bigint")).otherwise(F.coalesce("an", F.lit(0).cast("bigint")))).withColumn("status", F.when(F.col("target_id").isNotNull(), "resolved").when(F.col("candidates") > 0, "ambiguous").otherwise("broken")).withColumn("relation", F.lit("explicit")).drop("is_id", "an", "aid", "per", "source_type", "key", "path")
     if headings is None:
         return out.withColumn("target_node_id", F.lit(None).cast("string"))
-    h = headings.select(F.col("doc_id").alias("target_id"), F.col("key").alias("__a"), F.col("node_id").alias("target_node_id"))
-    return out.withColumn("__a", lookup_key(F.col("anchor"))).join(h, ["target_id", "__a"], "left").drop("__a")
+    # only links with an anchor and a target meet headings; all others have no node
+    out = cut(out.withColumn("__a", F.when(F.col("target_id").isNotNull(), lookup_key(F.col("anchor")))).withColumn("__at", F.when(F.col("__a").isNotNull(), F.concat_ws("\n", "target_id", "__a"))))
+    h = headings.select(F.concat_ws("\n", "doc_id", "key").alias("__at"), F.col("node_id").alias("target_node_id"))
+    return skew_join(out, h, "__at", "raw", "left").drop("__a", "__at")
 
 
 def heading_map(chunks: DataFrame) -> DataFrame:
