@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import at_most, cut
+from . import table_diff
 from .index import by_token, document_totals, postings, seek, token_stats
 from .numbering import multiset_hash
 from .skew import skew_join
@@ -169,3 +170,34 @@ def violations(posts: DataFrame, chunks: DataFrame) -> DataFrame:
         part = df.select(F.lit(name).alias("rule"), "n")
         out = part if out is None else out.unionByName(part)
     return out.where("n > 0")
+
+
+def recomputed(posts: DataFrame, chunks: DataFrame, stats: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(rule, n): what differs from postings and statistics made anew from the chunks; a sound index has no row.
+
+    documents (doc_key): only these are made anew (their postings; statistics need all). Differences are located by checksums, so a
+    sound index is compared without joining its postings.
+    """
+    tf = ["title_tf", "breadcrumb_tf", "body_tf", "len_title", "len_breadcrumb", "len_body"]
+    if documents is not None:
+        posts, chunks = (t.join(documents, "doc_key", "left_semi") for t in (posts, chunks))
+    anew = cut(postings(chunks))
+    wrong = [("posting", table_diff.diff(anew.select("token", "chunk_id", *tf), posts.select("token", "chunk_id", *tf), ["token", "chunk_id"], tf))]
+    if documents is None:
+        wrong.append(("statistics", table_diff.diff(token_stats(anew).select("token", *COUNTS), stats.select("token", *COUNTS), ["token"], COUNTS)))
+    out = None
+    for name, df in wrong:
+        part = df.groupBy(F.concat_ws(" ", F.lit(name), F.when(F.col("issue") == "missing_in_right", "missing").when(F.col("issue") == "missing_in_left", "in excess").otherwise("changed")).alias("rule")).agg(F.count_distinct(F.struct("token", *(["chunk_id"] if name == "posting" else []))).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def validate(posts: DataFrame, chunks: DataFrame, stats: DataFrame, mode: str = "normal", share: float = 0.05, seed: int = 7) -> DataFrame:
+    """(rule, n): what is wrong with an index. normal: its invariants; sampled: also the postings of a random share of documents made anew; deep: all postings and statistics made anew."""
+    if mode not in ("normal", "sampled", "deep"):
+        raise ValueError("mode is normal, sampled or deep")
+    found = violations(posts, chunks)
+    if mode == "normal":
+        return found
+    some = cut(chunks.select("doc_key").distinct().sample(share, seed)) if mode == "sampled" else None
+    return found.unionByName(recomputed(posts, chunks, stats, some))

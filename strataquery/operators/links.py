@@ -183,12 +183,44 @@ def diagnostics(edges: DataFrame) -> DataFrame:
     return edges.where("relation = 'explicit'").groupBy("status", "syntax").agg(F.count("*").alias("n"))
 
 
-def export_text(texts: DataFrame, edges: DataFrame, catalog: DataFrame, scheme: str = "doc") -> DataFrame:
-    """(source_id, source_md, text): resolved wikilinks as `[label](scheme://id#anchor "id")`, others as they were."""
+def wikilinks(texts: DataFrame) -> DataFrame:
+    """(source_id, source_md, raw, target, alias, anchor) of the distinct wikilinks of texts, those in code among them; what an export turns into links."""
+    each = texts.select("source_id", "source_md", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WIKILINK), F.lit(0)))).alias("raw"))
+    inner = F.regexp_extract("raw", WIKILINK, 1)
+    left = F.split_part(inner, F.lit("|"), F.lit(1))
+    after = lambda c, sign: _or_null(F.when(F.instr(c, sign) > 0, F.substring(c, F.instr(c, sign) + 1, F.length(c))))
+    return each.select("source_id", "source_md", "raw", _strip(F.split_part(left, F.lit("#"), F.lit(1))).alias("target"), after(inner, "|").alias("alias"), after(left, "#").alias("anchor")).where("target <> ''")
+
+
+def export_text(texts: DataFrame, links: DataFrame, catalog: DataFrame, scheme: str = "doc") -> DataFrame:
+    """(source_id, source_md, text): resolved wikilinks as `[label](scheme://id#anchor "id")`, others, and embedded images, as they were. links: resolved `wikilinks`."""
     title = catalog.select(F.col("doc_id").alias("target_id"), "title")
-    done = skew_join(edges.where("status = 'resolved' and syntax = 'wikilink'"), title, "target_id", "source_md")
+    done = skew_join(links.where("status = 'resolved'"), title, "target_id", "source_md")
     label = F.coalesce("alias", "title")
     new = F.concat(F.lit("["), label, F.lit(f"]({scheme}://"), F.col("target_id"), F.when(F.col("anchor").isNotNull(), F.concat(F.lit("#"), F.col("anchor"))).otherwise(F.lit("")), F.lit(' "'), F.col("target_id"), F.lit('")'))
-    swaps = done.groupBy("source_id", "source_md").agg(F.collect_set(F.struct("raw", new.alias("new"))).alias("swaps"))
+    swaps = done.groupBy("source_id", "source_md").agg(F.collect_set(F.struct("raw", new.alias("new"))).alias("swaps"))  # the links of one text
     j = texts.join(swaps, ["source_id", "source_md"], "left")
-    return j.select("source_id", "source_md", F.aggregate(F.sort_array(F.coalesce("swaps", F.array().cast("array<struct<raw:string,new:string>>"))), F.coalesce("text", F.lit("")), lambda t, x: F.replace(t, x["raw"], x["new"])).alias("text"))
+    literal = lambda c: F.concat(F.lit(r"(?<!!)\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    value = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    swap = lambda t, x: F.regexp_replace(t, literal(x["raw"]), value(x["new"]))
+    return j.select("source_id", "source_md", F.aggregate(F.sort_array(F.coalesce("swaps", F.array().cast("array<struct<raw:string,new:string>>"))), F.coalesce("text", F.lit("")), swap).alias("text"))
+
+
+def export_files(texts: DataFrame, catalog: DataFrame, root: str, scheme: str = "doc") -> DataFrame:
+    """Write a library as plain Markdown: a folder for each kind of document, its files in order of documents and places; an index; what didn't resolve.
+
+    texts: source_id, source_md, text, place (their order in a document). Each document opens with a comment that names it. Written in
+    range partitions, so a kind of any size is as many files as it needs. Returns the links that didn't resolve (source_id, source_md, raw, status, candidates).
+    """
+    links = cut(resolve(wikilinks(texts), catalog))
+    out = export_text(texts, links, catalog, scheme).join(texts.select("source_id", "source_md", "place"), ["source_id", "source_md"])
+    heads = texts.groupBy("source_id").agg(F.min(F.struct("place", "source_md")).alias("h")).select("source_id", "h.*", F.lit(True).alias("first"))
+    kinds = cut(skew_join(out.join(heads, ["source_id", "place", "source_md"], "left"), catalog.select(F.col("doc_id").alias("source_id"), "doc_type"), "source_id", "source_md"))
+    section = F.when(F.col("first"), F.concat(F.lit("<!-- id: "), F.col("source_id"), F.lit(" -->\n\n"), F.col("text"))).otherwise(F.col("text"))
+    rows = kinds.select("doc_type", "source_id", "place", "source_md", F.concat(section, F.lit("\n")).alias("value"))
+    rows.repartitionByRange("doc_type", "source_id", "place", "source_md").sortWithinPartitions("doc_type", "source_id", "place", "source_md").select(F.concat("doc_type", F.lit("s")).alias("kind"), "value").write.partitionBy("kind").text(root + "/content")
+    index = kinds.select(F.concat("doc_type", F.lit("s")).alias("kind")).distinct().select(F.concat(F.lit("- ["), "kind", F.lit("](content/kind="), "kind", F.lit(")")).alias("value"))
+    index.coalesce(1).sortWithinPartitions("value").write.text(root + "/index")  # a line a kind
+    failed = links.where("status <> 'resolved'").select("source_id", "source_md", "raw", "status", "candidates")
+    failed.write.json(root + "/diagnostics")
+    return failed

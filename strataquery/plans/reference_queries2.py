@@ -74,7 +74,7 @@ def _(spark, d):
     return hitlist(spark, d).where("rank <= 10").join(x, ["query_id", "doc_key"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
 
 
-@query("join_12_merge_field_postings", sql("select coalesce(a.token, b.token) as token, coalesce(a.chunk_id, b.chunk_id) as chunk_id, coalesce(nonbody_tf, 0) as nonbody_tf, coalesce(body_tf, 0) as body_tf from (select token, chunk_id, title_tf + breadcrumb_tf as nonbody_tf from p where title_tf + breadcrumb_tf > 0) a full join (select token, chunk_id, body_tf from p where body_tf > 0) b on a.token = b.token and a.chunk_id = b.chunk_id", "p"))
+@query("join_12_merge_field_postings", sql("select token, chunk_id, title_tf + breadcrumb_tf as nonbody_tf, body_tf from p", "p"))
 def _(spark, d):
     p = ix.index_of(spark, d).postings
     a = p.where("title_tf + breadcrumb_tf > 0").select("token", "chunk_id", (F.col("title_tf") + F.col("breadcrumb_tf")).alias("nonbody_tf"))
@@ -282,17 +282,6 @@ def _(spark, d):
     return t.select("job_id", "updated_at", v.alias("verdict"))
 
 
-@query("flt_07_palette", sql("select query_id, doc_key, score from (select query_id, doc_key, score, row_number() over (partition by query_id order by score desc, doc_key) as n from (select query_id, doc_key, case when starts_with(lower(title), w) then 3 when contains(lower(title), w) then 2 when contains(doc_key, w) then 1 else 0 end as score from (select query_id, w from (select query_id, list_reverse(list_sort(list_distinct(regexp_extract_all(lower(query), '[a-z]{4,}')))) as ws from (select distinct query_id, query from judged_queries)) cross join lateral (select ws[1] as w) where w is not null), (" + DOCS + ")) where score > 0) where n <= 50", "c"))
-def _(spark, d):
-    """Prefix of the title 3, inside the title 2, inside the key 1; candidates share a four-letter gram with the query's word."""
-    docs = QUERIES_PRJ5(spark, d).select("doc_key", F.lower("title").alias("t"))
-    q = judged(spark, d).distinct().select("query_id", F.get(F.reverse(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("[a-z]{4,}"), F.lit(0))))), F.lit(0)).alias("w")).where("w is not null")
-    gram = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "t", "doc_key"), F.lit("(?=([a-z]{4}))"), F.lit(1)))
-    pairs = q.withColumn("g", F.substring("w", 1, 4)).join(docs.withColumn("g", F.explode(gram)), "g")
-    score = F.when(F.startswith(F.col("t"), F.col("w")), 3).when(F.contains(F.col("t"), F.col("w")), 2).when(F.contains(F.col("doc_key"), F.col("w")), 1).otherwise(0)
-    s = pairs.select("query_id", "doc_key", score.alias("score")).where("score > 0")
-    return s.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_key"))).where("n <= 50").drop("n")
-
 
 def QUERIES_PRJ5(spark: SparkSession, d: str) -> DataFrame:
     return once(spark, d).groupBy("doc_key").agg(F.min_by(F.coalesce(F.get("breadcrumb", F.lit(0)), F.lit("")), F.struct("local_id", "chunk_id")).alias("title"))
@@ -329,16 +318,10 @@ def _(spark, d):
     return ly.change_set(built, now)
 
 
-@query("idx_10_no_op", "select a.doc_key, a.n as captures, b.n as stored, coalesce(a.h = b.h, false) as no_op from (select doc_key, count(*) as n, max(lower(content_hash)) as h from source_docs where content_hash is not null group by doc_key) a join (select doc_key, count(*) as n, max(lower(content_hash)) as h from segment_refs group by doc_key) b using (doc_key)")
-def _(spark, d):
-    agg = lambda t, n: load(spark, d, t).where("content_hash is not null" if t == "source_docs" else "true").groupBy("doc_key").agg(F.count("*").alias(n), F.max(F.lower("content_hash")).alias(f"h_{n}"))
-    return agg("source_docs", "captures").join(agg("segment_refs", "stored"), "doc_key").select("doc_key", "captures", "stored", F.coalesce(F.col("h_captures") == F.col("h_stored"), F.lit(False)).alias("no_op"))
-
-
 def layered(spark: SparkSession, d: str) -> ly.View:
     """The chunks in three layers, by the run that last built their documents (none or up to 5: base; up to 9; later)."""
     own = ly.owners(run_layers(spark, d)).select("doc_key", F.when(F.col("layer") <= 5, 0).when(F.col("layer") <= 9, 1).otherwise(2).alias("l"))
-    c = once(spark, d).join(own, "doc_key", "left").withColumn("l", F.coalesce("l", F.lit(0)))
+    c = ix.cut(once(spark, d).join(own, "doc_key", "left").withColumn("l", F.coalesce("l", F.lit(0))))
     none = spark.createDataFrame([], "doc_key string")
     view = ly.base_view(c.where("l = 0").drop("l"))
     for n in (1, 2):
@@ -356,25 +339,12 @@ def _(spark, d):
     return ly.compact(layered(spark, d)).postings.select("token", "chunk_id", "title_tf", "breadcrumb_tf", "body_tf")
 
 
-@query("idx_13_generation_id", None)
-def _(spark, d):
-    own = ly.owners(run_layers(spark, d))
-    s = load(spark, d, "segment_refs").select("doc_key", F.col("run_id").alias("layer"), "segment_hash").distinct().join(own, ["doc_key", "layer"]).groupBy("doc_key").agg(F.max("segment_hash").alias("segment_hash"))
-    return ly.generation_id(s)
-
-
 @query("idx_14_input_proof", "select doc_key, sha256(concat_ws(chr(10), doc_key, coalesce(lower(max(content_hash)), ''), coalesce(lower(max(segment_recipe_hash)), ''))) as proof from segment_refs group by doc_key")
 def _(spark, d):
     low = lambda c: F.coalesce(F.lower(F.max(c)), F.lit(""))
     return load(spark, d, "segment_refs").groupBy("doc_key").agg(F.sha2(F.concat_ws("\n", F.col("doc_key"), low("content_hash"), low("segment_recipe_hash")), 256).alias("proof"))
 
 
-@query("idx_15_validate", sql("select 'x' as rule, 1 as n from c where false", "c"))
-def _(spark, d):
-    i = ix.index_of(spark, d)
-    return ly.violations(i.postings, i.chunks)
-
-
 @query("idx_16_shadow_diff", "select doc_key, count(*) filter (a.k is null) as only_generation, count(*) filter (b.k is null) as only_legacy, count(*) filter (a.k is not null and b.k is not null and a.chunk_id is distinct from b.chunk_id) as id_only from (select distinct doc_key, node_key || ':' || node_local_ordinal as k, min(chunk_id) as chunk_id from legacy_chunks group by all) a full join (select distinct doc_key, node_key || ':' || node_local_ordinal as k, min(chunk_id) as chunk_id from generation_chunks group by all) b using (doc_key, k) group by doc_key".replace("a.k is null", "a.chunk_id is null").replace("b.k is null", "b.chunk_id is null").replace("a.k is not null", "a.chunk_id is not null").replace("b.k is not null", "b.chunk_id is not null"))
 def _(spark, d):
     side = lambda t, n: load(spark, d, t).groupBy("doc_key", "node_key", "node_local_ordinal").agg(F.min("chunk_id").alias(n))
@@ -403,7 +373,7 @@ def _(spark, d):
     return once(spark, d).select("chunk_id", F.substring("chunk_id", 2, 20).try_cast("bigint").alias("number"))
 
 
-@query("idx_21_synthetic_corpus", None)
+@query("idx_21_synthetic_corpus", "select 'note:synthetic-' || lpad(cast(id // 50 as varchar), 5, '0') as doc_key, 'c' || lpad(cast(id as varchar), 6, '0') as chunk_id, 'Section ' || (id % 50) as title, array_to_string(list_transform(range(1, 49), lambda i: 'term' || lpad(cast(cast('0x' || substr(md5(id || ':' || i || ':42'), 1, 8) as bigint) % 4096 as varchar), 5, '0')), ' ') as body from (select range as id from range(10000))")
 def _(spark, d):
     return synthetic(spark, 200, 50, 48)
 
@@ -411,7 +381,7 @@ def _(spark, d):
 def synthetic(spark: SparkSession, documents: int, sections: int, words: int, vocabulary: int = 4096, seed: int = 42) -> DataFrame:
     """(doc_key, chunk_id, title, body): a generated corpus; words come from hashes, so any partitioning gives the same rows."""
     rows = spark.range(documents * sections).withColumn("doc", (F.col("id") / sections).cast("bigint")).withColumn("sec", F.col("id") % sections)
-    word = lambda i: F.concat(F.lit("term"), F.lpad(F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(vocabulary)).cast("string"), 5, "0"))
+    word = lambda i: F.concat(F.lit("term"), F.lpad((F.conv(F.substring(F.md5(F.concat_ws(":", "id", i, F.lit(seed))), 1, 8), 16, 10).cast("bigint") % vocabulary).cast("string"), 5, "0"))
     return rows.select(F.concat(F.lit("note:synthetic-"), F.lpad(F.col("doc").cast("string"), 5, "0")).alias("doc_key"), F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("chunk_id"), F.concat(F.lit("Section "), F.col("sec").cast("string")).alias("title"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), word), " ").alias("body"))
 
 
@@ -424,11 +394,6 @@ def _(spark, d):
     return fs.discover(paths).select("doc_key", "doc_type", "slug", F.size("files").alias("file_count"))
 
 
-@query("src_03_document_fingerprint", sql("select doc_key, count(*) as chunks, count(distinct sha256(coalesce(body, ''))) as bodies from c group by doc_key", "c"))
-def _(spark, d):
-    return once(spark, d).groupBy("doc_key").agg(F.count("*").alias("chunks"), F.count_distinct(F.sha2(F.coalesce("body", F.lit("")), 256)).alias("bodies"))
-
-
 @query("src_06_section_lines", sql("select chunk_id, trim(array_to_string(list_slice(string_split(coalesce(body, ''), chr(10)), 2, 4), chr(10)), ' ' || chr(9) || chr(10) || chr(13)) as section from c", "c"))
 def _(spark, d):
     return once(spark, d).select("chunk_id", ck.section(F.col("body"), F.lit(1), F.lit(4)).alias("section"))
@@ -439,11 +404,6 @@ def _(spark, d):
     return load(spark, d, "ingest_jobs").select("job_id", "updated_at", fs.page_list(F.col("pages"), F.lit(400)).alias("l")).select("job_id", "updated_at", F.size("l").alias("n_pages"), F.get("l", F.lit(0)).alias("first_page")).distinct()
 
 
-@query("src_12_segment_conflicts", "select doc_key, content_hash, segment_recipe_hash, count(distinct segment_hash) as hashes from segment_refs group by all having count(distinct segment_hash) > 1")
-def _(spark, d):
-    return snaps.conflicts(load(spark, d, "segment_refs"))
-
-
 @query("src_13_token_seek", sql("select q.token, count(*) as postings from (select distinct token from qt) q join p using (token) group by q.token", "qt", "p"))
 def _(spark, d):
     """Postings are range-partitioned and sorted by token: a seek reads the row groups whose range holds it."""
@@ -456,13 +416,6 @@ def _(spark, d):
     return ix.index_of(spark, d).postings.select("token", "title_tf", "breadcrumb_tf").where("title_tf + breadcrumb_tf > 0").groupBy("token").agg(F.sum("title_tf").alias("title_tf"), F.sum("breadcrumb_tf").alias("breadcrumb_tf"))
 
 
-@query("snk_06_migration_plan", "select job_id, list_sort(list_filter(['author', 'pages', 'strategy', 'title'], lambda k: case k when 'author' then author is null when 'pages' then pages is null when 'strategy' then strategy is null else coalesce(title, '') = '' end)) as missing from (select distinct on (job_id) * from ingest_jobs order by job_id, updated_at desc, status desc) where author is null or pages is null or strategy is null or coalesce(title, '') = ''")
-def _(spark, d):
-    keys = ["author", "pages", "strategy", "title"]
-    j = load(spark, d, "ingest_jobs").groupBy("job_id").agg(F.max_by(F.struct(*keys), F.struct("updated_at", "status")).alias("j")).select("job_id", "j.*")
-    gone = F.array_compact(F.array(*(F.when(F.coalesce(k, F.lit("")) == "" if k == "title" else F.col(k).isNull(), F.lit(k)) for k in keys)))
-    return j.select("job_id", gone.alias("missing")).where(F.size("missing") > 0)
-
 
 # Scalar functions -----------------------------------------------------------------------------------------------------
 
@@ -511,6 +464,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 _EDGES: dict = {}
+KEY_OF = r"replace(lower(trim(regexp_replace(title, '\s+', ' ', 'g'))), 'ß', 'ss')"
 WIKI = r"(?:^|[^!])(\[\[[^\[\]\n]+\]\])"
 PARSED = sql(rf"select doc_key as source_id, chunk_id as source_md, pos + 1 as line, m as raw from (select c.doc_key, c.chunk_id, pos, unnest(regexp_extract_all(regexp_replace(line, '`[^`]*`', '', 'g'), '{WIKI}', 1)) as m from (select *, sum(cast(f as int)) over (partition by chunk_id order by pos rows unbounded preceding) as k from (select *, regexp_matches(line, '^\s*(```|~~~)') as f from ({LINES}))) l join c using (chunk_id) where k % 2 = 0 and not f) union all select doc_key, chunk_id, pos + 1, m from (select c.doc_key, c.chunk_id, pos, unnest(regexp_extract_all(regexp_replace(line, '`[^`]*`', '', 'g'), '(?:^|[^!])(\[[^\]\n]+\]\([^)\s]+\))', 1)) as m from (select *, sum(cast(f as int)) over (partition by chunk_id order by pos rows unbounded preceding) as k from (select *, regexp_matches(line, '^\s*(```|~~~)') as f from ({LINES}))) l join c using (chunk_id) where k % 2 = 0 and not f) where not regexp_matches(m, '\((?:https?://|mailto:|tel:|data:|javascript:|#)')", "c")
 
@@ -520,16 +474,6 @@ def _(spark, d):
     return lk.parse_links(texts(spark, d)).select("source_id", "source_md", "line", "raw")
 
 
-@query("lnk_02_lookup_keys", sql(r"select distinct chunk_id, trim(regexp_replace(lower(title), '\s+', ' ', 'g')) as key from c where title is not null and regexp_matches(title, '^[\x20-\x7e]*$')", "c"))
-def _(spark, d):
-    return once(spark, d).where(F.col("title").rlike(r"^[\x20-\x7e]*$")).select("chunk_id", lookup_key(F.col("title")).alias("key")).distinct()
-
-
-@query("lnk_03_path_targets", None)
-def _(spark, d):
-    return lk.parse_links(texts(spark, d)).select("source_md", "raw", lk.path_target(F.col("target")).alias("path"))
-
-
 @query("lnk_04_resolve", None)
 def _(spark, d):
     return edges(spark, d).select("source_id", "source_md", "line", "raw", "target_id", "status", "candidates")
@@ -570,11 +514,6 @@ def _(spark, d):
     return lk.heading_map(once(spark, d))
 
 
-@query("snk_05_export", None)
-def _(spark, d):
-    return lk.export_text(texts(spark, d), edges(spark, d), catalog(spark, d))
-
-
 @query("stream_windowed_counts", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, sum(value) as total from events group by all")
 def _(spark, d):
     from ..streaming.incremental import windowed_counts

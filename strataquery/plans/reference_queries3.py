@@ -18,31 +18,12 @@ from ..session import load, scratch
 from ..sources import files as fs
 from ..sources.snapshots import SnapshotStore, export_json
 from .reference_queries import hitlist, judged, met, once, query
-from .reference_queries2 import LINES, OWN, PARSED, catalog, edges, layered, run_layers, texts
+from .reference_queries2 import KEY_OF, LINES, OWN, PARSED, catalog, edges, layered, run_layers, texts
 from .sql_parts import first_seen, sql
 
 # Sources and sinks ----------------------------------------------------------------------------------------------------
 
 
-@query("src_02_file_fingerprint", "select distinct source_md, chunk_id, sha256(coalesce(body, '')) as sha from chunks where source_md is not null")
-def _(spark, d):
-    return load(spark, d, "chunks").where("source_md is not null").select("source_md", "chunk_id", F.sha2(F.coalesce("body", F.lit("")), 256).alias("sha")).distinct()
-
-
-@query("src_04_stable_snapshot", "select doc_key, count(distinct content_hash) as contents, arg_min(len(files), {'a': captured_at, 'n': len(files)}) = arg_max(len(files), {'a': captured_at, 'n': len(files)}) as stable from source_docs where content_hash is not null group by doc_key")
-def _(spark, d):
-    t = load(spark, d, "source_docs").where("content_hash is not null").withColumn("n", F.size("files"))
-    by = F.struct("captured_at", "n")
-    return t.groupBy("doc_key").agg(F.count_distinct("content_hash").alias("contents"), (F.min_by("n", by) == F.max_by("n", by)).alias("stable"))
-
-
-@query("src_05_snapshot_cache", "select s.doc_key, s.captured_at, bool_or(g.doc_key is not null) as cached from (select distinct doc_key, captured_at, lower(content_hash) as h from source_docs where content_hash is not null) s left join (select distinct doc_key, lower(content_hash) as h from segment_refs) g on s.doc_key = g.doc_key and s.h = g.h group by s.doc_key, s.captured_at")
-def _(spark, d):
-    s = load(spark, d, "source_docs").where("content_hash is not null").select("doc_key", "captured_at", F.lower("content_hash").alias("h")).distinct()
-    g = load(spark, d, "segment_refs").select("doc_key", F.lower("content_hash").alias("h")).distinct().withColumn("c", F.lit(True))
-    return s.join(g, ["doc_key", "h"], "left").groupBy("doc_key", "captured_at").agg(F.coalesce(F.max("c"), F.lit(False)).alias("cached"))
-
-
 @query("src_07_frontmatter", "select distinct job_id || '@' || strftime(updated_at, '%Y%m%d%H%M%S') as path, coalesce(title, '') as title, coalesce(strategy, '') as strategy, 5 as body_offset from ingest_jobs")
 def _(spark, d):
     """Job records written as Markdown heads and parsed again."""
@@ -132,16 +113,22 @@ def _(spark, d):
     return a.select("query_id", F.explode(F.filter(terms, lambda k: (F.instr(F.lower("norm"), k) > 0) | F.array_contains("tokens", k))).alias("term"))
 
 
-RESOLVED = sql(
-    rf"""select l.source_id, l.source_md, l.line, l.raw, case when i.doc_id is not null then l.path when t.n = 1 then t.least when a.n = 1 then a.least end as target_id,
+def resolved(parsed: str, columns: str, joins: str = "") -> str:
+    """SQL of resolved links over parsed ones (source_id, source_md, line, raw)."""
+    return _RESOLVED.replace("__PARSED__", parsed).replace("__COLUMNS__", columns).replace("__JOINS__", joins)
+
+
+_RESOLVED = sql(
+    rf"""select __COLUMNS__ l.source_id, l.source_md, l.line, l.raw, case when i.doc_id is not null then l.path when t.n = 1 then t.least when a.n = 1 then a.least end as target_id,
  case when i.doc_id is not null or t.n = 1 or a.n = 1 then 'resolved' when a.n > 0 then 'ambiguous' else 'broken' end as status,
  case when i.doc_id is not null or t.n = 1 or a.n = 1 then 1 else coalesce(a.n, 0) end as candidates
-from (select *, lower(trim(regexp_replace(path, '\s+', ' ', 'g'))) as key, split_part(source_id, ':', 1) as st from (select *, case when len(parts) >= 2 and parts[1] in ('books', 'papers', 'notes') and parts[2] <> '_index' then substr(parts[1], 1, length(parts[1]) - 1) || ':' || parts[2] else v end as path from (select *, list_filter(string_split(v, '/'), lambda p: p not in ('', '.', '..')) as parts from (select *, regexp_replace(regexp_replace(regexp_replace(trim(split_part(replace(tgt, '\', '/'), '?', 1)), '^content/', ''), '^/+', ''), '\.md$', '') as v from (select *, case when raw like '[[%' then trim(split_part(split_part(substr(raw, 3, length(raw) - 4), '|', 1), '#', 1)) else regexp_extract(raw, '\]\(([^)#\s]*)', 1) end as tgt from ({PARSED.replace('with ', 'with ', 1)})))))) l
-left join ids i on l.path = i.doc_id left join (select key, doc_type, count(*) as n, min(doc_id) as least from nm group by key, doc_type) t on t.key = l.key and t.doc_type = l.st left join (select key, count(*) as n, min(doc_id) as least from nm group by key) a on a.key = l.key""",
+from (select *, lower(trim(regexp_replace(path, '\s+', ' ', 'g'))) as key, split_part(source_id, ':', 1) as st from (select *, case when len(parts) >= 2 and parts[1] in ('books', 'papers', 'notes') and parts[2] <> '_index' then substr(parts[1], 1, length(parts[1]) - 1) || ':' || parts[2] else v end as path from (select *, list_filter(string_split(v, '/'), lambda p: p not in ('', '.', '..')) as parts from (select *, regexp_replace(regexp_replace(regexp_replace(trim(split_part(replace(tgt, '\', '/'), '?', 1)), '^content/', ''), '^/+', ''), '\.md$', '') as v from (select *, case when raw like '[[%' then trim(split_part(split_part(substr(raw, 3, length(raw) - 4), '|', 1), '#', 1)) else regexp_extract(raw, '\]\(([^)#\s]*)', 1) end as tgt from (__PARSED__)))))) l
+left join ids i on l.path = i.doc_id left join (select key, doc_type, count(*) as n, min(doc_id) as least from nm group by key, doc_type) t on t.key = l.key and t.doc_type = l.st left join (select key, count(*) as n, min(doc_id) as least from nm group by key) a on a.key = l.key __JOINS__""",
     "c",
 )
 _CAT = r"ids as (select distinct doc_key as doc_id, split_part(doc_key, ':', 1) as doc_type, substr(doc_key, instr(doc_key, ':') + 1) as slug from c), ttl as (select doc_key, arg_min(coalesce(breadcrumb[1], ''), {'l': local_id, 'c': chunk_id}) as title from c group by doc_key), nm as (select distinct lower(trim(regexp_replace(name, '\s+', ' ', 'g'))) as key, doc_type, doc_id from (select doc_id, doc_type, unnest([title, regexp_replace(slug, '-\d+$', ''), doc_type || ':' || regexp_replace(slug, '-\d+$', '')]) as name from ids join ttl on ids.doc_id = ttl.doc_key))"
-RESOLVED = RESOLVED.replace("\nselect l.source_id", f",\n{_CAT}\nselect l.source_id", 1)
+_RESOLVED = _RESOLVED.replace("\nselect __COLUMNS__", f",\n{_CAT}\nselect __COLUMNS__", 1)
+RESOLVED = resolved(PARSED, "")
 
 
 @query("join_08_link_catalog", RESOLVED)
@@ -149,11 +136,6 @@ def _(spark, d):
     return edges(spark, d).select("source_id", "source_md", "line", "raw", "target_id", "status", "candidates")
 
 
-@query("join_09_anchor_headings", None)
-def _(spark, d):
-    return edges(spark, d).where("anchor is not null").select("source_md", "line", "raw", "target_id", "target_node_id")
-
-
 BACK = f"select target_id as doc_id, source_id, count(*) as occurrences from ({RESOLVED}) where status = 'resolved' group by all"
 
 
@@ -211,19 +193,6 @@ def _(spark, d):
 # Retrieval --------------------------------------------------------------------------------------------------------------
 
 
-@query("ret_28_boundary_truncation", None)
-def _(spark, d):
-    return load(spark, d, "documents").select("doc_id", rt.truncated(F.col("text"), 400).alias("text"))
-
-
-@query("ret_30_df_consistency", sql("select token, 0 as found from st where false", "st"))
-def _(spark, d):
-    """Tokens whose visible postings are not as many as their effective document frequency: none in a sound index."""
-    i = ix.index_of(spark, d)
-    e = i.stats.select("token", ix.is_pruned(i.n).alias("h"), ix.effective_df(i.n).alias("df"))
-    per = i.postings.groupBy("token").agg(F.count("*").alias("any"), F.count_if(F.expr("title_tf + breadcrumb_tf > 0")).alias("nonbody"))
-    return per.join(e, "token").where(F.when(F.col("h"), F.col("nonbody")).otherwise(F.col("any")) != F.col("df")).select("token", F.lit(0).alias("found"))
-
 
 # Index ------------------------------------------------------------------------------------------------------------------
 
@@ -258,13 +227,6 @@ def _(spark, d):
 # Links --------------------------------------------------------------------------------------------------------------------
 
 
-@query("lnk_06_governance", "select distinct job_id || '@' || strftime(updated_at, '%Y%m%d%H%M%S') as path, case when status in ('draft', 'reviewed', 'archived') then null else 'status' end as problem from ingest_jobs")
-def _(spark, d):
-    j = load(spark, d, "ingest_jobs").distinct()
-    meta = j.select(F.concat("job_id", F.lit("@"), F.date_format("updated_at", "yyyyMMddHHmmss")).alias("path"), F.create_map(F.lit("status"), "status").alias("meta"))
-    return fs.governance(meta).select("path", "problem").distinct()
-
-
 @query("lnk_07_canonical_ids", r"select distinct doc_key, starts_with(doc_key, doc_type || ':') and not regexp_matches(doc_key, '\s') as canonical from source_docs where doc_key is not null")
 def _(spark, d):
     return load(spark, d, "source_docs").where("doc_key is not null").select("doc_key", (F.startswith("doc_key", F.concat("doc_type", F.lit(":"))) & ~F.col("doc_key").rlike(r"\s")).alias("canonical")).distinct()
@@ -334,7 +296,6 @@ STATUS = "select doc_type || ':' || slug as doc_id, arg_max(status, {'u': update
 NEAR = f"select doc_id, neighbor, case when bool_or(o) and bool_or(i) then 0 when bool_or(o) then 1 else 2 end as priority from (select source_id as doc_id, doc_id as neighbor, true as o, false as i from ({BACK}) union all select doc_id, source_id, false, true from ({BACK})) group by all"
 SHOWN = f"select doc_id, neighbor, priority, row_number() over (partition by doc_id order by priority, neighbor) as n from (select x.* from ({NEAR}) x left join ({STATUS}) s on x.neighbor = s.doc_id where coalesce(s.s, 'draft') <> 'failed') qualify n <= 40"
 LAST = f"select source_id, target_id, arg_max({{'line': line, 'raw': raw}}, {{'m': source_md, 'l': line, 'r': raw}}) as x from ({RESOLVED}) where status = 'resolved' group by all"
-KEY = r"replace(lower(trim(regexp_replace(title, '\s+', ' ', 'g'))), 'ß', 'ss')"
 
 SQL |= {
     "idx_09_change_set": _CORE["p5_found"][: _CORE["p5_found"].index("select n.doc_key, case when")] + "select coalesce(n.doc_key, b.doc_key) as doc_key, case when b.doc_key is null then 'added' when n.doc_key is null then 'deleted' when n.c is not distinct from b.c and n.r is not distinct from b.r then 'unchanged' else 'changed' end as change from (select * from now where rn = 1 and not del) n full join (select * from built where rn = 1) b on n.doc_key = b.doc_key",
@@ -344,6 +305,6 @@ SQL |= {
     "lnk_11_backlinks": f"select b.doc_id, source_id, occurrences, coalesce(s = 'failed', false) as archived from ({BACK}) b left join ({STATUS}) t on b.source_id = t.doc_id",
     "lnk_12_neighborhood": SHOWN,
     "lnk_12_shown_edges": f"select distinct n.doc_id, source_id, target_id, 'explicit' as relation, x.line as line, x.raw as raw from ({LAST}) e join ({SHOWN}) n on (e.source_id = n.doc_id and e.target_id = n.neighbor) or (e.target_id = n.doc_id and e.source_id = n.neighbor)",
-    "lnk_16_heading_map": sql(f"select doc_key as doc_id, {KEY} as key, arg_min(node_id, {{'l': local_id, 'c': chunk_id}}) as node_id from c where coalesce(trim(title), '') <> '' group by all", "c"),
+    "lnk_16_heading_map": sql(f"select doc_key as doc_id, {KEY_OF} as key, arg_min(node_id, {{'l': local_id, 'c': chunk_id}}) as node_id from c where coalesce(trim(title), '') <> '' group by all", "c"),
     "src_08_page_ranges": "select distinct job_id, updated_at, len(l) as n_pages, l[1] as first_page from (select job_id, updated_at, case when coalesce(pages, '') = '' then range(400) else list_sort(list_distinct(flatten(list_transform(string_split(pages, ','), lambda p: range(greatest(1, cast(split_part(p, '-', 1) as int)) - 1, least(400, cast(case when contains(p, '-') then split_part(p, '-', 2) else p end as int))))))) end as l from ingest_jobs)",
 }

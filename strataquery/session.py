@@ -33,10 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context._strataquery_shared
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, in the form that Spark and Arrow read alike."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def scratch(spark: SparkSession, name: str = "cut") -> str:
-    """A new folder under the shared one; it is deleted when the application ends."""
+    """A new folder under the shared one, as a URI; it is deleted when the application ends."""
     context, jvm = spark.sparkContext, spark._jvm
-    home = f"{shared_dir(spark)}/strataquery-{context.applicationId}"
+    home = f"{qualified(spark, shared_dir(spark))}/strataquery-{context.applicationId}"
     if getattr(context, "_strataquery_scratch", None) != home:
         path = jvm.org.apache.hadoop.fs.Path(home)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

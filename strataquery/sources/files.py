@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import multiset_hash
+from ..session import cut
 
 # Places of documents in a content tree.
 BOOK, PAPER, NOTE = r"/books/([^/_][^/]*)/([^/]+\.md)$", r"/papers/([^/_][^/]*)/(_index\.md)$", r"/notes/([^/_][^/]*)\.md$"
@@ -46,8 +47,8 @@ def list_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
     return listed.withColumn("path", F.concat(F.lit(prefix), F.col("path")))
 
 
-def read_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
-    """(path, length, modificationTime, content) of all files below root that end in suffix; tasks read a few files at a time."""
+def read_files(listed: DataFrame) -> DataFrame:
+    """(path, length, modificationTime, content) of listed files; tasks read a few files at a time."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as a
@@ -57,7 +58,73 @@ def read_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
                 part = pdf.iloc[i : i + 64]
                 yield part.assign(content=[_bytes(a, p) for p in part["path"]])
 
-    return list_tree(spark, root, suffix).repartition("path").mapInPandas(read, "path string, length bigint, modificationTime timestamp, content binary")
+    return listed.select("path", "length", "modificationTime").repartition("path").mapInPandas(read, "path string, length bigint, modificationTime timestamp, content binary")
+
+
+def read_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """read_files of all files below root that end in suffix."""
+    return read_files(list_tree(spark, root, suffix))
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Write (path, text) as UTF-8 files below root, path by path; returns how many. A file appears under its name when it is whole."""
+    base = root.rstrip("/")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as a
+
+        system, at = a.FileSystem.from_uri(base)
+        for pdf in batches:
+            for path, text in zip(pdf["path"], pdf["text"]):
+                full = f"{at}/{path}"
+                system.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{full}.part") as out:
+                    out.write((text or "").encode())
+                system.move(f"{full}.part", full)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return files.select("path", "text").mapInPandas(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def stable_records(spark: SparkSession, root: str, suffix: str = ".md", attempts: int = 3) -> DataFrame:
+    """(path, length, modificationTime, sha256, tries): a snapshot of a tree in which no file changed while it was read.
+
+    Each file is read once between two looks at its size and time, and read again if they differ; then the tree is listed once
+    more, and files that came, went or changed since are all read anew. A tree that doesn't come to rest in `attempts` is an error.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from hashlib import sha256
+
+        from pyarrow import fs as a
+
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                system, inner = a.FileSystem.from_uri(path)
+                look = lambda system=system, inner=inner: (lambda i: (i.size, i.mtime) if i.type == a.FileType.File else None)(system.get_file_info(inner))
+                for n in range(1, attempts + 1):
+                    before = look()
+                    if before is None:
+                        break
+                    digest = sha256(_bytes(a, path)).hexdigest()
+                    if look() == before:
+                        rows.append((path, before[0], before[1], digest, n))
+                        break
+            yield pd.DataFrame(rows, columns=["path", "length", "modificationTime", "sha256", "tries"]).astype({"tries": "int32", "length": "int64"})
+
+    schema = "path string, length bigint, modificationTime timestamp, sha256 string, tries int"
+    stat = ["path", "length", "modificationTime"]
+    todo, done = list_tree(spark, root, suffix), None
+    for _ in range(attempts):
+        fresh = cut(todo.select("path").repartition("path").mapInPandas(read, schema))
+        done = fresh if done is None else done.unionByName(fresh)
+        now = cut(list_tree(spark, root, suffix))
+        done = cut(done.join(now.select(*stat), stat, "left_semi"))
+        todo = now.join(done.select(*stat), stat, "left_anti")
+        if todo.isEmpty():
+            return done
+    raise RuntimeError(f"{root} did not come to rest in {attempts} attempts")
 
 
 def _bytes(a, path: str) -> bytes:
@@ -92,11 +159,11 @@ def document_fingerprints(documents: DataFrame, records: DataFrame) -> DataFrame
     return each.groupBy("doc_key").agg(multiset_hash(F.to_json(F.struct("path", "sha256"))).alias("content_hash"))
 
 
-def cached_records(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """file_records that hashes only files whose (path, length, modificationTime) the cache (with sha256) lacks."""
+def cached_records(listed: DataFrame, cache: DataFrame) -> DataFrame:
+    """(path, length, modificationTime, sha256, reused) of listed files: only those are read whose stat the cache (with sha256) lacks."""
     stat = ["path", "length", "modificationTime"]
-    known = files.select(*stat).join(cache.select(*stat, "sha256"), stat)
-    new = files.join(cache.select(*stat), stat, "left_anti").select(*stat, F.sha2("content", 256).alias("sha256"))
+    known = listed.select(*stat).join(cache.select(*stat, "sha256").distinct(), stat).withColumn("reused", F.lit(True))
+    new = read_files(listed.join(cache.select(*stat), stat, "left_anti")).select(*stat, F.sha2("content", 256).alias("sha256"), F.lit(False).alias("reused"))
     return known.unionByName(new)
 
 
@@ -166,6 +233,37 @@ def missing_governance(meta: DataFrame, required: tuple[str, ...] = ("id", "titl
     return meta.select("path", gone.alias("missing")).where(F.size("missing") > 0)
 
 
+def conflicting_ids(meta: DataFrame) -> DataFrame:
+    """(id, files): ids that more than one file claims, counted before the shuffle."""
+    return meta.where(F.element_at("meta", "id").isNotNull()).groupBy(F.element_at("meta", "id").alias("id")).agg(F.count("*").alias("files")).where("files > 1")
+
+
+def migrated(texts: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """(path, text, missing): every readable file with the keys its head lacks, each with its default (a column of path).
+
+    New lines go before the end of the head, or into a new head; nothing else changes. Files whose head can't be read, or that lack
+    nothing, give no row.
+    """
+    front = parse_frontmatter(texts).where("error is null").select("path", F.map_keys("meta").alias("keys"), "body_offset")
+    lines = F.array_compact(F.array(*(F.when(~F.array_contains("keys", k), F.struct(F.lit(k).alias("k"), F.concat(F.lit(f"{k}: "), v).alias("line"))) for k, v in defaults.items())))
+    todo = texts.select("path", "text").join(front.withColumn("new", lines).where(F.size("new") > 0), "path")
+    added = F.array_join(F.transform("new", lambda x: x["line"]), "\n")
+    parts = F.split("text", "\n")
+    last = F.col("body_offset") - 1  # the line that ends the head, if there is one
+    inside = F.concat_ws("\n", F.slice(parts, 1, last), F.array(added), F.slice(parts, F.col("body_offset"), F.size(parts)))
+    text = F.when(F.col("body_offset") > 0, inside).otherwise(F.concat(F.lit("---\n"), added, F.lit("\n---\n"), F.coalesce("text", F.lit(""))))
+    return todo.select("path", text.alias("text"), F.transform("new", lambda x: x["k"]).alias("missing"))
+
+
+def migrate(spark: SparkSession, root: str, backup: str, defaults: dict[str, Column], suffix: str = ".md") -> DataFrame:
+    """Write `migrated` of a tree over it, after the files it changes are copied below `backup`; returns (path, missing), paths below root."""
+    files = read_tree(spark, root, suffix).select(F.substring("path", len(root.rstrip("/")) + 2, 1 << 20).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    todo = cut(migrated(files, defaults))
+    write_tree(files.join(todo.select("path"), "path", "left_semi"), backup)
+    write_tree(todo, root)
+    return todo.select("path", "missing")
+
+
 def page_list(pages: Column, total: Column) -> Column:
     """0-based pages of a list like '1-3,7', cut to the document; null or empty: all pages."""
     every = F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>"))

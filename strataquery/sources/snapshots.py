@@ -7,6 +7,9 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import cut
 
 
 class SnapshotStore:
@@ -97,10 +100,49 @@ class SnapshotStore:
         return self.spark.read.parquet(f"{self.root}/snapshots/{pin}/{name}")
 
 
+class SegmentStore:
+    """Content-addressed segments under one root, reused by (doc_key, content_hash, segment_recipe_hash)."""
+
+    KEY = ["doc_key", "content_hash", "segment_recipe_hash"]
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, f"{root.rstrip('/')}/segments"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._empty = lambda: not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    def get(self, keys: DataFrame) -> DataFrame:
+        """The stored segments of reuse keys (KEY); keys compare null-safe."""
+        if self._empty():
+            return self.spark.createDataFrame([], "doc_key string, content_hash string, segment_recipe_hash string, segment_hash string, payload string")
+        return _by_key(self.spark.read.parquet(self.root).drop("prefix"), keys.select(*self.KEY).distinct(), "left_semi")
+
+    def put(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Store (KEY, payload) that the store lacks; returns (rows told reused or written, conflicts).
+
+        The segment hash is that of the payload. A reuse key with another payload, in the store or among the rows, is a conflict: none of
+        its rows is written. Folders are named by the first digits of the hash.
+        """
+        new = cut(rows.select(*self.KEY, "payload").distinct().withColumn("segment_hash", F.sha2("payload", 256)))
+        old = cut(self.get(new))
+        bad = cut(conflicts(new.select(*self.KEY, "segment_hash").unionByName(old.select(*self.KEY, "segment_hash"))))
+        good = _by_key(new, bad, "left_anti")
+        told = cut(_by_key(good, old.select(*self.KEY).distinct().withColumn("reused", F.lit(True)), "left").withColumn("reused", F.coalesce("reused", F.lit(False))))
+        fresh = told.where("not reused").drop("reused").withColumn("prefix", F.substring("segment_hash", 1, 2))
+        fresh.repartition("prefix", "segment_hash").write.mode("append").partitionBy("prefix").parquet(self.root)
+        return told.drop("payload"), bad
+
+
+def _by_key(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """A null-safe join on the reuse key."""
+    right = other.withColumnsRenamed({k: f"__{k}" for k in SegmentStore.KEY})
+    on = F.lit(True)
+    for k in SegmentStore.KEY:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(right, on, how).drop(*(f"__{k}" for k in SegmentStore.KEY))
+
+
 def conflicts(segments: DataFrame) -> DataFrame:
     """(doc_key, content_hash, segment_recipe_hash, hashes): reuse keys that name more than one segment."""
-    from pyspark.sql import functions as F
-
     return segments.groupBy("doc_key", "content_hash", "segment_recipe_hash").agg(F.count_distinct("segment_hash").alias("hashes")).where("hashes > 1")
 
 
