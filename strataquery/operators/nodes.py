@@ -93,14 +93,15 @@ def legacy_route(queries: DataFrame, documents: DataFrame, most: int = 5) -> Dat
     """(query_id, doc_key, route_score) by document titles: shared tokens + 2 for a CJK run + 2 for a word in the title + 1 for the query in the description.
 
     documents: doc_key, title, description. Queries meet titles through shared tokens, words and CJK pairs (an equi-join); the substring
-    conditions are checked on those pairs. A word inside a longer word of the title is found by the trigrams both share.
+    conditions are checked on those pairs. A word inside a longer word of the title is found by the letters it starts with.
     """
-    grams = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("(?=([a-z0-9]{2}|[一-鿿]))"), F.lit(1)))
+    grams = lambda t: F.array_distinct(F.concat(*(F.regexp_extract_all(t, F.lit(f"(?=({g}))"), F.lit(1)) for g in ("[a-z0-9]{2}", "[a-z0-9]{3}", "[a-z0-9]{4}", "[一-鿿]", "[一-鿿]{2}"))))
+    head = lambda w: F.substring(w, F.lit(1), F.when(w.rlike("^[一-鿿]"), 2).otherwise(4))
     q = queries.select("query_id", F.lower("query").alias("raw"), tokenize_unique(F.col("query")).alias("ts")).distinct()
     q = q.withColumn("cjk", F.regexp_extract_all("raw", F.lit("[一-鿿]+"), F.lit(0))).withColumn("en", F.regexp_extract_all("raw", F.lit("[a-z][a-z0-9]+"), F.lit(0)))
     d = documents.select("doc_key", F.lower(F.coalesce("title", F.lit(""))).alias("tt"), F.lower(F.coalesce("description", F.lit(""))).alias("dd"), tokenize_unique(F.col("title")).alias("dts"))
-    # Only pairs that share a two-character gram of a query word (or a CJK character) can score.
-    heads = F.array_distinct(F.concat(F.transform("en", lambda w: F.substring(w, 1, 2)), F.transform("cjk", lambda w: F.substring(w, 1, 1)), F.transform("ts", lambda w: F.substring(w, 1, F.when(w.rlike("^[一-鿿]"), 1).otherwise(2)))))
+    # Only pairs that share the first letters (four, of Chinese two, or the whole word) of a query's word can score.
+    heads = F.array_distinct(F.concat(F.transform("en", head), F.transform("cjk", head), F.transform("ts", head)))
     pairs = q.select("query_id", F.explode(heads).alias("g")).join(d.select("doc_key", F.explode(grams(F.concat_ws(" ", "tt", "dd"))).alias("g")), "g").select("query_id", "doc_key").distinct()
     rows = pairs.join(q, "query_id").join(d, "doc_key")
     score = F.size(F.array_intersect("ts", "dts")) + F.when(F.exists("cjk", lambda s: F.contains(F.col("tt"), s)), 2).otherwise(0) + F.when(F.exists("en", lambda s: F.contains(F.col("tt"), s)), 2).otherwise(0) + F.when(F.contains(F.col("dd"), F.col("raw")), 1).otherwise(0)

@@ -17,7 +17,7 @@ from ..operators import nodes as nds
 from ..operators import retrieval as rt
 from ..operators.numbering import numbered
 from ..operators.skew import skew_join
-from ..session import load
+from ..session import load, small
 from ..sources import files as fs
 from ..sources import snapshots as snaps
 from .reference_queries import NET, hitlist, judged, met, net_rows, once, query
@@ -38,7 +38,7 @@ def _(spark, d):
 
 @query("join_03_late_materialization", sql("select h.query_id, h.rank, h.chunk_id, title, body from hitlist h join c using (chunk_id)", "hitlist", "c"))
 def _(spark, d):
-    return hitlist(spark, d).select("query_id", "rank", "chunk_id").join(once(spark, d).select("chunk_id", "title", "body"), "chunk_id")
+    return rt.payload(hitlist(spark, d).select("query_id", "rank", "chunk_id"), ix.index_of(spark, d), "title", "body")
 
 
 @query("join_05_change_set", "select coalesce(a.doc_key, b.doc_key) as doc_key, case when a.doc_key is null then 'added' when b.doc_key is null then 'deleted' when a.h = b.h then 'unchanged' else 'changed' end as change from (select doc_key, sum(hash_part) as h from (select distinct doc_key, node_key, node_local_ordinal, legacy_body_sha256, cast('0x' || substr(coalesce(legacy_body_sha256, '0'), 1, 12) as bigint) as hash_part from legacy_chunks) group by doc_key) a full join (select doc_key, sum(hash_part) as h from (select distinct doc_key, node_key, node_local_ordinal, generation_body_sha256, cast('0x' || substr(coalesce(generation_body_sha256, '0'), 1, 12) as bigint) as hash_part from generation_chunks) group by doc_key) b on a.doc_key = b.doc_key")
@@ -230,7 +230,7 @@ def _(spark, d):
 
 @query("prj_04_result_projection", sql("select query_id, rank, chunk_id, coalesce(array_to_string(breadcrumb, ' > '), '') as breadcrumb, body as text from hitlist join c using (chunk_id)", "hitlist", "c"))
 def _(spark, d):
-    return hitlist(spark, d).select("query_id", "rank", "chunk_id").join(once(spark, d), "chunk_id").select("query_id", "rank", "chunk_id", F.coalesce(F.concat_ws(" > ", "breadcrumb"), F.lit("")).alias("breadcrumb"), F.col("body").alias("text"))
+    return rt.payload(hitlist(spark, d).select("query_id", "rank", "chunk_id"), ix.index_of(spark, d), F.coalesce(F.concat_ws(" > ", "breadcrumb"), F.lit("")).alias("breadcrumb"), F.col("body").alias("text"))
 
 
 DOCS = "select doc_key, split_part(doc_key, ':', 1) as doc_type, arg_min(coalesce(breadcrumb[1], ''), {'l': local_id, 'c': chunk_id}) as title, count(*) as chunks from c group by doc_key"
@@ -406,9 +406,9 @@ def _(spark, d):
 
 @query("src_13_token_seek", sql("select q.token, count(*) as postings from (select distinct token from qt) q join p using (token) group by q.token", "qt", "p"))
 def _(spark, d):
-    """Postings are range-partitioned and sorted by token: a seek reads the row groups whose range holds it."""
-    q = rt.query_tokens(judged(spark, d)).select("token").distinct()
-    return ix.index_of(spark, d).postings.select("token").join(q, "token", "left_semi").groupBy("token").agg(F.count("*").alias("postings"))
+    """Postings are sorted by token: few tokens are sought page by page, more of them are sent to the postings; either way only tokens are read."""
+    q = ix.cut(rt.query_tokens(judged(spark, d)).select("token").distinct())
+    return ix.seek(ix.index_of(spark, d).postings, "token", q).select("token").join(small(q, rt.BATCH), "token", "left_semi").groupBy("token").agg(F.count("*").alias("postings"))
 
 
 @query("src_14_nonbody_scan", sql("select token, sum(title_tf) as title_tf, sum(breadcrumb_tf) as breadcrumb_tf from p where title_tf + breadcrumb_tf > 0 group by token", "p"))

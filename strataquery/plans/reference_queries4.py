@@ -302,3 +302,71 @@ _PREFIX = "array_to_string(list_slice({x}, 1, list_max(list_append(list_filter(r
 @query("ret_28_boundary_truncation", f"select doc_id, case when length(t) <= 400 then t when {_PREFIX.format(x='ps', gap='chr(10)')} <> '' then {_PREFIX.format(x='ps', gap='chr(10)')} when {_PREFIX.format(x='ss', gap=chr(39) * 2)} <> '' then {_PREFIX.format(x='ss', gap=chr(39) * 2)} else substr(t, 1, 400) end as text from (select doc_id, t, list_filter(regexp_split_to_array(t, '\\n+'), lambda p: trim(p) <> '') as ps, list_filter(regexp_extract_all(t, '[^。！？；!?]*[。！？；!?]|[^。！？；!?]+$'), lambda p: trim(p) <> '') as ss from (select doc_id, coalesce(text, '') as t from documents))")
 def _(spark, d):
     return load(spark, d, "documents").select("doc_id", rt.truncated(F.col("text"), 400).alias("text"))
+
+
+# The library as an object, streams, sorts ---------------------------------------------------------------------------------------
+
+_LIBRARIES: dict = {}
+
+
+def library(spark: SparkSession, d: str) -> Library:
+    """A library of all chunks, built once a session and state of the table."""
+    key = ix.stamp(spark, d, "chunks")
+    if key not in _LIBRARIES:
+        _LIBRARIES.clear()
+        _LIBRARIES[key] = Library(spark, scratch(spark, "library"))
+        _LIBRARIES[key].build(load(spark, d, "chunks"))
+    return _LIBRARIES[key]
+
+
+@query("api_search", sql("select query_id, rank, doc_key, chunk_id, title, coalesce(array_to_string(breadcrumb, ' > '), '') as breadcrumb, body as text, score from (select h.query_id, row_number() over (partition by h.query_id order by rank) as rank, h.doc_key, chunk_id, c.title, c.breadcrumb, c.body, h.score from hitlist h join c using (chunk_id) where rank <= 20)", "hitlist", "c"))
+def _(spark, d):
+    return library(spark, d).search(judged(spark, d), 20)
+
+
+@query("api_list_documents", sql(f"select doc_key, doc_type, substr(doc_key, instr(doc_key, ':') + 1) as slug, title, chunks from ({DOCS})", "c"))
+def _(spark, d):
+    return library(spark, d).list_documents()
+
+
+@query("api_read_document", sql("select chunk_id, doc_key, local_id, title, body from c where doc_key = (select min(doc_key) from c)", "c"))
+def _(spark, d):
+    lib = library(spark, d)
+    return lib.read_document(lib.list_documents().agg(F.min("doc_key")).first()[0]).select("chunk_id", "doc_key", "local_id", "title", "body")
+
+
+@query("src_15_json_stream", sql("select doc_key, count(*) as chunks, sum(length(coalesce(body, ''))) as characters from c group by doc_key", "c"))
+def _(spark, d):
+    """Chunks written as JSON lines and read again as a stream, a file a trigger at most a few at once; counted as they come."""
+    root = scratch(spark, "stream")
+    snaps.export_json(once(spark, d).select("doc_key", "body"), f"{root}/in")
+    rows = spark.readStream.schema("doc_key string, body string").option("maxFilesPerTrigger", 4).json(f"{root}/in")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.groupBy("doc_key").agg(F.count("*").alias("chunks"), F.sum(F.length(F.coalesce("body", F.lit("")))).alias("characters")).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("doc_key").agg(F.sum("chunks").alias("chunks"), F.sum("characters").alias("characters"))
+
+
+@query("stream_index_maintenance", sql("select * from st", "st"))
+def _(spark, d):
+    """Statistics kept by a stream to which every chunk comes twice, first with another body: the second takes the first back."""
+    from ..streaming import incremental as si
+
+    root = scratch(spark, "maintained")
+    rows = once(spark, d)
+    rows.withColumn("body", F.lit("an earlier body")).write.parquet(f"{root}/in")
+    si.maintain(spark, f"{root}/in", rows.schema, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    rows.write.mode("append").parquet(f"{root}/in")
+    si.maintain(spark, f"{root}/in", rows.schema, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return si.view_statistics(spark, f"{root}/out")
+
+
+@query("srt_02_external_sort", sql("select chunk_id, row_number() over (order by coalesce(title, ''), chunk_id) as position from c", "c"))
+def _(spark, d):
+    """All chunks in one order by title: range partitions, each sorted with spilling, and numbered without gathering."""
+    from ..operators.numbering import numbered
+
+    n = numbered(once(spark, d).select("chunk_id", F.coalesce("title", F.lit("")).alias("t")), [], ["t", "chunk_id"], "i")
+    return n.select("chunk_id", (F.col("i") + 1).alias("position"))

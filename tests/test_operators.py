@@ -254,6 +254,11 @@ def test_change_set_and_violations(spark):
     p = ix.postings(ix.distinct_chunks(c))
     assert ly.violations(p, c).count() == 0
     assert ly.violations(p.withColumn("title_tf", F.lit(9)), c).count() > 0
+    for mode in ("normal", "sampled", "deep"):
+        assert ly.validate(p, ix.distinct_chunks(c), ix.token_stats(p), mode, share=1.0).count() == 0
+    assert [tuple(r) for r in ly.validate(p.where("title_tf > 0"), ix.distinct_chunks(c), ix.token_stats(p), "sampled", share=1.0).collect()] == [("posting missing", p.count())]
+    with pytest.raises(ValueError):
+        ly.validate(p, c, p, "other")
     ids = spark.createDataFrame([("a", "1"), ("b", "2")], "doc_key string, segment_hash string")
     assert ly.generation_id(ids).first() == ly.generation_id(ids.orderBy(F.desc("doc_key"))).first() != ly.generation_id(ids.limit(1)).first()
 
@@ -284,8 +289,11 @@ def test_links(spark):
     near = lk.neighborhood(e, cat)
     assert {(r["doc_id"], r["neighbor"], r["priority"]) for r in near.collect()} == {("note:src", "note:ok", 1), ("note:ok", "note:src", 2), ("book:only", "note:src", 2)}
     assert lk.shown_edges(e, near).count() >= 2
-    out = {r["source_md"]: r["text"] for r in lk.export_text(texts, e, cat).collect()}
+    out = {r["source_md"]: r["text"] for r in lk.export_text(texts, lk.resolve(lk.wikilinks(texts), cat), cat).collect()}
     assert '[alias](doc://note:ok "note:ok")' in out["s.md"] and "[[missing]]" in out["s.md"] and out["t.md"] == ""
+    odd = spark.createDataFrame([("note:src", "o.md", r"`[[note:ok|a\E$1]]` ![[note:ok|a\E$1]] [[note:ok#Part|b]][[note:ok]]")], "source_id string, source_md string, text string")
+    text = lk.export_text(odd, lk.resolve(lk.wikilinks(odd), cat), cat).first()["text"]
+    assert text == r'`[a\E$1](doc://note:ok "note:ok")` ![[note:ok|a\E$1]] [b](doc://note:ok#Part "note:ok")[Ok](doc://note:ok "note:ok")'
     prov = lk.provenance(spark.createDataFrame([("note:a", ["note:b", "http://x"]), ("note:b", None)], "doc_id string, sources array<string>"))
     assert [tuple(r)[:2] for r in prov.collect()] == [("note:a", "note:b")]
     with pytest.raises(ValueError):
@@ -319,7 +327,8 @@ def test_sources(spark, tmp_path):
     rec = fs.file_records(tree)
     assert fs.document_fingerprints(docs, rec).count() == 4
     cache = tree.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
-    assert rows_of(fs.cached_records(tree, cache.limit(3)).select("path", "sha256")) == rows_of(cache.select("path", "sha256"))
+    cached = fs.cached_records(fs.list_tree(spark, (tmp_path / "content").as_uri()), cache.limit(3))
+    assert rows_of(cached.select("path", "sha256")) == rows_of(cache.select("path", "sha256")) and cached.where("reused").count() == 3
     front = fs.parse_frontmatter(tree.select("path", F.col("content").cast("string").alias("text")))
     by = {r["path"].rsplit("/", 1)[1]: r for r in front.collect()}
     assert by["n.md"]["meta"]["source"] == "note:x\x1fhttp://y" and by["n.md"]["body"] == "body" and by["bad.md"]["error"]
@@ -332,6 +341,50 @@ def test_sources(spark, tmp_path):
     assert safe == [True, False, False, False, False, False]
 
 
+def test_snapshot_of_a_changing_tree(spark, tmp_path, monkeypatch):
+    """A file that changes between two listings is read again; a tree that never rests is an error."""
+    root = tmp_path / "notes"
+    root.mkdir()
+    (root / "a.md").write_text("one")
+    (root / "b.md").write_text("two")
+    listing, calls = fs.list_tree, []
+
+    def disturbed(*args):
+        calls.append(1)
+        if len(calls) == 2 or endless:
+            (root / "a.md").write_text("changed" * len(calls))
+        return listing(*args)
+
+    endless = False
+    monkeypatch.setattr(fs, "list_tree", disturbed)
+    got = {r["path"][-4:]: r["sha256"] for r in fs.stable_records(spark, root.as_uri()).collect()}
+    assert got == {"a.md": hashlib.sha256(b"changedchanged").hexdigest(), "b.md": hashlib.sha256(b"two").hexdigest()} and len(calls) == 3
+    endless = True
+    with pytest.raises(RuntimeError):
+        fs.stable_records(spark, root.as_uri())
+
+
+def test_migration(spark, tmp_path):
+    texts = spark.createDataFrame([("a.md", "---\ntitle: T\n---\nbody\n---"), ("b.md", "plain"), ("c.md", "---\nbroken"), ("d.md", "---\nid: d\ntitle: D\n---\n"), ("e.md", None), ("f.md", "---\nid: d\n---\nx")], "path string, text string")
+    got = {r["path"]: (r["text"], r["missing"]) for r in fs.migrated(texts, {"id": F.col("path"), "title": F.lit("new")}).collect()}
+    assert got == {"a.md": ("---\ntitle: T\nid: a.md\n---\nbody\n---", ["id"]), "b.md": ("---\nid: b.md\ntitle: new\n---\nplain", ["id", "title"]), "e.md": ("---\nid: e.md\ntitle: new\n---\n", ["id", "title"]), "f.md": ("---\nid: d\ntitle: new\n---\nx", ["title"])}
+    assert [tuple(r) for r in fs.conflicting_ids(fs.parse_frontmatter(texts)).collect()] == [("d", 2)]
+
+
+def test_segment_store(spark, tmp_path):
+    from strataquery.sources.snapshots import SegmentStore
+
+    s = SegmentStore(spark, (tmp_path / "s").as_uri())
+    rows = lambda *x: spark.createDataFrame(x, "doc_key string, content_hash string, segment_recipe_hash string, payload string")
+    told, bad = s.put(rows(("a", "1", None, "x"), ("a", "1", None, "x"), ("b", "1", "r", "y"), ("b", "1", "r", "z")))
+    assert [(r["doc_key"], r["reused"]) for r in told.collect()] == [("a", False)] and [r["doc_key"] for r in bad.collect()] == ["b"]
+    told, bad = s.put(rows(("a", "1", None, "x"), ("c", "1", "r", "w")))
+    assert {(r["doc_key"], r["reused"]) for r in told.collect()} == {("a", True), ("c", False)} and bad.count() == 0
+    told, bad = s.put(rows(("a", "1", None, "other")))
+    assert told.count() == 0 and bad.count() == 1
+    assert {(r["doc_key"], r["payload"]) for r in s.get(rows(("a", "1", None, ""), ("zz", "1", "r", ""))).collect()} == {("a", "x")}
+
+
 def test_snapshots(spark, tmp_path):
     s = SnapshotStore(spark, (tmp_path / "store").as_uri())
     assert s.current() is None
@@ -360,6 +413,11 @@ def test_stream_maintains_statistics(spark, tmp_path):
     want = ix.token_stats(ix.postings(ix.distinct_chunks(first.unionByName(second))))
     assert rows_of(si.view_statistics(spark, out).select("token", "df_any", "df_body")) == rows_of(want.select("token", "df_any", "df_body"))
     assert si.signed_statistics(first, first).count() == 0
+    again = spark.createDataFrame([chunk("a", 0, "alpha", "delta")], CHUNK)  # the chunk comes again, changed
+    again.coalesce(1).write.mode("append").parquet(src)
+    si.maintain(spark, src, schema, out, cp).awaitTermination()
+    want = ix.token_stats(ix.postings(ix.distinct_chunks(again.unionByName(second))))
+    assert rows_of(si.view_statistics(spark, out).select("token", "df_any", "df_body")) == rows_of(want.select("token", "df_any", "df_body"))
 
 
 def test_numbered_is_row_number(spark):
