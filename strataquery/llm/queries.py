@@ -46,6 +46,11 @@ def p3_text_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(load(spark, d, "documents"), "doc_id", "text")
 
 
+def p3_text_marks(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    return terms.bounded(terms.term_frequencies(docs, "doc_id", "text"), docs.where("doc_id is not null").agg(F.count_distinct("doc_id").alias("n")))
+
+
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     fused = ranking.fused_scores(load(spark, d, "hits"))
     return fused.select("query_id", "hit_id", "chunk_id", F.round("fused", 6).alias("fused"))
@@ -81,6 +86,16 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return bins.groupBy("container", "capacity_tokens").agg(F.count("*").alias("bins"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count("*") * F.first("capacity_tokens"))).alias("fill"))
 
 
+def p8_holds(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: every text is in them, whole unless it is longer than one; none is over its capacity; little room is left."""
+    rows = p8_pack(spark, d)
+    bins = rows.groupBy("container", "capacity_tokens", "bin").agg(F.sum("n_tokens").alias("used"))
+    room = bins.groupBy("container", "capacity_tokens").agg((F.max("used") <= F.col("capacity_tokens")).alias("within"), (F.sum("used") >= 0.98 * F.count("*") * F.col("capacity_tokens")).alias("well_filled"))
+    once = rows.groupBy("container", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"), F.first("capacity_tokens").alias("c"))
+    texts = once.groupBy("container").agg(F.count("*").alias("documents"), F.bool_and(F.col("pieces") == F.ceil(F.col("n") / F.col("c"))).alias("whole"))
+    return room.join(texts, "container").select("container", "documents", "whole", "within", "well_filled")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return packing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))[0]
 
@@ -89,6 +104,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return packing.mix(load(spark, d, "documents"), load(spark, d, "mix_targets"))[1]
 
 
+def p9_holds(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixture: each source is within a thousandth of its share, and no text is used too often."""
+    goal = load(spark, d, "mix_targets").select(F.lower(F.trim("source")).alias("source"), "max_repeats")
+    s = p9_shares(spark, d).join(goal, "source")
+    return s.select("source", (F.abs(F.col("actual_share") - F.col("target_share")) < 0.001).alias("reached"), (F.col("max_copies") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.damaged(load(spark, d, "documents")).select("doc_id").distinct()
 
@@ -97,7 +119,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored(load(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_clean, p2_path_ratios, p3_found, p3_frequencies, p3_text_frequencies, p4_found, p4_ranking, p7_found, p7_scores, p8_found, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_clean, p2_path_ratios, p3_found, p3_frequencies, p3_text_frequencies, p3_text_marks, p4_found, p4_ranking, p7_found, p7_scores, p8_found, p8_pack, p8_fill, p8_holds, p9_mix, p9_shares, p9_holds, p10_found, p10_restored)}
 # SQL counterparts; where none is given, SQL can't express the operator and tests hold it against brute force.
 _NET = "select token, sum(coalesce(df_any, 0))::bigint as df_any, sum(coalesce(df_nonbody, 0))::bigint as df_nonbody, sum(coalesce(df_body, 0))::bigint as df_body from (select distinct layer_id, token, df_any, df_nonbody, df_body from token_df_deltas where token is not null) group by token"
 _SCORES = ranking.SCORES
@@ -130,6 +152,9 @@ SQL: dict[str, str] = {
     "p3_found": f"with f as ({_NET}), n as (select sum(total_chunks) as n from (select distinct * from corpus_totals)), r as (select distinct recipe_id, body_df_min, body_df_ratio, df_any_min from compiler_recipes) select recipe_id, token, 'rare' as mark from f, r where df_any > 0 and df_any < df_any_min union all select recipe_id, token, 'common' from f, r, n where df_body >= body_df_min and df_body >= body_df_ratio * n",
     "p3_frequencies": _NET,
     "p3_text_frequencies": f"select token, sum(tf)::bigint as occurrences, count(*) as records from (select doc_id, token, count(*) as tf from (select doc_id, unnest({_tokens('text')}) as token from (select doc_id, min(text) as text from documents where doc_id is not null group by doc_id)) group by all) group by token",
+    "p3_text_marks": f"with f as (select token, sum(tf)::bigint as occurrences, count(*) as records from (select doc_id, token, count(*) as tf from (select doc_id, unnest({_tokens('text')}) as token from (select doc_id, min(text) as text from documents where doc_id is not null group by doc_id)) group by all) group by token), n as (select count(distinct doc_id) as n from documents) select token, occurrences, records, case when records < 2 then 'rare' when records >= 0.1 * n then 'common' end as mark from f, n",
+    "p8_holds": "select container, count(*) as documents, true as whole, true as within, true as well_filled from (select distinct doc_id from documents where doc_id is not null and text <> ''), pack_sizes group by container",
+    "p9_holds": "select lower(trim(source)) as source, true as reached, true as within_repeats from mix_targets",
     "p4_ranking": f"select query_id, hit_id, chunk_id, round(fused, 6) as fused from ({_fused('hits')})",
     "p4_found": f"select query_id, arg_max(chunk_id, {{'f': fused, 'h': -hit_id}}) as chunk_id from ({_fused('(select * from hits where query_id in (select query_id from judged_queries))')}) group by query_id",
     "p7_scores": f"select hit_id, chunk_id, token, tf, df, round(score, 9) as score from ({_distinctive('hits')})",

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import hot_keys, skew_join
+from ..operators.skew import skew_join
+from ..session import at_most, cut
 
 SCORES = ("score", "rrf_score", "rerank_score")
 #: Bounds of standardised values, and what a missing score gets; it lies below any real one.
 LIMIT, MISSING = 12.0, 1e-7
 ACCURACY = 10_000
+#: Queries whose statistics are broadcast at most.
+QUERIES = 200_000
 
 
 def _median(x: Column) -> Column:
@@ -26,19 +29,23 @@ def fused_scores(hits: DataFrame, scores: tuple[str, ...] = SCORES, weights: tup
     average), squashed by the logistic function, and the bounded values are combined by their weighted geometric
     mean. Null and NaN count as missing and get a value below every real one, so a missing score never
     helps; infinite scores are squashed as the largest or least. Rows equal in all but arrival count once; rows
-    without query_id are left out. A query of any size is spread: statistics merge sketches, and rows of hot
-    queries are salted where they meet their statistics.
+    without query_id are left out. A query of any size is spread: statistics merge sketches, and rows stay where they are
+    when they meet them: statistics of up to QUERIES queries are broadcast, of more they are joined with hot queries salted.
     """
     w = weights or (1.0,) * len(scores)
     clean = [F.when(~F.isnan(s), F.col(s)).alias(s) for s in scores]
-    rows = hits.where(F.col("query_id").isNotNull()).select("query_id", "hit_id", "chunk_id", *clean).distinct()
-    hot = hot_keys(hits, "query_id")
+    rows = cut(hits.where(F.col("query_id").isNotNull()).select("query_id", "hit_id", "chunk_id", *clean).distinct())
+
+    def meet(stats: DataFrame) -> DataFrame:
+        few = cut(stats)
+        return rows.join(F.broadcast(few), "query_id") if at_most(few, QUERIES) else skew_join(rows, few, "query_id", "hit_id")
+
     finite = lambda s: F.when(F.abs(F.col(s)) < F.lit(float("inf")), F.col(s))
     centre = rows.groupBy("query_id").agg(F.struct(*(_median(finite(s)).alias(s) for s in scores)).alias("__mid"))
-    centred = skew_join(rows, centre, "query_id", "hit_id", hot=hot)
+    centred = meet(centre)
     away = lambda s: F.abs(finite(s) - F.col("__mid")[s])
     spread = centred.groupBy("query_id").agg(F.first("__mid").alias("__mid"), F.struct(*(F.when(_median(away(s)) > 0, _median(away(s)) * 1.4826).otherwise(F.avg(away(s)) * 1.2533).alias(s) for s in scores)).alias("__dev"))
-    both = skew_join(rows, spread, "query_id", "hit_id", hot=hot)
+    both = meet(spread)
 
     def log_bounded(s: str) -> Column:
         z = F.when(F.col("__dev")[s] > 0, (F.col(s) - F.col("__mid")[s]) / F.col("__dev")[s]).otherwise(F.lit(0.0))

@@ -14,8 +14,8 @@ def net_frequencies(deltas: DataFrame) -> DataFrame:
     """Collection-wide (token, df_any, df_nonbody, df_body): sums of signed changes over distinct rows.
 
     A duplicate (equal in all but ``arrived_at``) counts once. Null changes count as 0, rows without
-    a token are left out, tokens whose counts all cancel stay with zeros. Counting happens before the
-    shuffle (partial aggregation by hash), so a hot token costs one row a task.
+    a token are left out, tokens whose counts all cancel stay with zeros. Rows are placed by all their values to drop repeats, so
+    those of a hot token are spread; then each task sums by token before the sums are shuffled.
     """
     counts = ["df_any", "df_nonbody", "df_body"]
     distinct = deltas.where(F.col("token").isNotNull()).select("layer_id", "token", *counts).distinct()
@@ -56,6 +56,11 @@ def term_frequencies(records: DataFrame, key: str, text: str) -> DataFrame:
     return per_record.groupBy("token").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("records"))
 
 
+def bounded(frequencies: DataFrame, total: DataFrame, least: int = 2, ratio: float = 0.1) -> DataFrame:
+    """term_frequencies with `mark`: `rare` in fewer than `least` records, `common` in at least `ratio` of all (total: one row n), else null."""
+    return frequencies.join(F.broadcast(total)).withColumn("mark", F.when(F.col("records") < least, "rare").when(F.col("records") >= ratio * F.col("n"), "common")).drop("n")
+
+
 def chunk_terms(chunks: DataFrame) -> DataFrame:
     """(chunk_id, dl, tf map<token, count>): one row a chunk, from title, breadcrumb and body.
 

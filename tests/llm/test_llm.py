@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import itertools
 import math
 import random
@@ -79,6 +80,38 @@ def test_words_of_any_length_are_counted(spark, corpus):
     assert ("bad", "hyphenation") in noise(spark, corpus, *rows)
 
 
+def test_scan_round_trip(spark, corpus):
+    """Noise is put into clean texts; what comes out has nearly all of their words."""
+    rng = random.Random(11)
+    vocabulary = sorted({w for w in FILLER.replace(".", "").split() if w.islower() and len(w) > 3})
+    rows, clean = [], {}
+    for n in range(40):
+        words = [rng.choice(vocabulary) for _ in range(60)]
+        clean[f"n{n}"] = words
+        lines, line = [], []
+        for w in words:
+            bad = w
+            if rng.random() < 0.08 and "m" in w:
+                bad = w.replace("m", "rn", 1)
+            elif rng.random() < 0.08 and "s" in w[1:]:
+                bad = w[0] + w[1:].replace("s", "5", 1)
+            if rng.random() < 0.08 and len(bad) == len(w) > 6:
+                lines.append(" ".join([*line, w[:3] + "-"]))
+                line = [w[3:]]
+            else:
+                line.append(bad)
+            if len(line) > 9:
+                lines.append(" ".join(line))
+                line = []
+                if rng.random() < 0.2:
+                    lines += ["", f"WEAK FIELDS   {n + 10}", ""]
+        rows.append((f"n{n}", "T", ["Weak fields"], "\n".join([*lines, " ".join(line)])))
+    got = {r["chunk_id"]: r["body"].split() for r in scan.repaired(chunks(spark, corpus + rows)).where("chunk_id like 'n%'").collect()}
+    total = sum(map(len, clean.values()))
+    off = [(k, clean[k][a:b], got[k][c:e]) for k in clean for t, a, b, c, e in difflib.SequenceMatcher(None, clean[k], got[k], autojunk=False).get_opcodes() if t != "equal"]
+    assert sum(max(len(x), len(y)) for _, x, y in off) < 0.02 * total, off[:20]
+
+
 def test_scan_empty(spark):
     assert scan.found_noise(chunks(spark, [])).count() == 0 and scan.repaired(chunks(spark, [])).count() == 0
 
@@ -117,6 +150,25 @@ def test_markup_clean(spark):
     assert markup.found_markup(chunks(spark, [])).count() == 0 and markup.clean(chunks(spark, [])).count() == 0
 
 
+FORMS = {
+    "html": "<h2>{0}</h2>\n<p>{1} <b>{2}</b> &amp; so on.</p>\n<ul><li>{3}</li><li>{4}</li></ul>\n<pre>{5}</pre>",
+    "markdown": "## {0}\n\n{1} **{2}** & so on.\n\n- {3}\n- {4}\n\n```\n{5}\n```",
+    "wiki": "== {0} ==\n{1} '''{2}''' & so on.\n\n* {3}\n* {4}\n\n<pre>{5}</pre>",
+    "latex": "\\section{{{0}}}\n{1} \\textbf{{{2}}} \\& so on.\n\\begin{{itemize}}\n\\item {3}\n\\item {4}\n\\end{{itemize}}",
+}
+
+
+def test_four_markups_give_one_text(spark):
+    """The same content in each markup: words and structure come out alike."""
+    parts = ["Stable fields", "The first paragraph, which is long enough, holds", "strong words", "first entry", "second entry", "x = 1\ny = 2"]
+    rows = [(k, "T", [], f.format(*parts)) for k, f in FORMS.items()]
+    got = {r["chunk_id"]: r["body"] for r in markup.clean(chunks(spark, rows)).collect()}
+    for k, text in got.items():
+        lines = [x for x in (" ".join(y.split()) for y in text.split("\n")) if x]
+        want = ["# Stable fields", "The first paragraph, which is long enough, holds strong words & so on.", "- first entry", "- second entry", *([] if k == "latex" else ["```", "x = 1", "y = 2", "```"])]
+        assert [x.lstrip("#").strip() if x.startswith("##") else x.removeprefix("# ") if x.startswith("#") else x for x in lines] == [x.removeprefix("# ") for x in want], (k, text)
+
+
 PAGE = "<div><a href=a>Home</a> <a href=b>About us</a> <a href=c>Contact</a></div><div><p>The first paragraph has commas, several of them, and a <a href=x>linked word</a> in it; it is long enough, surely, to be read as text.</p><p>Another paragraph follows here, with more commas, and ends well.</p></div><div><small>Company {n}</small> <a href=d>Imprint</a> <a href=e>Privacy</a> <a href=f>Terms</a></div>"
 
 
