@@ -18,10 +18,6 @@ from .sources.snapshots import SnapshotStore
 _TOTALS = [("chunks", "total_chunks"), *((f"{f}_length", f"{f}_length_sum") for f in ix.FIELDS)]
 
 
-def seek_small(hashes: DataFrame, keys: DataFrame) -> DataFrame:
-    return ix.seek(hashes, "doc_key", keys).join(small(keys, ly.REPLACED), "doc_key", "left_semi")
-
-
 class Library:
     """An index under `root`. Every reader works on the snapshot it was opened with; `refresh` moves it to the published one.
 
@@ -65,12 +61,14 @@ class Library:
             self._publish_base(now, hashes)
             return "base"
         changes = ix.cut(ly.change_set(self.fingerprints(), hashes).where("change <> 'unchanged'"))
-        counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}  # three kinds
-        if not counts:
+        touched = changes.select("doc_key")
+        keys = ix.few_values(touched)
+        if keys == []:
             return "no_op"
         live, deleted = (changes.where(c).select("doc_key") for c in ("change <> 'deleted'", "change = 'deleted'"))
-        dirty = ix.cut(ix.distinct_chunks(ix.seek(chunks, "doc_key", live).join(small(live, ly.REPLACED), "doc_key", "left_semi")))
-        self._publish_delta(dirty, live, deleted, hashes)
+        near = F.broadcast(live) if keys else small(live, ly.REPLACED)
+        dirty, fresh = (ix.seek(t, "doc_key", keys).join(near, "doc_key", "left_semi") for t in (chunks, hashes))
+        self._publish_delta(ix.cut(ix.distinct_chunks(dirty)), touched, deleted, fresh)
         if compact and self.compaction_due():
             self.compact()
             return "compacted"
@@ -92,11 +90,11 @@ class Library:
         totals = self.store.segments("documents", [segment]).agg(F.count("*").alias("documents"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in _TOTALS)).first()
         self._publish([segment], [size], totals.asDict())
 
-    def _publish_delta(self, chunks: DataFrame, live: DataFrame, deleted: DataFrame, hashes: DataFrame) -> None:
+    def _publish_delta(self, chunks: DataFrame, touched: DataFrame, deleted: DataFrame, hashes: DataFrame) -> None:
         about, view = self.about(), self.view()
-        touched = ix.cut(live.unionByName(deleted).distinct())
-        before = view.owned(touched)[0].agg(F.count("*").alias("documents"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in _TOTALS)).first()
-        segment, size = self._write(ly.delta_of(view, chunks, deleted, about["next"], seek_small(hashes, live)))
+        documents, terms = view.owned(touched)
+        before = documents.agg(F.count("*").alias("documents"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in _TOTALS)).first()
+        segment, size = self._write(ly.delta_of(view, chunks, deleted, about["next"], hashes, terms))
         after = self.store.segments("documents", [segment]).where("not deleted").agg(F.count("*").alias("documents"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in _TOTALS)).first()
         self._publish([*about["segments"], segment], [*about["bytes"], size], {k: v + after[k] - before[k] for k, v in about["totals"].items()}, about["next"])
 

@@ -106,13 +106,19 @@ class Index:
 SOUGHT = 32
 
 
-def seek(df: DataFrame, column: str, values: DataFrame, most: int = SOUGHT) -> DataFrame:
-    """df's rows whose `column` is among `values` (one column) if those are few, else all of df.
+def few_values(values: DataFrame, most: int = SOUGHT) -> list | None:
+    """The distinct values of a table of one column if there are at most `most`, else None."""
+    few = [r[0] for r in values.where(values[0].isNotNull()).distinct().limit(most + 1).collect()]
+    return few if len(few) <= most else None
+
+
+def seek(df: DataFrame, column: str, values: DataFrame | list | None) -> DataFrame:
+    """df's rows whose `column` is among `values` (one column, or few_values of it) if those are few, else all of df.
 
     Equalities in a balanced tree reach the Parquet reader as they are; a long list of IN would become its least and greatest value.
     """
-    few = [r[0] for r in values.where(values[0].isNotNull()).distinct().limit(most + 1).collect()]
-    if len(few) > most:
+    few = few_values(values) if isinstance(values, DataFrame) else values
+    if few is None:
         return df
     tests = [F.col(column) == v for v in few] or [F.lit(False)]
     while len(tests) > 1:

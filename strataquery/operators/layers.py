@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import at_most, cut
 from . import table_diff
-from .index import by_token, document_totals, postings, seek, token_stats
+from .index import by_token, document_totals, few_values, postings, seek, token_stats
 from .numbering import multiset_hash
 from .skew import skew_join
 
@@ -107,10 +107,11 @@ class View:
 
     def owned(self, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(documents, terms) the view has of the touched documents (doc_key): only their buckets are read."""
-        docs = seek(self.documents, "doc_key", touched).join(touched, "doc_key", "left_semi")
+        keys = few_values(touched.select("doc_key"))
+        docs = seek(self.documents, "doc_key", keys).join(touched, "doc_key", "left_semi")
         mine = docs.join(owners(docs), ["doc_key", "layer"], "left_semi")
         buckets = [r[0] for r in touched.select(bucket_of(F.col("doc_key"))).distinct().collect()]  # at most BUCKETS
-        terms = seek(self.terms.where(F.col("bucket").isin(buckets)), "doc_key", touched)
+        terms = seek(self.terms.where(F.col("bucket").isin(buckets)), "doc_key", keys)
         return mine, terms.join(mine.select("doc_key", "layer"), ["doc_key", "layer"], "left_semi")
 
 
@@ -132,15 +133,16 @@ def base_view(chunks: DataFrame) -> View:
     return layer_of(chunks, 0)
 
 
-def delta_of(view: View, chunks: DataFrame, deleted: DataFrame, number: int, hashes: DataFrame | None = None) -> View:
+def delta_of(view: View, chunks: DataFrame, deleted: DataFrame, number: int, hashes: DataFrame | None = None, before: DataFrame | None = None) -> View:
     """The layer of new or changed documents (all their chunks) and deletions (doc_key) above a view.
 
     Only postings of the new chunks are made; what the touched documents had before is taken back by signed statistics, from
-    the terms kept by document. Neither chunks nor postings of the layers below are read.
+    the terms kept by document (`before`, if the caller has them). Neither chunks nor postings of the layers below are read.
     """
     new = layer_of(chunks, number, hashes)
-    touched = cut(chunks.select("doc_key").unionByName(deleted.select("doc_key")).distinct())
-    old = view.owned(touched)[1].select("token", *((-F.col(c)).alias(c) for c in COUNTS))
+    if before is None:
+        before = view.owned(cut(chunks.select("doc_key").unionByName(deleted.select("doc_key")).distinct()))[1]
+    old = before.select("token", *((-F.col(c)).alias(c) for c in COUNTS))
     signed = new.stats.select("token", *COUNTS).unionByName(old).groupBy("token").agg(*(F.sum(c).alias(c) for c in COUNTS)).where("df_any <> 0 or df_nonbody <> 0 or df_body <> 0").withColumn("layer", F.lit(number))
     gone = deleted.select("doc_key").distinct().select("doc_key", F.lit(True).alias("deleted"), F.lit(number).alias("layer"))
     return View(new.chunks, new.postings, new.documents.unionByName(gone, allowMissingColumns=True), signed, new.terms)

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import joined, round_half_up, tokenize, tokenize_unique
-from ..session import cut
-from .retrieval import NODE_BOOST, B, K1, expand
+from ..session import at_most, cut
+from .index import seek
+from .retrieval import BATCH, NODE_BOOST, B, K1, expand
 from .skew import hot_counts, skew_join
 
 # Fixed value: what separates the terms of a title.
@@ -70,12 +71,15 @@ def expanded_queries(queries: DataFrame) -> DataFrame:
 
 def node_scores(tokens: DataFrame, posts: DataFrame, lengths) -> DataFrame:
     """(query_id, doc_key, node_key, score): BM25F over four fields; tokens (query_id, token) may repeat. `lengths` is the row of node_lengths."""
+    posts = cut(posts)  # counted, then scored
     freq = cut(node_df(posts))
-    known = tokens.join(freq, "token")
+    tokens = cut(tokens)
+    known = cut(tokens.join(freq, "token"))
     n = float(max(1, lengths["n"]))
     mean = F.create_map(*(x for f in FIELDS for x in (F.lit(f), F.lit(float(lengths[f"avg_{f}"] or 1.0)))))
     boost = F.create_map(*(x for f in FIELDS for x in (F.lit(f), F.lit(NODE_BOOST[f]))))
-    met = skew_join(posts, known, "token", "node_key", hot=hot_counts(freq, "token", "df"))
+    near = seek(posts, "token", tokens.select("token"))
+    met = near.join(F.broadcast(known), "token") if at_most(known, BATCH) else skew_join(near, known, "token", "node_key", hot=hot_counts(freq, "token", "df"))
     idf = F.ln(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / mean[F.col("field")])) * boost[F.col("field")]
     total = met.groupBy("query_id", "doc_key", "node_key").agg(F.sum(part).alias("raw"))

@@ -110,17 +110,25 @@ def capped(scored: DataFrame, k: int, order: list | None = None, per_doc: int |
     return few.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= k)
 
 
-def phrase_share(norm: Column, title_text: Column, unigrams: bool = True) -> Column:
-    """Share of the query's grams found in the title text: CJK pairs, pairs of words and, if `unigrams`, words; no grams give 0."""
+def grams_of(norm: Column, unigrams: bool = True) -> Column:
+    """The grams of a query: CJK pairs, pairs of words and, if `unigrams`, words."""
     raw = F.lower(norm)
     cjk = F.array_join(F.regexp_extract_all(raw, F.lit("[一-鿿]+"), F.lit(0)), "")
     words = F.regexp_extract_all(raw, F.lit("[a-z][a-z0-9]+"), F.lit(0))
     pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.array().cast("array<string>"))
-    grams = F.concat(F.regexp_extract_all(cjk, F.lit("(?=(.{2}))"), F.lit(1)), pairs, *([words] if unigrams else []))
+    return F.concat(F.regexp_extract_all(cjk, F.lit("(?=(.{2}))"), F.lit(1)), pairs, *([words] if unigrams else []))
+
+
+def share_of(grams: Column, title_text: Column) -> Column:
+    """Share of the grams found in the title text; no grams give 0."""
     found = F.size(F.filter(grams, lambda g: F.contains(title_text, g)))
     return F.when(F.size(grams) > 0, found / F.size(grams)).otherwise(F.lit(0.0))
 
 
+def phrase_share(norm: Column, title_text: Column, unigrams: bool = True) -> Column:
+    return share_of(grams_of(norm, unigrams), title_text)
+
+
 def title_text(title: Column, breadcrumb: Column) -> Column:
     return F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), joined(breadcrumb)))
 
@@ -132,7 +140,7 @@ def phrase_path(scored: DataFrame, queries: DataFrame, index: Index, k: int = 20
     """
     first = scored.where(F.col("rank") <= 3 * k) if "rank" in scored.columns else cut(capped(scored, 3 * k))
     texts = payload(first, index, title_text(F.col("title"), F.col("breadcrumb")).alias("tt"))
-    share = texts.join(analyzed(queries).select("query_id", "norm"), "query_id").withColumn("share", phrase_share(F.col("norm"), F.col("tt"))).where(F.col("share") > PHRASE_LEAST)
+    share = texts.join(analyzed(queries).select("query_id", grams_of(F.col("norm")).alias("grams")), "query_id").withColumn("share", share_of(F.col("grams"), F.col("tt"))).where(F.col("share") > PHRASE_LEAST)
     out = share.select("query_id", "chunk_id", "doc_key", "node_key", "local_id", F.col("rank").alias("b_rank"), round_half_up(F.col("share"), 2).alias("score"))
     return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "b_rank"))).where(F.col("rank") <= k)
 
@@ -217,16 +225,16 @@ def reranked(hits: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
     put on 0..1 within the query.
     """
     q = queries.select("query_id", "query").distinct().withColumn("qts", tokenize(F.col("query")))
-    rows = payload(hits, index, "title", "breadcrumb", "body").join(q, "query_id")
-    field = [tokenize(F.col("title")), tokenize(joined(F.col("breadcrumb"))), tokenize(F.col("body"))]
     expanded = F.transform(expand(F.array_distinct("qts"), F.coalesce("query", F.lit(""))), lambda x: x["token"])
-    rows = rows.withColumn("fs", F.array(*field)).withColumn("all", expanded)
+    q = cut(q.select("query_id", "qts", expanded.alias("all"), grams_of(F.coalesce("query", F.lit("")), False).alias("grams")))  # once a query, not once a hit
+    field = F.array(tokenize(F.col("title")), tokenize(joined(F.col("breadcrumb"))), tokenize(F.col("body")))
+    rows = payload(hits, index, title_text(F.col("title"), F.col("breadcrumb")).alias("tt"), field.alias("fs")).join(q, "query_id")
     place = F.transform("fs", lambda f: F.filter(F.transform("qts", lambda t: F.array_position(f, t)), lambda p: p > 0))
     prox = F.array_max(F.transform(place, lambda ps: F.when(F.size(ps) >= 2, F.lit(1.0) / (F.array_max(ps) - F.array_min(ps) + 1)).otherwise(F.lit(0.0))))
     hit = lambda t: F.exists("fs", lambda f: F.array_contains(f, t))
     anything = F.exists("all", hit)
     cov = F.when(F.size("qts") > 0, F.size(F.array_distinct(F.filter("qts", hit))) / F.size("qts")).otherwise(F.lit(0.0))
-    sub = rows.withColumn("prox", F.when(prox > 0, prox).when(anything, F.lit(0.2)).otherwise(F.lit(0.0))).withColumn("phrase", F.least(F.lit(1.0), phrase_share(F.coalesce("query", F.lit("")), title_text(F.col("title"), F.col("breadcrumb")), False))).withColumn("cov", cov)
+    sub = rows.withColumn("prox", F.when(prox > 0, prox).when(anything, F.lit(0.2)).otherwise(F.lit(0.0))).withColumn("phrase", F.least(F.lit(1.0), share_of(F.col("grams"), F.col("tt")))).withColumn("cov", cov)
     w = W.partitionBy("query_id")  # hits of a query are bounded by top_k
 
     def unit(c: str) -> Column:
@@ -234,7 +242,7 @@ def reranked(hits: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
         return (F.col(c) - lo) / F.when(hi - lo == 0, F.lit(1.0)).otherwise(hi - lo)
 
     total = RERANK["bm25"] * unit("score") + RERANK["prox"] * unit("prox") + RERANK["phrase"] * unit("phrase") + RERANK["cov"] * F.col("cov")
-    return sub.withColumn("rerank_score", F.round(total, 9)).drop("title", "breadcrumb", "body", "query", "qts", "fs", "all")
+    return sub.withColumn("rerank_score", F.round(total, 9)).drop("tt", "grams", "qts", "fs", "all")
 
 
 def confidence(queries: DataFrame, hits: DataFrame, index: Index) -> DataFrame:
