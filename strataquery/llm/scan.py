@@ -45,7 +45,7 @@ def _title_form(t: Column) -> Column:
 def marked_lines(chunks: DataFrame) -> DataFrame:
     """(chunk_id, text, header, number, titles, tokens, named): one row a chunk; `text` is without its edge lines.
 
-    `tokens` are those of the text, `named` those of the titles (see tokens_of). An edge line is a page number alone, or a title of the record (its breadcrumb or title; a page number or chapter
+    `tokens` are those of the text, `named` those of the titles (see with_tokens_of). An edge line is a page number alone, or a title of the record (its breadcrumb or title; a page number or chapter
     word before or after it is ignored). A first line that is the chunk's own title is a heading unless it carries a
     number. Repeats of a chunk_id count once; null and empty bodies give no row.
     """
@@ -77,7 +77,7 @@ def marked_lines(chunks: DataFrame) -> DataFrame:
         F.exists("kinds", lambda k: k.isin("number", "both")).alias("number"),
         F.array_join(titles, "\n").alias("titles"),
     )
-    return flat.select("*", tokens_of(F.col("text")).alias("tokens"), tokens_of(F.col("titles")).alias("named"))
+    return with_tokens_of(with_tokens_of(flat, "text", "tokens"), "titles", "named")
 
 
 def without_edges(text: Column) -> Column:
@@ -95,16 +95,17 @@ ASIDE = r"(?s)```.*?```|\{\{.*?\}\}|\[\[.*?\]\]|<[^>]*>|`[^`\n]*`|\$[^$\n]*\$|\]
 BROKEN = rf"[{HYPHENS}][ \t]?\n"
 
 
-def tokens_of(text: Column) -> Column:
-    """Words as the scanner left them, lower case, compounds with their hyphens: code, links and templates aside, broken words in one piece.
+def with_tokens_of(df: DataFrame, text: str, into: str) -> DataFrame:
+    """df with the words of `text` as the scanner left them, lower case, compounds with their hyphens: code, links and templates aside, broken words in one piece.
 
     Signs that end a sentence, or stand before a sign, are no part of a word. One split of the text; what only some texts need
-    is guarded by the characters it starts with.
+    is guarded by the characters it starts with. Each step is a column, since an expression that is used twice would be computed twice.
     """
-    plain = F.when(text.rlike(r"[`{\[<$\]]"), F.regexp_replace(text, ASIDE, " ")).otherwise(text)
-    whole = F.lower(F.when(plain.rlike(BROKEN), F.regexp_replace(plain, BREAK, "$1$3")).otherwise(plain))
-    bare = F.when(whole.rlike("[!|]"), F.regexp_replace(whole, rf"(?<![{IN_WORD}])[0-9!|]+(?=[!|])|(?<=\p{{L}}\p{{L}})!+(?![{IN_WORD}])", "")).otherwise(whole)
-    return F.split(bare, rf"[^{IN_WORD}‑-]+")
+    step = F.col("__t")
+    rows = df.withColumn("__t", F.when(F.col(text).rlike(r"[`{\[<$\]]"), F.regexp_replace(text, ASIDE, " ")).otherwise(F.col(text)))
+    rows = rows.withColumn("__t", F.lower(F.when(step.rlike(BROKEN), F.regexp_replace(step, BREAK, "$1$3")).otherwise(step)))
+    rows = rows.withColumn("__t", F.when(step.rlike("[!|]"), F.regexp_replace(step, rf"(?<![{IN_WORD}])[0-9!|]+(?=[!|])|(?<=\p{{L}}\p{{L}})!+(?![{IN_WORD}])", "")).otherwise(step))
+    return rows.withColumn(into, F.split(step, rf"[^{IN_WORD}‑-]+")).drop("__t")
 
 
 def words_of(tokens: DataFrame, *keep: str) -> DataFrame:
