@@ -224,3 +224,28 @@ def export_files(texts: DataFrame, catalog: DataFrame, root: str, scheme: str =
     failed = links.where("status <> 'resolved'").select("source_id", "source_md", "raw", "status", "candidates")
     failed.write.json(root + "/diagnostics")
     return failed
+
+
+def cited(text: Column, urls: Column, base: str = "") -> Column:
+    """A text with its references `[n]` as links to urls (map<int, string>), code left alone.
+
+    A line `[n] title` becomes `[n] [title](url)`; elsewhere `[n]`, with or without a target, becomes `[n](url)`. Numbers without a url
+    stay; null gives ''.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    codes = F.array_sort(F.array_distinct(F.regexp_extract_all(whole, F.lit(r"(?s)```.*?```|`[^`\n]*`"), F.lit(0))), lambda a, b: F.length(b) - F.length(a))
+    mark = lambda i: F.concat(F.lit("\u0001"), i.cast("string"), F.lit("\u0002"))
+    places = F.when(F.size(codes) > 0, F.sequence(F.lit(0), F.size(codes) - 1)).otherwise(F.array().cast("array<int>"))
+    masked = F.aggregate(places, whole, lambda t, i: F.replace(t, F.get(codes, i), mark(i)))
+    listed, inline = r"^\[(\d+)\]\s+(.+)$", r"\[(\d+)\](?:\([^)]*\))?"
+    url = lambda x, form: F.concat(F.lit(base), F.lit("/"), F.regexp_replace(F.element_at(urls, F.regexp_extract(x, form, 1).try_cast("int")), "^/+", ""))
+
+    def line(x: Column) -> Column:
+        hits, gaps = F.regexp_extract_all(x, F.lit(inline), F.lit(0)), F.split(x, inline)
+        linked = lambda h: F.coalesce(F.concat(F.lit("["), F.regexp_extract(h, inline, 1), F.lit("]("), url(h, inline), F.lit(")")), h)
+        each = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(linked(F.get(hits, i)), F.lit("")))), "")
+        own = F.coalesce(F.concat(F.lit("["), F.regexp_extract(x, listed, 1), F.lit("] ["), F.regexp_extract(x, listed, 2), F.lit("]("), url(x, listed), F.lit(")")), x)
+        return F.when(x.rlike(listed), own).otherwise(each)
+
+    done = F.array_join(F.transform(F.split(masked, "\n"), line), "\n")
+    return F.aggregate(places, done, lambda t, i: F.replace(t, mark(i), F.get(codes, i)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -370,3 +371,54 @@ def _(spark, d):
 
     n = numbered(once(spark, d).select("chunk_id", F.coalesce("title", F.lit("")).alias("t")), [], ["t", "chunk_id"], "i")
     return n.select("chunk_id", (F.col("i") + 1).alias("position"))
+
+
+# Books, published documents, citations, codes ---------------------------------------------------------------------------------------
+
+
+@query("src_09_epub_chapters", f"select 'books/' || job_id || '.epub' as path, n - 1 as position, case when n = 1 then coalesce(author, 'none') end as title, case when n = 1 then '# ' || coalesce(author, 'none') || chr(10) || chr(10) || status else '- ' || tags[n - 1] end as text from (select *, unnest(range(1, len(coalesce(tags, [])) + 2)) as n from ({JOBS}))")
+def _(spark, d):
+    """Every job as a book, written as EPUB and read again: a page with its author, and one for each tag."""
+    from ..sources.books import epub_bytes, read_epubs
+
+    j = load(spark, d, "ingest_jobs").groupBy("job_id").agg(F.max_by(F.struct("author", "status", "tags"), F.struct("updated_at", "status")).alias("j")).select("job_id", F.coalesce("j.author", F.lit("none")).alias("author"), "j.status", F.coalesce("j.tags", F.array().cast("array<string>")).alias("tags"))
+
+    @F.pandas_udf("binary")
+    def book(author: pd.Series, status: pd.Series, tags: pd.Series) -> pd.Series:
+        return pd.Series([epub_bytes(a, [f"<h1>{a}</h1><p>{s}</p>", *(f"<ul><li>{t}</li></ul>" for t in ts)]) for a, s, ts in zip(author, status, tags)])
+
+    files = j.select(F.concat(F.lit("books/"), "job_id", F.lit(".epub")).alias("path"), book("author", "status", "tags").alias("content"))
+    return read_epubs(files).select("path", "position", "title", "text")
+
+
+@query("snk_07_publish_documents", f"select doc_type || ':' || slug as doc_key, coalesce(nullif(title, ''), slug) as title, author, len(coalesce(tags, [])) as tags from (select distinct on (doc_type, slug) * from ingest_jobs where slug is not null and doc_type in ('paper', 'note') order by doc_type, slug, updated_at desc, status desc, job_id desc)")
+def _(spark, d):
+    """The newest state of each paper and note, published into a content tree, discovered and parsed."""
+    j = load(spark, d, "ingest_jobs").where("slug is not null and doc_type in ('paper', 'note')").groupBy("doc_type", "slug").agg(F.max_by(F.struct("title", "author", "tags"), F.struct("updated_at", "status", "job_id")).alias("j"))
+    root = scratch(spark, "content")
+    fs.publish_documents(j.select("doc_type", "slug", "j.*", F.lit("text").alias("text")), root)
+    files = fs.read_tree(spark, root)
+    docs = fs.discover(files).select("doc_key", F.explode("files").alias("path"))
+    meta = fs.parse_frontmatter(files.select("path", F.decode("content", "UTF-8").alias("text")))
+    tags = F.when(F.element_at("meta", "tags").isNull(), 0).otherwise(F.size(F.split(F.element_at("meta", "tags"), "\x1f")))
+    return docs.join(meta, "path").select("doc_key", F.element_at("meta", "title").alias("title"), F.element_at("meta", "author").alias("author"), tags.alias("tags"))
+
+
+@query("lnk_19_citations", sql("select chunk_id, '[1] [' || title || '](/read/a/b)' || chr(10) || 'see [2](/read/c) and `[2]` or [9], ' || length(title) || chr(10) || '```' || chr(10) || '[1] code' || chr(10) || '```' as text from c where title is not null and title <> '' and not regexp_matches(title, '[`\\[\\]\\n]|^\\s|\\s$')", "c"))
+def _(spark, d):
+    c = once(spark, d).where(F.col("title").isNotNull() & (F.col("title") != "") & ~F.col("title").rlike(r"[`\[\]\n]|^\s|\s$"))
+    text = F.concat(F.lit("[1] "), "title", F.lit("\nsee [2](old) and `[2]` or [9], "), F.length("title").cast("string"), F.lit("\n```\n[1] code\n```"))
+    urls = F.create_map(F.lit(1), F.lit("/a/b"), F.lit(2), F.lit("c"))
+    return c.select("chunk_id", lk.cited(text, urls, "/read").alias("text"))
+
+
+_BYTES = "list_transform(range(greatest(1, cast(ceil(length(bin({0})) / 7) as bigint))), lambda i: (({0} >> (7 * i)) & 127) + case when i < greatest(1, cast(ceil(length(bin({0})) / 7) as bigint)) - 1 then 128 else 0 end)"
+
+
+@query("fn_10_varint", sql(f"select chunk_id, n, upper(array_to_string(list_transform({_BYTES.format('n')}, lambda b: lpad(hex(b), 2, '0')), '')) as encoded, n as decoded from (select chunk_id, cast(length(coalesce(body, '')) as bigint) * length(coalesce(body, '')) * 1000003 as n from c)", "c"))
+def _(spark, d):
+    from ..functions.varint import decode_varint, encode_varint
+
+    n = F.length(F.coalesce("body", F.lit(""))).cast("bigint")
+    rows = once(spark, d).select("chunk_id", (n * n * 1000003).alias("n")).withColumn("e", encode_varint(F.col("n")))
+    return rows.select("chunk_id", "n", F.hex("e").alias("encoded"), decode_varint(F.col("e")).alias("decoded"))

@@ -23,7 +23,7 @@ def list_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
     """
     from pyarrow import fs as afs
 
-    system, base = afs.FileSystem.from_uri(root)
+    system, base = _system(root)
     prefix = root.rstrip("/").removesuffix(base.rstrip("/")) or "file://"
     tops = [(x.path, x.type == afs.FileType.Directory) for x in system.get_file_info(afs.FileSelector(base))]  # entries of one directory
 
@@ -32,7 +32,7 @@ def list_tree(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
 
         for pdf in batches:
             for top, is_dir in zip(pdf["path"], pdf["is_dir"]):
-                inside, _ = a.FileSystem.from_uri(root)
+                inside, _ = _system(root)
                 todo = [top]
                 while todo:
                     at = todo.pop()
@@ -51,12 +51,10 @@ def read_files(listed: DataFrame) -> DataFrame:
     """(path, length, modificationTime, content) of listed files; tasks read a few files at a time."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as a
-
         for pdf in batches:
             for i in range(0, len(pdf), 64):
                 part = pdf.iloc[i : i + 64]
-                yield part.assign(content=[_bytes(a, p) for p in part["path"]])
+                yield part.assign(content=[_bytes(p) for p in part["path"]])
 
     return listed.select("path", "length", "modificationTime").repartition("path").mapInPandas(read, "path string, length bigint, modificationTime timestamp, content binary")
 
@@ -71,9 +69,7 @@ def write_tree(files: DataFrame, root: str) -> int:
     base = root.rstrip("/")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as a
-
-        system, at = a.FileSystem.from_uri(base)
+        system, at = _system(base)
         for pdf in batches:
             for path, text in zip(pdf["path"], pdf["text"]):
                 full = f"{at}/{path}"
@@ -101,13 +97,13 @@ def stable_records(spark: SparkSession, root: str, suffix: str = ".md", attempts
         for pdf in batches:
             rows = []
             for path in pdf["path"]:
-                system, inner = a.FileSystem.from_uri(path)
+                system, inner = _system(path)
                 look = lambda system=system, inner=inner: (lambda i: (i.size, i.mtime) if i.type == a.FileType.File else None)(system.get_file_info(inner))
                 for n in range(1, attempts + 1):
                     before = look()
                     if before is None:
                         break
-                    digest = sha256(_bytes(a, path)).hexdigest()
+                    digest = sha256(_bytes(path)).hexdigest()
                     if look() == before:
                         rows.append((path, before[0], before[1], digest, n))
                         break
@@ -127,8 +123,20 @@ def stable_records(spark: SparkSession, root: str, suffix: str = ".md", attempts
     raise RuntimeError(f"{root} did not come to rest in {attempts} attempts")
 
 
-def _bytes(a, path: str) -> bytes:
-    system, inner = a.FileSystem.from_uri(path)
+def _system(path: str):
+    """(file system, path in it) of a path with or without a scheme; names may hold any characters."""
+    from pyarrow import fs
+
+    scheme, sign, rest = path.partition("://")
+    if not sign or scheme == "file":
+        return fs.LocalFileSystem(), rest if sign else path
+    host, _, inner = rest.partition("/")
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return system, f"{base.rstrip('/')}/{inner}"
+
+
+def _bytes(path: str) -> bytes:
+    system, inner = _system(path)
     with system.open_input_stream(inner) as f:
         return f.read()
 
@@ -264,6 +272,20 @@ def migrate(spark: SparkSession, root: str, backup: str, defaults: dict[str, Col
     return todo.select("path", "missing")
 
 
+def publish_documents(documents: DataFrame, root: str) -> int:
+    """Write documents (doc_type, slug, title, author, tags, text) into a content tree, each with a head; returns how many.
+
+    Books and papers are folders with an `_index.md`, notes (and unknown types) files. A missing title is the slug; an empty author or no
+    tags give no line.
+    """
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    title = F.coalesce(F.nullif("title", F.lit("")), "slug")
+    head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), quoted(title)), F.when(F.col("author") != "", F.concat(F.lit("author: "), quoted(F.col("author")))), F.when(F.size("tags") > 0, F.concat(F.lit("tags: ["), F.array_join(F.transform("tags", quoted), ", "), F.lit("]"))), F.lit("---"))
+    folder = F.when(F.col("doc_type") == "book", "books").when(F.col("doc_type") == "paper", "papers").otherwise("notes")
+    path = F.concat(folder, F.lit("/"), "slug", F.when(folder == "notes", F.lit(".md")).otherwise(F.lit("/_index.md")))
+    return write_tree(documents.where(is_safe_path(F.col("slug"))).select(path.alias("path"), F.concat(head, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")), root)
+
+
 def page_list(pages: Column, total: Column) -> Column:
     """0-based pages of a list like '1-3,7', cut to the document; null or empty: all pages."""
     every = F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>"))

@@ -364,6 +364,38 @@ def test_snapshot_of_a_changing_tree(spark, tmp_path, monkeypatch):
         fs.stable_records(spark, root.as_uri())
 
 
+def test_books(spark):
+    from strataquery.sources.books import epub_bytes, read_epubs
+
+    good = epub_bytes("T", ["<h1>One &amp; two</h1><p>a <b>b</b></p><script>x()</script>", "<ul><li>c</li></ul>"])
+    rows = spark.createDataFrame([("g", bytearray(good)), ("bad", bytearray(b"no zip")), ("cut", bytearray(good[:80])), ("none", bytearray(epub_bytes("T", [])))], "path string, content binary")
+    got = sorted((r["path"], r["position"], r["title"], r["text"], r["error"] is None) for r in read_epubs(rows).collect())
+    assert got == [("bad", -1, None, None, False), ("cut", -1, None, None, False), ("g", 0, "One & two", "# One & two\n\na b", True), ("g", 1, None, "- c", True)]
+
+
+def test_citations_and_codes(spark):
+    from strataquery.functions.varint import decode_varint, encode_varint
+
+    urls = F.create_map(F.lit(1), F.lit("/a"), F.lit(2), F.lit("b"))
+    cases = [("[1] the `[2]` one\n[2](x)[1] [3]\n``[1]``\n```\n[1]\n```", "[1] [the `[2]` one](/r/a)\n[2](/r/b)[1](/r/a) [3]\n``[1](/r/a)``\n```\n[1]\n```"), (None, ""), ("", ""), ("[99999999999] x", "[99999999999] x"), ("plain", "plain")]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "t string").select(lk.cited(F.col("t"), urls, "/r").alias("x"))
+    assert [r["x"] for r in df.collect()] == [w for _, w in cases]
+    values = [0, 1, 127, 128, 300, 2**31, 2**62, 2**63 - 1]
+    coded = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", encode_varint(F.col("v")).alias("e")).select("v", "e", decode_varint(F.col("e")).alias("d")).collect()
+    assert all(r["v"] == r["d"] for r in coded) and bytes(coded[4]["e"]) == b"\xac\x02"
+    bad = spark.createDataFrame([(bytearray(b),) for b in (b"", b"\x80", b"\x81\x00", b"\x01\x01", b"\xff" * 10)], "e binary").select(decode_varint(F.col("e")).alias("d"))
+    assert all(r["d"] is None for r in bad.collect())
+    assert spark.createDataFrame([(-1,), (None,)], "v bigint").select(encode_varint(F.col("v")).alias("e")).where("e is not null").count() == 0
+
+
+def test_published_documents(spark, tmp_path):
+    docs = spark.createDataFrame([("book", "b 1", None, "", [], "x"), ("note", "ü", 'a "q"', "A", ["t", "u"], None), ("paper", "p", "", None, None, "y"), ("other", "o", "O", None, None, "z"), ("note", "../evil", "E", None, None, "z")], "doc_type string, slug string, title string, author string, tags array<string>, text string")
+    assert fs.publish_documents(docs, (tmp_path / "c").as_uri()) == 4
+    found = {str(f.relative_to(tmp_path / "c")): f.read_text() for f in (tmp_path / "c").rglob("*.md")}
+    assert found == {"books/b 1/_index.md": '---\ntitle: "b 1"\n---\nx', "notes/ü.md": '---\ntitle: "a \\"q\\""\nauthor: "A"\ntags: ["t", "u"]\n---\n', "papers/p/_index.md": '---\ntitle: "p"\n---\ny', "notes/o.md": '---\ntitle: "O"\n---\nz'}
+    assert fs.read_tree(spark, (tmp_path / "c").as_uri()).count() == 4
+
+
 def test_migration(spark, tmp_path):
     texts = spark.createDataFrame([("a.md", "---\ntitle: T\n---\nbody\n---"), ("b.md", "plain"), ("c.md", "---\nbroken"), ("d.md", "---\nid: d\ntitle: D\n---\n"), ("e.md", None), ("f.md", "---\nid: d\n---\nx")], "path string, text string")
     got = {r["path"]: (r["text"], r["missing"]) for r in fs.migrated(texts, {"id": F.col("path"), "title": F.lit("new")}).collect()}
