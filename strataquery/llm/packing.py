@@ -10,6 +10,7 @@ from math import ceil, floor, log
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,12 +34,18 @@ def _encoding(path: str):
 
 
 def with_token_counts(df: DataFrame, text: str = "text", into: str = "n_tokens", path: str | None = None) -> DataFrame:
-    """df with the length of `text` in tokens; null and empty texts have 0."""
+    """df with the length of `text` in tokens; null and empty texts have 0. The vocabulary file is sent to executors that lack it."""
     where = path or f"{TOKENIZERS}/{VOCABULARY}"
+    context = df.sparkSession.sparkContext
+    sent = context.__dict__.setdefault("_strataquery_vocabularies", set())
+    if os.path.exists(where) and where not in sent:
+        context.addFile(os.path.realpath(where))
+        sent.add(where)
+    name = os.path.basename(os.path.realpath(where))
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        encoding = _encoding(where)
+        encoding = _encoding(where if os.path.exists(where) else SparkFiles.get(name))
         return texts.map(lambda t: len(encoding.encode_ordinary(t)) if t else 0).astype("int32")
 
     return df.withColumn(into, count(F.coalesce(F.col(text), F.lit(""))))
