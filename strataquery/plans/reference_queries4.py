@@ -18,7 +18,7 @@ from ..sources import snapshots as snaps
 from .reference_queries import SQL, judged, once, query
 from .reference_queries2 import DOCS, KEY_OF, PARSED, QUERIES_PRJ5, WIKI, catalog, edges, run_layers, texts
 from .reference_queries3 import resolved
-from .sql_parts import sql
+from .sql_parts import bc, half_up, sql, tok
 
 # A tree of files -----------------------------------------------------------------------------------------------------------
 
@@ -422,3 +422,25 @@ def _(spark, d):
     n = F.length(F.coalesce("body", F.lit(""))).cast("bigint")
     rows = once(spark, d).select("chunk_id", (n * n * 1000003).alias("n")).withColumn("e", encode_varint(F.col("n")))
     return rows.select("chunk_id", "n", F.hex("e").alias("encoded"), decode_varint(F.col("e")).alias("decoded"))
+
+
+# Diversity ------------------------------------------------------------------------------------------------------------------------
+
+from .reference_queries import SH  # noqa: E402
+
+_SIM = "case when len(a.sh) > 0 and len(b.sh) > 0 then len(list_intersect(a.sh, b.sh)) / (len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh))) else 0 end"
+SQL["ret_19_mmr"] = f"""with recursive x as materialized (select r.query_id, row_number() over (partition by r.query_id order by rerank_score desc, rank) as ord, r.chunk_id, rerank_score as s, sh from ({SQL['ret_14_lexical_rerank']}) r join ({sql(f"select chunk_id, {SH('dt')} as sh from ct", "ct")}) using (chunk_id)),
+pairs as materialized (select a.query_id, a.ord as o1, b.ord as o2, {_SIM} as sim from x a join x b on a.query_id = b.query_id and a.ord <> b.ord),
+r(query_id, n, picked) as (select query_id, 1::bigint, [1::bigint] from x group by query_id union all
+ select query_id, n + 1, list_append(picked, arg_max(ord, {{'v': v, 'o': -ord}})) from (select r.query_id, r.n, r.picked, x.ord, 0.6::double * x.s - 0.4::double * max(case when list_contains(r.picked, p.o2) then p.sim else 0 end) as v from r join x on r.query_id = x.query_id join pairs p on p.query_id = x.query_id and p.o1 = x.ord where r.n < 8 and not list_contains(r.picked, x.ord) group by r.query_id, r.n, r.picked, x.ord, x.s) group by query_id, n, picked)
+select x.query_id, t.pick, x.chunk_id from (select query_id, unnest(picked) as ord, generate_subscripts(picked, 1) - 1 as pick from (select query_id, arg_max(picked, n) as picked from r group by query_id)) t join x on x.query_id = t.query_id and x.ord = t.ord"""
+
+
+# The evaluation pipeline: its SQL is put together from that of its parts ----------------------------------------------------------------
+
+_FIELDS = f"select chunk_id, x.field as field, len(x.ts) as length, unnest(x.ts) as token from (select chunk_id, unnest([{{'field': 'title', 'ts': {tok("coalesce(title, '')")}}}, {{'field': 'breadcrumb', 'ts': {tok(bc('breadcrumb'))}}}, {{'field': 'summary', 'ts': {tok("coalesce(substr(body, 1, 200), '')")}}}]) as x from c)"
+_MEAN = "case field when 'title' then avg_title when 'breadcrumb' then avg_breadcrumb when 'terms' then avg_terms else avg_summary end"
+_PART = f"ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / {_MEAN})) * case field when 'title' then 6 when 'breadcrumb' then 3 else 2 end"
+_RESCORED = sql(f"select query_id, chunk_id, {half_up('sum(part)', 2)} as score from (select query_id, chunk_id, {_PART} as part from (select query_id, chunk_id from hitlist) join (select chunk_id, field, token, count(*) as tf, any_value(length) as length from ({_FIELDS}) group by chunk_id, field, token) using (chunk_id) join (select distinct query_id, token from ({SQL['ret_13_rm3']})) using (query_id, token) join ndf using (token), nl) group by query_id, chunk_id having {half_up('sum(part)', 2)} > 0", "hitlist", "c", "ndf", "nl")
+_AGAIN = SQL["ret_14_lexical_rerank"].replace("hitlist h join ct", "(select h2.query_id, h2.rank, h2.chunk_id, s2.score from hitlist h2 join rescored s2 using (query_id, chunk_id)) h join ct")
+SQL["ret_24_evaluation_pipeline"] = f"with rescored as materialized ({_RESCORED}), again as materialized ({_AGAIN}), found as materialized ({sql('select * from hitlist', 'hitlist')}) select a.query_id, row_number() over (partition by a.query_id order by rerank_score desc, s.score desc, a.rank) as rank, a.chunk_id, f.doc_key, s.score, f.rrf_score, rerank_score from again a join rescored s on a.query_id = s.query_id and a.chunk_id = s.chunk_id join found f on f.query_id = a.query_id and f.chunk_id = a.chunk_id"
