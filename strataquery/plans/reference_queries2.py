@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.normalize import lookup_key, normalize_for_search
+from ..functions.normalize import normalize_for_search
 from ..operators import chunking as ck
 from ..operators import incremental as inc
 from ..operators import index as ix
@@ -19,9 +19,8 @@ from ..operators.numbering import numbered
 from ..operators.skew import skew_join
 from ..session import load, small
 from ..sources import files as fs
-from ..sources import snapshots as snaps
-from .reference_queries import NET, hitlist, judged, met, net_rows, once, query
-from .sql_parts import bc, first_seen, norm, sql, tok
+from .reference_queries import hitlist, judged, met, once, query
+from .sql_parts import bc, norm, sql
 
 # Joins --------------------------------------------------------------------------------------------------------------
 

@@ -17,8 +17,8 @@ from ..operators.table_diff import checksum_matrix
 from ..session import load, scratch
 from ..sources import files as fs
 from ..sources.snapshots import SnapshotStore, export_json
-from .reference_queries import hitlist, judged, met, once, query
-from .reference_queries2 import KEY_OF, LINES, OWN, PARSED, catalog, edges, layered, run_layers, texts
+from .reference_queries import judged, met, once, query
+from .reference_queries2 import KEY_OF, LINES, OWN, PARSED, catalog, edges, layered, texts
 from .sql_parts import first_seen, sql
 
 # Sources and sinks ----------------------------------------------------------------------------------------------------
