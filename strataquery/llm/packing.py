@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil, floor, log
 
