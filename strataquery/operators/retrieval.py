@@ -11,7 +11,7 @@ from ..functions.normalize import normalize_for_search
 from ..functions.synonyms import SYNONYM_WEIGHT, table
 from ..functions.text import joined, round_half_up, tokenize, tokenize_unique
 from ..session import at_most, cut, small
-from .index import Index, effective_df, is_pruned, seek
+from .index import SOUGHT, Index, effective_df, few_values, is_pruned, seek
 from .skew import skew_join
 
 # Scoring constants.
@@ -68,7 +68,7 @@ def matches(qt: DataFrame, index: Index, prune: bool = True) -> DataFrame:
     """
     hidden = is_pruned(index.n) if prune else F.lit(False)
     qt = cut(qt)
-    asked = qt.select("token")
+    asked = few_values(qt.select("token"))
     known = cut(qt.join(seek(index.stats, "token", asked), "token").select("query_id", "ord", "token", "weight", "original", hidden.alias("hidden"), (effective_df(index.n) if prune else F.col("df_any")).alias("df")))
     posts = seek(index.postings, "token", asked)
     met = posts.join(F.broadcast(known), "token") if at_most(known, BATCH) else skew_join(posts, known, "token", "chunk_id", hot=index.hot)
@@ -89,9 +89,10 @@ def payload(hits: DataFrame, index: Index, *columns: str | Column) -> DataFrame:
 
     Up to BATCH hits go to where the chunks are, so no text is shuffled, and only the named columns are scanned.
     """
-    few = at_most(hits, BATCH)
-    rows = (seek(index.chunks, "chunk_id", hits.select("chunk_id")) if few else index.chunks).select("chunk_id", *columns)
-    return rows.join(F.broadcast(hits) if few else hits, "chunk_id")
+    head = [r[0] for r in hits.select("chunk_id").limit(SOUGHT + 1).collect()]
+    sought = sorted({x for x in head if x is not None}) if len(head) <= SOUGHT else None
+    few = sought is not None or at_most(hits, BATCH)
+    return seek(index.chunks, "chunk_id", sought).select("chunk_id", *columns).join(F.broadcast(hits) if few else hits, "chunk_id")
 
 
 def score_order() -> list[Column]:
@@ -156,7 +157,8 @@ def route_path(met: DataFrame, index: Index, k: int = 20) -> DataFrame:
     """Path E: the first k chunks, by (doc_key, local_id), of the routed documents; every score is 0.1."""
     docs = cut(routed_documents(met))
     keys = docs.select("doc_key").distinct()
-    near = seek(index.chunks.select("doc_key", "chunk_id", "node_key", "local_id"), "doc_key", keys).join(small(keys, BATCH), "doc_key", "left_semi")
+    sought = few_values(keys)
+    near = seek(index.chunks.select("doc_key", "chunk_id", "node_key", "local_id"), "doc_key", sought).join(F.broadcast(keys) if sought is not None else small(keys, BATCH), "doc_key", "left_semi")
     heads = near.withColumn("n", F.row_number().over(W.partitionBy("doc_key").orderBy("local_id", "chunk_id"))).where(F.col("n") <= k).drop("n")
     rows = docs.join(heads, "doc_key")
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_key", "local_id", "chunk_id"))).where(F.col("rank") <= k).select("query_id", "chunk_id", "doc_key", "node_key", "local_id", F.lit(ROUTE_SCORE).alias("score"), "rank")
